@@ -180,8 +180,11 @@ def worker_state(key: str, pattern: str, ranks) -> tuple[Pretokenizer, MergeRepl
     return _STATE[key]
 
 
-def tokenize(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of the bytes decoded from them."""
+def tokenize(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the bytes decoded from them.
+
+    ``with_ids`` adds the ids themselves.
+    """
     table = read_ranks(vocabulary)
     ranks = docs.sparkSession.sparkContext.broadcast(table)
     key = hashlib.sha256(repr((pattern, sorted(table.items()))).encode()).hexdigest()
@@ -191,17 +194,21 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                counts, digests, decoded = [], [], []
+                counts, digests, decoded, kept = [], [], [], []
                 for ids in encode_texts(texts, split, replay, held):
                     counts.append(len(ids))
+                    if with_ids:
+                        kept.append(np.array(ids, np.int32))
                     digests.append(hashlib.sha256(",".join(map(replay.named, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(replay.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = SCHEMA + ", ids array<int>" * with_ids
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 2_000) -> Iterator[pa.RecordBatch]:

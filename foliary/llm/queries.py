@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality_rules
+from . import (
+    bpe,
+    chat_format,
+    exact_dedup,
+    html_extract,
+    mixing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    simhash_dedup,
+)
+from .common import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +31,62 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.group(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"), secrets.Ledger(spark, scratch(spark, "ledger")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("host").withColumn("host_rate", F.round("host_rate", 6))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_byte_bpe, op9_quality_rules)}
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_simhash_dedup,
+        op3_chat_formatting,
+        op4_exact_dedup,
+        op5_quality_classifier,
+        op6_pii,
+        op7_byte_bpe,
+        op8_secret_scans,
+        op9_quality_rules,
+        op10_source_mixing,
+    )
+}
 
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -57,7 +112,7 @@ m AS (
   SELECT g.doc_id, source, CAST(n_words AS BIGINT) AS n_words,
          CAST(len(list_aggregate(words, 'string_agg', '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM g LEFT JOIN r USING (doc_id)),
 b AS (
@@ -76,4 +131,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op9_quality_rules": OP9_SQL}
+
+
+def _op8_sql() -> str:
+    """The rules' matches by the same pieces between them, rule by rule."""
+    parts = []
+    for kind, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''").replace("}+", "}")  # a possessive run matches the same here
+        parts.append(f"""
+SELECT doc_id, {kind} AS kind, '{r.name}' AS name, unnest(range(1, len(whole) + 1)) AS i, gaps, whole, least
+FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS whole,
+             regexp_extract_all(text, '{pattern}', {r.group}) AS least FROM d)""")
+    wanted = " ".join(f"WHEN {kind} THEN {r.least}" for kind, r in enumerate(secrets.RULES))
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = {k}), 0) AS n_{r.name}" for k, r in enumerate(secrets.BASE))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT doc_id, kind, name, length(whole[i]) AS size,
+             list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN whole[1:i - 1]]), 0) AS start
+      FROM m WHERE length(least[i]) >= CASE kind {wanted} END),
+g AS (SELECT doc_id, {counts},
+        coalesce(string_agg(name || ':' || start || ':' || (start + size), ',' ORDER BY start, kind) FILTER (kind < {len(secrets.BASE)}), '') AS base,
+        string_agg(name || ':' || start || ':' || (start + size), ',' ORDER BY start, kind) AS spans
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in secrets.BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLE_SQL = {"op8_secret_scans": _op8_sql(), "op4_exact_dedup": OP4_SQL, "op9_quality_rules": OP9_SQL}
