@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, keep_rows, pick, scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state. Without fallocate a store takes the disk that it fills, not 4 MB and more
+#: ahead of need, which counts where a query has hundreds of stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Up to so many hit digests (32 bytes each) are broadcast; beyond it all texts are compared.
 BROADCAST_HITS = 500_000
 
@@ -55,9 +60,9 @@ def update_state(spark: SparkSession, keys_path: str, state_path: str, out_path:
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, setting in STATE.items():
+        spark.conf.set(name, setting)
     try:
         query = (
             touched.writeStream.outputMode("update")
@@ -68,7 +73,8 @@ def update_state(spark: SparkSession, keys_path: str, state_path: str, out_path:
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, setting in before.items():
+            spark.conf.unset(name) if setting is None else spark.conf.set(name, setting)
 
 
 def read_state(spark: SparkSession, out_path: str) -> DataFrame:
