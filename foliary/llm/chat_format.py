@@ -2,7 +2,7 @@
 
 The hidden states are the roles; the observations are lines of text with a speaker marker (from
 the line's own prefix, such as "User:", or else the role recorded with its row), whether the line
-begins a row, its length and its punctuation. The model's tables are smoothed counts over all rows
+begins a row or is marked itself, its length and its punctuation. The model's tables are smoothed counts over all rows
 with a recognised marker, gathered by partial aggregation into a table of bounded size. Viterbi
 finds the most likely roles of each conversation's lines, and successive lines of one role in one
 row become a turn of the canonical form.
@@ -70,13 +70,14 @@ def shape_of(line: str) -> int:
 
 
 def observe(role: str | None, text: str | None) -> list[tuple[int, int, int, str]]:
-    """(marker, begins a row, shape, line without marker) for each line of a row."""
+    """(marker, begins a turn, shape, line without marker) for each line of a row."""
     out = []
     for k, line in enumerate((text or "").split("\n")):
         mark, rest = marker_of(line)
+        begins = int(not k or mark != UNMARKED)  # a marker in the text begins a turn like a row does
         if mark == UNMARKED and not k:
             mark = NAMES.get((role or "").strip().lower(), UNMARKED)
-        out.append((mark, int(not k), shape_of(rest), rest))
+        out.append((mark, begins, shape_of(rest), rest))
     return out
 
 
@@ -86,11 +87,11 @@ class Model:
     def __init__(self, starts: np.ndarray, moves: np.ndarray, shapes: np.ndarray):
         n = len(ROLES)
         self.start = np.log((starts + 1) / (starts.sum() + n))
-        # moves[b]: from role to role where the next line begins a row (1) or not (0).
+        # moves[b]: from role to role where the next line begins a turn (1) or not (0).
         prior = np.stack([np.eye(n) * 50 + 0.1, np.ones((n, n))])
         moves = moves + prior
         self.move = np.log(moves / moves.sum(2, keepdims=True))
-        # shapes[b]: of a role's line at the beginning of a row (1) or further on (0).
+        # shapes[b]: of a role's line at the beginning of a turn (1) or further on (0).
         shapes = shapes + 1
         self.shape = np.log(shapes / shapes.sum(2, keepdims=True))
         wrong = (1 - TRUST) / (n - 1)

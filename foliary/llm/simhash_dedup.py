@@ -152,6 +152,8 @@ def settle(batches: Iterator[pa.RecordBatch], bucket: int = BUCKET) -> Iterator[
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b), a < b: pairs that join every two fingerprints within the distance, directly or by steps."""
+    if bucket < 16:
+        raise ValueError("a bucket of under 16 could not be cut further")
     level, found = variants(distinct), None
     value = F.col("mask").bitwiseAND(F.col("fp"))
     while True:
