@@ -170,8 +170,10 @@ class PdfReader(DataSourceReader):
         for path in partition.value:
             with open(path, "rb") as f:
                 content = f.read()
-            for row in rows_of(content, self.options.get("section", "pages"), self.options.get("mode", "REPAIR") == "REPAIR"):
-                yield (path, *[dict(v) if isinstance(v, list) and v and isinstance(v[0], tuple) else v for v in row])
+            name = self.options.get("section", "pages")
+            for row in rows_of(content, name, self.options.get("mode", "REPAIR") == "REPAIR"):
+                # Arrow takes a map as pairs, a Python row as a dict.
+                yield (path, *[dict(v) if isinstance(v, list) and name == "documents" else v for v in row])
 
 
 def read_folder(spark: SparkSession, path: str, name: str = "pages", repair: bool = True) -> DataFrame:
