@@ -336,6 +336,119 @@ class Document:
                 yield {"start_index": self.get(k), "style": self.get(v.get("S")), "prefix": text_of(self.get(v.get("P"))), "start_value": self.get(v.get("St")) or 1}
             stack += reversed(self.list_of(node.get("Kids")))
 
+    def xmp(self) -> str | None:
+        stream = self.get(self.catalog.get("Metadata"))
+        return self.decoded(stream).decode("utf-8", "replace") if isinstance(stream, Stream) else None
+
+    def page_numbers(self) -> dict[int, int]:
+        return {p["_num"]: i for i, p in enumerate(self.pages()) if p["_num"] is not None}
+
+    def _target(self, dest, numbers: dict[int, int]) -> tuple[int | None, str | None]:
+        """Page number and fit of a destination; a dictionary holds it under D."""
+        dest = self.get(dest)
+        dest = self.list_of(dest.get("D")) if isinstance(dest, dict) else dest
+        if not isinstance(dest, list) or not dest:
+            return None, None
+        page = dest[0].num if isinstance(dest[0], Ref) else None
+        number = numbers.get(page) if page is not None else dest[0] if isinstance(dest[0], int) else None
+        return number, str(self.get(dest[1])) if len(dest) > 1 else None
+
+    def destinations(self) -> Iterator[dict]:
+        """Named destinations of the name tree and of the older dictionary."""
+        numbers = self.page_numbers()
+        pairs = list(self._names(self.dict_of(self.catalog.get("Names")).get("Dests")))
+        pairs += self.dict_of(self.catalog.get("Dests")).items()
+        for name, dest in pairs:
+            page, fit = self._target(dest, numbers)
+            yield {"name": name, "page_no": page, "fit": fit}
+
+    def actions(self) -> Iterator[dict]:
+        """What happens on opening the file, on its and its pages' events, and on links."""
+        numbers = self.page_numbers()
+
+        def row(page, trigger, action):
+            action = self.get(action)
+            if isinstance(action, list):
+                yield {"page_no": page, "trigger": trigger, "type": "GoTo", "target": str(self._target(action, numbers)[0])}
+            elif isinstance(action, dict):
+                kind = str(self.get(action.get("S")) or "")
+                key = {"URI": "URI", "Launch": "F", "GoToR": "F", "Named": "N", "JavaScript": "JS"}.get(kind)
+                value = self.get(action.get(key)) if key else None
+                value = self.decoded(value) if isinstance(value, Stream) else value
+                target = str(self._target(action.get("D"), numbers)[0]) if kind == "GoTo" else text_of(value)
+                yield {"page_no": page, "trigger": trigger, "type": kind, "target": target}
+
+        yield from row(None, "OpenAction", self.catalog.get("OpenAction"))
+        for trigger, action in self.dict_of(self.catalog.get("AA")).items():
+            yield from row(None, trigger, action)
+        for number, page in enumerate(self.pages()):
+            for trigger, action in self.dict_of(page.get("AA")).items():
+                yield from row(number, trigger, action)
+            for ref in self.list_of(page.get("Annots")):
+                annotation = self.dict_of(ref)
+                yield from row(number, "A", annotation.get("A"))
+
+    def layers(self) -> Iterator[dict]:
+        """Optional content groups. Off beats on, both beat the base state; visible otherwise."""
+        held = self.dict_of(self.catalog.get("OCProperties"))
+        config = self.dict_of(held.get("D"))
+        sets = {k: {r.num for r in self.list_of(config.get(k)) if isinstance(r, Ref)} for k in ("OFF", "ON")}
+        for ref in self.list_of(held.get("OCGs")):
+            num = ref.num if isinstance(ref, Ref) else None
+            visible = num not in sets["OFF"] and (num in sets["ON"] or self.get(config.get("BaseState")) != "OFF")
+            yield {"obj": num, "name": text_of(self.get(self.dict_of(ref).get("Name"))), "visible": visible}
+
+    def images(self) -> Iterator[dict]:
+        """Images of each page's own resources: header facts and raw bytes, not pixels."""
+        for number, page in enumerate(self.pages()):
+            for name, ref in self.dict_of(self.dict_of(page.get("Resources")).get("XObject")).items():
+                stream = self.get(ref)
+                if isinstance(stream, Stream) and stream.dict.get("Subtype") == "Image":
+                    space, codec = self.get(stream.dict.get("ColorSpace")), self.get(stream.dict.get("Filter"))
+                    yield {
+                        "page_no": number, "name": name, "width": self.get(stream.dict.get("Width")), "height": self.get(stream.dict.get("Height")),
+                        "bits": self.get(stream.dict.get("BitsPerComponent")), "color_space": str(space[0] if isinstance(space, list) and space else space or ""),
+                        "codec": " ".join(map(str, codec)) if isinstance(codec, list) else str(codec or ""), "raw": stream.raw,
+                    }
+
+    def structure(self) -> Iterator[dict]:
+        """Tagged elements, depth first, with standard types through the role map."""
+        root = self.dict_of(self.catalog.get("StructTreeRoot"))
+        roles = {k: str(self.get(v)) for k, v in self.dict_of(root.get("RoleMap")).items()}
+        kids = lambda node: v if isinstance(v := self.get(node.get("K")), list) else [node["K"]] if "K" in node else []
+        seen: set[int] = set()
+        stack = [(k, [i]) for i, k in reversed(list(enumerate(kids(root))))]
+        while stack:
+            ref, path = stack.pop()
+            if isinstance(ref, Ref):
+                if ref.num in seen:
+                    continue
+                seen.add(ref.num)
+            node = self.get(ref)
+            if isinstance(node, dict) and "S" in node:
+                tag = str(self.get(node["S"]))
+                marks = [k for k in map(self.get, kids(node)) if isinstance(k, int)]
+                yield {"path": path, "type": roles.get(tag, tag), "alt": text_of(self.get(node.get("Alt"))), "lang": text_of(self.get(node.get("Lang"))), "mcids": marks}
+                stack += [(k, [*path, i]) for i, k in reversed(list(enumerate(kids(node))))]
+
+    def intents(self) -> Iterator[dict]:
+        for ref in self.list_of(self.catalog.get("OutputIntents")):
+            x = self.dict_of(ref)
+            yield {"subtype": str(self.get(x.get("S")) or ""), "identifier": text_of(self.get(x.get("OutputConditionIdentifier"))), "info": text_of(self.get(x.get("Info")))}
+
+    def signatures(self) -> Iterator[dict]:
+        """Signed fields: byte ranges, the digest of those bytes, and how far they reach."""
+        for num in sorted(self.offsets):
+            node = self.get(Ref(num, 0))
+            if isinstance(node, dict) and node.get("Type") == "Sig":
+                ranges = [x for x in map(self.get, self.list_of(node.get("ByteRange"))) if isinstance(x, int)]
+                digest = hashlib.sha256(b"".join(self.data[a : a + n] for a, n in zip(ranges[::2], ranges[1::2], strict=False)))
+                yield {
+                    "obj": num, "sub_filter": str(self.get(node.get("SubFilter")) or ""), "byte_range": ranges,
+                    "coverage_end": max([0, *(a + n for a, n in zip(ranges[::2], ranges[1::2], strict=False))]), "sha256": digest.hexdigest(),
+                    "signed_at": text_of(self.get(node.get("M"))), "contents": self.get(node.get("Contents")),
+                }
+
     def revisions(self) -> Iterator[dict]:
         """One for each end-of-file mark: where it ends, and digests of the file up to there."""
         for rev, m in enumerate(EOF.finditer(self.data)):

@@ -92,6 +92,27 @@ def revisions(doc) -> Iterator[tuple]:
         yield x["rev"], x["end_offset"], x["md5"], x["sha256"]
 
 
+def _table(name: str, schema: str) -> None:
+    """A section whose rows are dictionaries keyed by its columns."""
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+    SECTIONS[name] = (schema, lambda doc: (tuple(r[c] for c in columns) for r in getattr(doc, name)()))
+
+
+_table("destinations", "name string, page_no int, fit string")
+_table("actions", "page_no int, trigger string, type string, target string")
+_table("layers", "obj int, name string, visible boolean")
+_table("images", "page_no int, name string, width int, height int, bits int, color_space string, codec string, raw binary")
+_table("structure", "path array<int>, type string, alt string, lang string, mcids array<int>")
+_table("intents", "subtype string, identifier string, info string")
+_table("signatures", "obj int, sub_filter string, byte_range array<long>, coverage_end long, sha256 string, signed_at string, contents binary")
+
+
+@section("xmp string")
+def xmp(doc) -> Iterator[tuple]:
+    """The packet; ``foliary.operators.structure.metadata`` reads its fields."""
+    yield (doc.xmp(),)
+
+
 def rows_of(content: bytes | None, name: str, repair: bool = True) -> Iterator[tuple]:
     """A file's rows of a section, each followed by status and error; at least one."""
     from ..pdf.document import Document, Encrypted, Malformed

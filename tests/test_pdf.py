@@ -140,3 +140,31 @@ def test_actual_text_and_forms():
     w.put(form, Stream({"Subtype": Name("Form"), "Resources": {"XObject": {"X": form}}}, b"BT (in) Tj ET /X Do"))
     doc = Document(w.save(root))
     assert page_text(doc, next(doc.pages())).split("\n")[:2] == ["said", "in"]
+
+
+def test_further_sections():
+    w = Writer()
+    root, tree, page, image, layer, hidden, meta, sig, elem = (w.add() for _ in range(9))
+    link = {"Subtype": Name("Link"), "A": {"S": Name("URI"), "URI": b"http://x.example"}}
+    w.put(root, {
+        "Type": Name("Catalog"), "Pages": tree, "Metadata": meta, "OpenAction": [page, Name("Fit")], "Dests": {"top": [page, Name("XYZ"), 0, 0, 0]},
+        "Names": {"Dests": {"Names": [b"n", {"D": [page, Name("Fit")]}]}}, "OCProperties": {"OCGs": [layer, hidden], "D": {"OFF": [hidden]}},
+        "StructTreeRoot": {"RoleMap": {"Headline": Name("H1")}, "K": elem}, "OutputIntents": [{"S": Name("GTS_PDFA1"), "OutputConditionIdentifier": b"sRGB"}],
+    })
+    w.put(tree, {"Type": Name("Pages"), "Kids": [page], "Count": 1})
+    w.put(page, {"Type": Name("Page"), "Resources": {"XObject": {"I": image}}, "Annots": [link], "AA": {"O": {"S": Name("Named"), "N": Name("NextPage")}}})
+    w.put(image, Stream({"Subtype": Name("Image"), "Width": 2, "Height": 3, "BitsPerComponent": 8, "ColorSpace": Name("DeviceRGB"), "Filter": Name("DCTDecode")}, b"jpeg"))
+    w.put(layer, {"Type": Name("OCG"), "Name": b"shown"})
+    w.put(hidden, {"Type": Name("OCG"), "Name": b"hidden"})
+    w.put(meta, Stream({"Type": Name("Metadata")}, b"<x:xmpmeta/>"))
+    w.put(sig, {"Type": Name("Sig"), "SubFilter": Name("adbe.pkcs7.detached"), "ByteRange": [0, 5, 8, 4], "Contents": b"\x30"})
+    w.put(elem, {"S": Name("Headline"), "Alt": b"alt", "K": [0, {"S": Name("Span"), "K": 1}]})
+    data = w.save(root)
+    rows = {name: [r[:-2] for r in rows_of(data, name)] for name in SECTIONS}
+    assert rows["actions"] == [(None, "OpenAction", "GoTo", "0"), (0, "O", "Named", "NextPage"), (0, "A", "URI", "http://x.example")]
+    assert rows["destinations"] == [("n", 0, "Fit"), ("top", 0, "XYZ")]
+    assert rows["layers"] == [(5, "shown", True), (6, "hidden", False)]
+    assert rows["images"] == [(0, "I", 2, 3, 8, "DeviceRGB", "DCTDecode", b"jpeg")]
+    assert rows["structure"] == [([0], "H1", "alt", None, [0]), ([0, 1], "Span", None, None, [1])]
+    assert rows["intents"] == [("GTS_PDFA1", "sRGB", None)] and rows["xmp"] == [("<x:xmpmeta/>",)]
+    assert rows["signatures"][0][:4] == (8, "adbe.pkcs7.detached", [0, 5, 8, 4], 12)
