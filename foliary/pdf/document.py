@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 from . import filters
+from .crypt import Handler
 from .syntax import Keyword, Lexer, Name, Ref, Stream, text_of
 
 OBJ = re.compile(rb"(?<!\d)(\d{1,6})[\x00\t\n\x0c\r ]+(\d{1,5})[\x00\t\n\x0c\r ]+obj\b")
@@ -26,7 +27,7 @@ class Encrypted(ValueError):
 class Document:
     """Objects are loaded as they are asked for. ``repair`` rebuilds a broken cross-reference."""
 
-    def __init__(self, data: bytes, repair: bool = True):
+    def __init__(self, data: bytes, repair: bool = True, password: str = ""):
         start = data.find(b"%PDF-", 0, 4096)
         if start < 0:
             raise Malformed("no header")
@@ -36,6 +37,7 @@ class Document:
         self.packed: dict[int, dict[int, object]] = {}
         self.loading: set[int] = set()
         self.repaired = False
+        self.handler: Handler | None = None
         try:
             self._index()
             if not self.pages_root():
@@ -46,8 +48,22 @@ class Document:
             self._rebuild()
             if not self.pages_root():
                 raise Malformed("no pages after repair") from None
-        if self.trailer.get("Encrypt") is not None:
-            raise Encrypted("encrypted")
+        self.encryption = self.dict_of(self.trailer.get("Encrypt"))
+        if self.encryption:
+            self._unlock(password)
+
+    def _unlock(self, password: str) -> None:
+        """Set up decryption; what was loaded before is forgotten, as it was loaded as it lies."""
+        plain = {k: self.get(v) for k, v in self.encryption.items()}
+        ids = self.list_of(self.trailer.get("ID"))
+        file_id = self.get(ids[0]) if ids else b""
+        handler = Handler(plain, file_id if isinstance(file_id, bytes) else b"", password.encode("utf-8"))
+        if handler.key is None:
+            raise Encrypted("the password opens nothing")
+        ref = self.trailer.get("Encrypt")
+        self.held = {ref.num: self.encryption} if isinstance(ref, Ref) else {}
+        self.packed.clear()
+        self.handler = handler
 
     # Cross-references: the newest entry of an object wins.
 
@@ -149,8 +165,20 @@ class Document:
                     end = self.data.find(b"endstream", begin)
                     end = len(self.data) if end < 0 else end
                     end -= 2 if self.data[end - 2 : end] == b"\r\n" else 1 if self.data[end - 1 : end] in (b"\n", b"\r") else 0
-                return Stream(value, self.data[begin:end], int(m[1]), int(m[2]))
-        return None if isinstance(value, Keyword) else value
+                return self._opened(Stream(value, self.data[begin:end], int(m[1]), int(m[2])))
+        if isinstance(value, Keyword):
+            return None
+        return self.handler.value(value, int(m[1]), int(m[2])) if self.handler else value
+
+    def _opened(self, stream: Stream) -> Stream:
+        """Decrypted, but for cross-references and streams that say they are plain."""
+        kind, handler = stream.dict.get("Type"), self.handler
+        if not handler or kind == "XRef" or kind == "Metadata" and not handler.metadata:
+            return stream
+        filters_of = stream.dict.get("Filter")
+        method = "None" if filters_of == "Crypt" or isinstance(filters_of, list) and "Crypt" in filters_of else handler.stream
+        plain = handler.value(stream.dict, stream.num, stream.gen)
+        return Stream(plain, handler.decrypt(stream.raw, stream.num, stream.gen, method), stream.num, stream.gen)
 
     def _unpack(self, num: int) -> dict[int, object]:
         if num not in self.packed:

@@ -113,7 +113,7 @@ def xmp(doc) -> Iterator[tuple]:
     yield (doc.xmp(),)
 
 
-def rows_of(content: bytes | None, name: str, repair: bool = True) -> Iterator[tuple]:
+def rows_of(content: bytes | None, name: str, repair: bool = True, password: str = "") -> Iterator[tuple]:
     """A file's rows of a section, each followed by status and error; at least one."""
     from ..pdf.document import Document, Encrypted, Malformed
 
@@ -123,7 +123,7 @@ def rows_of(content: bytes | None, name: str, repair: bool = True) -> Iterator[t
         yield (*blank, "EMPTY", "no bytes")
         return
     try:
-        found = [(*row, "OK", None) for row in make(Document(bytes(content), repair))]
+        found = [(*row, "OK", None) for row in make(Document(bytes(content), repair, password))]
     except Encrypted as e:
         found = [(*blank, "ENCRYPTED", str(e))]
     except Malformed as e:
@@ -133,8 +133,11 @@ def rows_of(content: bytes | None, name: str, repair: bool = True) -> Iterator[t
     yield from found
 
 
-def sections(files: DataFrame, name: str, key: str = "path", content: str = "content", repair: bool = True) -> DataFrame:
-    """The section's rows of every file, with the file's key, status and error."""
+def sections(files: DataFrame, name: str, key: str = "path", content: str = "content", repair: bool = True, password: str = "") -> DataFrame:
+    """The section's rows of every file, with the file's key, status and error.
+
+    ``password`` is tried on protected files; it stays an option and is never a column.
+    """
     schema = SECTIONS[name][0]
     kind = dict(files.dtypes)[key]
     full = StructType.fromDDL(f"{key} {kind}, {schema}, {STATUS}")
@@ -146,7 +149,7 @@ def sections(files: DataFrame, name: str, key: str = "path", content: str = "con
         for batch in batches:
             done: list[tuple] = []
             for k, body in zip(batch.column(0), batch.column(1), strict=True):
-                done += [(k.as_py(), *row) for row in rows_of(body.as_py(), name, repair)]
+                done += [(k.as_py(), *row) for row in rows_of(body.as_py(), name, repair, password)]
                 if len(done) >= 2000:
                     yield _batch(done, arrow)
                     done = []
@@ -192,7 +195,7 @@ class PdfReader(DataSourceReader):
             with open(path, "rb") as f:
                 content = f.read()
             name = self.options.get("section", "pages")
-            for row in rows_of(content, name, self.options.get("mode", "REPAIR") == "REPAIR"):
+            for row in rows_of(content, name, self.options.get("mode", "REPAIR") == "REPAIR", self.options.get("password", "")):
                 # Arrow takes a map as pairs, a Python row as a dict.
                 yield (path, *[dict(v) if isinstance(v, list) and name == "documents" else v for v in row])
 
