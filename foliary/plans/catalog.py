@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import colour, numbering
 from ..functions import text as tx
 from ..operators import audit, layout, pages, search, spatial, tables
+from ..sources.writing import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,7 +131,7 @@ def search_topk(spark, sf):
 
 @query(CHARS_SQL + "SELECT gram AS trigram, count(*) AS n_positions, count(DISTINCT doc_id) AS n_docs FROM g WHERE gram IS NOT NULL GROUP BY gram")
 def trigram_index(spark, sf):
-    return search.trigram_counts(read(spark, sf, "documents"))
+    return search.trigram_counts(spread(read(spark, sf, "documents").select("doc_id", "text")))
 
 
 @query("""
@@ -163,7 +164,7 @@ FUZZY_QUERY = "stupid and patetic"
 @query()
 def fuzzy_search(spark, sf):
     """Tested against brute force."""
-    return search.fuzzy(read(spark, sf, "documents"), FUZZY_QUERY)
+    return search.fuzzy(spread(read(spark, sf, "documents").select("doc_id", "text")), FUZZY_QUERY)
 
 
 # --- layout ---------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from ..functions.text import count_overlapping
 from ..pdf import filters
 from ..pdf.writer import build, update
 from ..sources.pdf import sections
-from ..sources.writing import pages_of, to_pdf
+from ..sources.writing import pages_of, spread, to_pdf
 from .catalog import query, read
 
 PAGES_SQL = """
@@ -138,7 +138,7 @@ def _codec(name: str):
                     out.append(hashlib.md5(back[: len(data)]).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "md5"])
 
-        return read(spark, sf, "documents").select("doc_id", "text").mapInArrow(both, "doc_id long, md5 string")
+        return spread(read(spark, sf, "documents").select("doc_id", "text")).mapInArrow(both, "doc_id long, md5 string")
 
     run.__name__ = f"filter_roundtrip_{name}"
     return query("SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents")(run)

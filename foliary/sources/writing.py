@@ -8,6 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows to every core where there are fewer partitions than that, as with one small file.
+
+    Larger inputs come in more partitions than cores and are left as they are, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def to_pdf(rows: DataFrame, key: str, make: Callable[..., bytes]) -> DataFrame:
     """key and content: ``make`` gets a row's other columns, in order, and returns the file's bytes."""
     kind = dict(rows.dtypes)[key]
@@ -21,7 +30,7 @@ def to_pdf(rows: DataFrame, key: str, make: Callable[..., bytes]) -> DataFrame:
                 files = pa.array([make(*v) for v in values], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), files], names=[key, "content"])
 
-    return rows.select(*columns).mapInArrow(run, f"{key} {kind}, content binary")
+    return spread(rows.select(*columns)).mapInArrow(run, f"{key} {kind}, content binary")
 
 
 def pages_of(text: str | None, size: int = 40) -> list[str]:
