@@ -11,8 +11,9 @@ quotations, whole copies), and deleting those would lose main text. Elements tha
 as furniture (navigation, forms, adverts, comments, ...) go in any case. A pair that shares more
 than ``COPY_SHARE`` of the page's text is a copy and says nothing about furniture.
 
-The pages are dealt by ranges of (host, path), so a host with a third of all pages spreads over
-many tasks. A page at the edge of a range has one neighbour in place of two.
+The pages are dealt by ranges of (host, path, page_id), so a host with a third of all pages spreads
+over many tasks. The pages on either side of each cut go to both ranges, where the foreign one only
+serves as a neighbour: texts don't depend on the number of ranges or on where the cuts fall.
 
 Edge cases: null or empty html gives an empty text; a null URL is a host of its own without pairs;
 malformed markup is read leniently and never fails; repeated rows are returned each; pages with
@@ -23,6 +24,7 @@ are never read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -256,14 +258,20 @@ def nearest(path: str, before: str | None, after: str | None) -> bool:
 
 
 def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages sorted by host and path, each against its nearest neighbour; holds three pages' lines."""
+    """Pages sorted by range, host and path, each against its nearest neighbour; holds three pages' lines.
+
+    Rows that aren't the range's own are neighbours only and give no result.
+    """
     before = here = None
     done: list[tuple] = []
 
     def settle(page, left, right):
-        page_id, url, host, path, lines = page
-        left = left if left and host is not None and left[2] == host else None
-        right = right if right and host is not None and right[2] == host else None
+        page_id, url, place, path, lines, own = page
+        if not own:
+            return
+        # A neighbour is of the same range and host.
+        left = left if left and place[1] is not None and left[2] == place else None
+        right = right if right and place[1] is not None and right[2] == place else None
         if left and nearest(path, left[3], right and right[3]):
             other = left[4]
         else:
@@ -278,9 +286,9 @@ def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     for batch in batches:
-        for row in zip(*[batch.column(i) for i in range(5)], strict=True):
-            page_id, url, html, host, path = (x.as_py() for x in row)
-            new = (page_id, url, host, path, lines_of(html))
+        for row in zip(*[batch.column(i) for i in range(7)], strict=True):
+            page_id, url, html, host, path, part, own = (x.as_py() for x in row)
+            new = (page_id, url, (part, host), path, lines_of(html), own)
             if here:
                 settle(here, before, new)
             before, here = here, new
@@ -292,8 +300,61 @@ def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+ORDER = ("host", "path", "page_id")
+#: Keys drawn for each range to find the cuts: what the driver holds grows with the ranges only.
+DRAWN = 20
+
+
+def sortable(host: str | None, path: str | None, page_id: int | None) -> tuple:
+    """A key that Python orders as Spark orders (host, path, page_id): nulls first, text by code points."""
+    return (host is not None, host or "", path is not None, path or "", page_id is not None, page_id or 0)
+
+
+def cuts(keys: DataFrame, ranges: int) -> list[tuple]:
+    """At most ``ranges`` - 1 sorted keys, each the first of a range, from keys drawn by their hash."""
+    total = keys.count()
+    share = min(1.0, DRAWN * ranges / max(total, 1))
+    drawn = F.pmod(F.xxhash64(*ORDER), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
+    found = sorted(sortable(*r) for r in keys.filter(drawn).distinct().collect())
+    return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+
+
+def deal(keyed: DataFrame, ranges: int) -> DataFrame:
+    """Adds ``range`` and ``own``; a page at a cut also has a row for the range beyond it, not its own."""
+    spark = keyed.sparkSession
+    keys = keyed.select(*ORDER)
+    bounds = spark.sparkContext.broadcast(cuts(keys, ranges))  # at most a key for each range
+
+    @F.arrow_udf("int")
+    def place(host: pa.Array, path: pa.Array, page_id: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds.value, k) for k in _keys(host, path, page_id)], pa.int32())
+
+    first = F.struct(*ORDER)
+    ends = keys.withColumn("range", place(*ORDER)).groupBy("range").agg(F.min(first).alias("low"), F.max(first).alias("high"))
+    ends = ends.orderBy("range").collect()  # a row for each range
+    beyond: dict[tuple, list[int]] = {}
+    for left, right in zip(ends, ends[1:], strict=False):
+        beyond.setdefault(sortable(*left["high"]), []).append(right["range"])
+        beyond.setdefault(sortable(*right["low"]), []).append(left["range"])
+    others = spark.sparkContext.broadcast(beyond)  # two for each range at most
+
+    @F.arrow_udf("array<int>")
+    def places(host: pa.Array, path: pa.Array, page_id: pa.Array) -> pa.Array:
+        found = [[bisect_right(bounds.value, k), *others.value.get(k, ())] for k in _keys(host, path, page_id)]
+        return pa.array(found, pa.list_(pa.int32()))
+
+    columns = keyed.columns
+    dealt = keyed.select(*columns, F.posexplode(places(*ORDER)).alias("at", "range"))
+    return dealt.select(*columns, "range", (F.col("at") == 0).alias("own"))
+
+
+def _keys(*columns: pa.Array) -> Iterator[tuple]:
+    return (sortable(*key) for key in zip(*[c.to_pylist() for c in columns], strict=True))
+
+
+def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of every page; ``ranges`` defaults to the shuffle partitions."""
+    ranges = ranges or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = F.regexp_replace(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     keyed = pick(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long"),
@@ -302,5 +363,5 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias("host"),
         F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
     )
-    order = ["host", "path", "page_id"]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order, "html").mapInArrow(difference, SCHEMA)
+    dealt = deal(keyed, ranges).repartitionById(ranges, F.col("range"))
+    return dealt.sortWithinPartitions("range", *ORDER, "html").mapInArrow(difference, SCHEMA)

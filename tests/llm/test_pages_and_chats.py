@@ -55,6 +55,34 @@ def test_undeclared_furniture_goes_by_differencing(spark):
     assert found[10] == "Home | About us Alone All rights kept by us"
 
 
+def test_cuts_between_ranges_leave_no_trace(spark):
+    """Any number of ranges gives what one sorted list of all pages gives."""
+    rnd = random.Random(8)
+    hosts = ["hot.example"] * 6 + ["a.example", "b.example", None]
+    rows = []
+    for i in range(400):
+        host = rnd.choice(hosts)
+        body = "".join(f"<p>{rnd.choice('abcdefgh') * 9}</p>" for _ in range(6))
+        url = host and f"http://{host}/{rnd.randrange(4)}/{rnd.randrange(90)}"
+        rows.append(page(rnd.choice([i, 7, None]), url, f"<div>Home of {host}</div>{body}<p>own {i}</p>"))
+    rows += rows[:20]
+
+    def split(r):
+        rest = r[1] and r[1].removeprefix("http://")
+        return (*(rest.split("/", 1) if rest else (None, None)), r[0])
+
+    ordered = sorted(rows, key=lambda r: (html_extract.sortable(*split(r)), r[2]))
+    lines, wanted = [html_extract.lines_of(r[2]) for r in ordered], []
+    for i, r in enumerate(ordered):
+        host, path, _ = split(r)
+        near = [j for j in (i - 1, i + 1) if 0 <= j < len(ordered) and host and split(ordered[j])[0] == host]
+        shared = lambda j: next((k for k, (x, y) in enumerate(zip(path, split(ordered[j])[1])) if x != y), min(len(path), len(split(ordered[j])[1])))
+        wanted.append((str(r[0]), html_extract.main_text(lines[i], lines[max(near, key=lambda j: (shared(j), -j))] if near else None)))
+    for ranges in (1, 3, 64):
+        found = html_extract.extract(spark.createDataFrame(rows, PAGES), ranges).collect()
+        assert sorted((str(r["page_id"]), r["text"]) for r in found) == sorted(wanted)
+
+
 def test_copies_and_shared_sentences_stay(spark):
     copy = "<article><p>The same article.</p><p>Licensed freely.</p></article>"
     bare = "<p>A page without marks.</p><p>Copied whole.</p>"
