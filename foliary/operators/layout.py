@@ -80,7 +80,7 @@ def segment_words(chars: DataFrame) -> DataFrame:
 
 def text_of(ch: str, *order: str) -> Column:
     """Aggregate: characters joined in order."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, ch)))
+    rows = F.sort_array(F.collect_list(F.struct(*order, ch)))
     return F.array_join(F.transform(rows, lambda r: r[ch]), "")
 
 
@@ -115,7 +115,7 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
 def page_text(lines: DataFrame, order: str = "reading_order") -> DataFrame:
     """Each page's lines in order, each with a line feed."""
-    rows = F.array_sort(F.collect_list(F.struct(order, "text")))
+    rows = F.sort_array(F.collect_list(F.struct(order, "text")))
     joined = F.concat(F.array_join(F.transform(rows, lambda r: r["text"]), "\n"), F.lit("\n"))
     return lines.groupBy(*PAGE).agg(joined.alias("text"), F.count(F.lit(1)).alias("n_lines"))
 

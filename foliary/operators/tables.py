@@ -34,16 +34,16 @@ def grid(chars: DataFrame) -> DataFrame:
 def cells(placed: DataFrame) -> DataFrame:
     """One row for each cell with text; glyphs below U+0020 and U+007F are dropped."""
     solid = placed.filter((F.col("ch") >= " ") & (F.col("ch") != "\x7f"))
-    rows = F.array_sort(F.collect_list(F.struct("x", "ord", "ch")))
+    rows = F.sort_array(F.collect_list(F.struct("x", "ord", "ch")))
     return solid.groupBy(*PAGE, "row", "col").agg(F.trim(F.array_join(F.transform(rows, lambda r: r["ch"]), "")).alias("text"))
 
 
 def _table(cells: DataFrame, keys: tuple[str, ...], cell: Column, between: str, line) -> DataFrame:
     """Cells joined to rows and rows to a text; ``line`` gets a row's joined cells and its number."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("col"), cell.alias("v"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("col"), cell.alias("v"))))
     rows = cells.groupBy(*keys, "row").agg(F.array_join(F.transform(ordered, lambda c: c["v"]), between).alias("r"))
     rows = rows.withColumn("r", line(F.col("r"), F.col("row")))
-    down = F.array_sort(F.collect_list(F.struct("row", "r")))
+    down = F.sort_array(F.collect_list(F.struct("row", "r")))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(down, lambda r: r["r"]), "").alias("content"))
 
 
@@ -69,17 +69,17 @@ def to_markdown(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     width = F.greatest(F.lit(3), F.max(F.octet_length("text")).over(Window.partitionBy(*keys, "col")))
     sized = sized.withColumn("w", width)
     padded = F.concat(F.lit(" "), F.col("text"), F.repeat(F.lit(" "), F.col("w") - F.octet_length("text")), F.lit(" "))
-    ordered = F.array_sort(F.collect_list(F.struct("col", padded.alias("v"), "w")))
+    ordered = F.sort_array(F.collect_list(F.struct("col", padded.alias("v"), "w")))
     rows = sized.groupBy(*keys, "row").agg(ordered.alias("c"))
     line = F.concat(F.lit("|"), F.array_join(F.transform("c", lambda c: c["v"]), "|"), F.lit("|\n"))
     rule = F.concat(F.lit("|"), F.array_join(F.transform("c", lambda c: F.repeat(F.lit("-"), c["w"] + 2)), "|"), F.lit("|\n"))
     rows = rows.select(*keys, "row", F.when(F.col("row") == 0, F.concat(line, rule)).otherwise(line).alias("r"))
-    down = F.array_sort(F.collect_list(F.struct("row", "r")))
+    down = F.sort_array(F.collect_list(F.struct("row", "r")))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(down, lambda r: r["r"]), "").alias("content"))
 
 
 def to_json(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct("row", "col", "text")))
+    listed = F.sort_array(F.collect_list(F.struct("row", "col", "text")))
     return cells.groupBy(*keys).agg(
         F.to_json(F.struct((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), listed.alias("cells"))).alias("content")
     )
