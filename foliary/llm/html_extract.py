@@ -5,11 +5,13 @@ path is nearest (longest common beginning). The text lines of both are aligned b
 common subsequence, and lines that they share are deleted: menus, notices and other furniture that
 a site repeats without marking it up.
 
-Differencing decides the lines outside of an ``article`` element. Lines inside one are kept even if
-a neighbour has them too: pages of one site do repeat sentences of their articles (licences,
-quotations, whole copies), and deleting those would lose main text. Elements that name themselves
-as furniture (navigation, forms, adverts, comments, ...) go in any case. A pair that shares more
-than ``COPY_SHARE`` of the page's text is a copy and says nothing about furniture.
+Differencing runs on every page, and what the neighbour doesn't share stays, inside of an
+``article`` element or not. As a check after it, shared lines inside an article are spared: pages
+of one site do repeat sentences of their articles (licences, quotations), and deleting those would
+lose main text. Elements that name themselves as furniture (navigation, forms, adverts, comments,
+...) go in any case. A pair that shares more than ``COPY_SHARE`` of the page's text, and of its
+article's if it has one, is a copy and says nothing about furniture. Such a page, like one without
+a pair, is reduced to its article if that holds most of its text, and else kept whole.
 
 The pages are dealt by ranges of (host, path, page_id), so a host with a third of all pages spreads
 over many tasks. The pages on either side of each cut go to both ranges, where the foreign one only
@@ -233,20 +235,26 @@ def _lcs(a: list, b: list) -> list[bool]:
 
 def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
     """Lines in page order, without the undeclared furniture that the neighbour shares."""
-    if neighbour and not all(x.article for x in lines):
-        if any(x.article for x in lines):
-            # The page says where its article is; what lies outside of it isn't the article.
-            return " ".join([x.text for x in lines if x.article])
+    if neighbour:
         shared = common_lines([x.text for x in lines], [x.text for x in neighbour])
-        total = sum(len(x.text) for x in lines)
-        lost = sum(len(x.text) for x, s in zip(lines, shared, strict=True) if s)
-        if lost <= COPY_SHARE * total:
-            return " ".join([x.text for x, s in zip(lines, shared, strict=True) if not s])
-    if any(x.article for x in lines):
-        return " ".join([x.text for x in lines if x.article])
+        if not _copied(lines, shared):
+            return " ".join([x.text for x, s in zip(lines, shared, strict=True) if x.article or not s])
+    article = [x.text for x in lines if x.article]
+    if 2 * sum(map(len, article)) > sum(len(x.text) for x in lines):
+        return " ".join(article)
     return " ".join([x.text for x in lines])
 
 
+def _copied(lines: list[Line], shared: list[bool]) -> bool:
+    """Whether too much is shared, of the page and of its article, for the rest to be another page."""
+    both = list(zip(lines, shared, strict=True))
+    for part in (both, [(x, s) for x, s in both if x.article]):
+        total, lost = sum(len(x.text) for x, _ in part), sum(len(x.text) for x, s in part if s)
+        if part and lost <= COPY_SHARE * total:
+            return False
+    return True
+
+
 def nearest(path: str, before: str | None, after: str | None) -> bool:
     """Whether the page before shares a longer beginning of its path than the one after."""
 

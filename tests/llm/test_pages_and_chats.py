@@ -91,6 +91,17 @@ def test_copies_and_shared_sentences_stay(spark):
     assert {found[i] for i in range(3)} == {"The same article. Licensed freely."} and found[9] == found[10] == "A page without marks. Copied whole."
 
 
+def test_differencing_decides_pages_with_articles(spark):
+    """A headline before the article and a body beside a teaser stay; the menu goes, the licence in the article stays."""
+    menu, licence = "<div>Home | About us</div>", "<p>Licensed freely.</p>"
+    rows = [page(i, f"http://a.example/{i}", f"{menu}<h1>Headline {i}</h1><article><p>Story {i * 7919} at some length.</p>{licence}</article>") for i in range(4)]
+    teaser = "<article><p>Read this too.</p></article>"
+    rows += [page(10 + i, f"http://b.example/{i}", f"{menu}<div>A body of its own, number {i * 7919}, told at length.</div>{teaser}") for i in range(4)]
+    found = extract(spark, rows)
+    assert all(found[i] == f"Headline {i} Story {i * 7919} at some length. Licensed freely." for i in range(4))
+    assert all(found[10 + i] == f"A body of its own, number {i * 7919}, told at length. Read this too." for i in range(4))
+
+
 def test_odd_pages(spark):
     long = "<p>" + "word " * 50_000
     rows = [page(1, None, "<p>no url"), page(2, "http://a", None), page(3, "http://a", ""), page(4, "nonsense", "<<<p <b 'x' a<b & c"), page(5, "http://a", long), page(None, None, "<p>twice"), page(None, None, "<p>twice"), page(6, "u", "<i>" * 3000 + "deep"), page(7, "u", "&#128578;&nbsp;&bogus; x")]
