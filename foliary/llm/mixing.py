@@ -5,9 +5,10 @@ their marginals meet the targets; raked over observed share is a cell's factor,
 sampled with a probability in proportion to it. The probabilities are as large as they can be
 without any above one, so the expected marginals are the targets.
 
-Sources, languages and topics below a least share of the rows count as one, "(other)". That bounds
-the number of categories, and so the table of cells that is raked on the driver and broadcast:
-with the default shares at most 201 x 101 x 5 cells.
+Every source, language and topic has a target of its own, however many there are. Up to
+``LOCAL_CELLS`` cells are raked on the driver and broadcast; beyond that marginals and factors are
+tables, summed and joined back axis by axis. Values count as one, "(other)", only where the caller
+asks for it: by a least share of the rows for an axis, or by giving "(other)" a target.
 
 Edge cases: null source, language or text have categories "(none)" or count as empty text; a
 document without words belongs to a cell like any other but weighs nothing; the draw depends on
@@ -25,7 +26,8 @@ from .common import cut, keep_rows, pick
 
 OTHER, NONE = "(other)", "(none)"
 AXES = ("source", "lang", "topic")
-LEAST_SHARE = {"source": 0.005, "lang": 0.01, "topic": 0.0}
+#: Cells that the driver collects and rakes, and that are broadcast; checked by counting them.
+LOCAL_CELLS = 100_000
 #: Targets are the observed shares to this power, renormalised: below 1 they are evened out.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 SEED = 20240601
@@ -66,27 +68,81 @@ def rake(weights: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], roun
     return w
 
 
-def _categories(rows: DataFrame, axis: str) -> list[str]:
-    """Values with at least the least share of all rows: at most 1 / share of them."""
+def rake_tables(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 1000, within: float = 1e-10) -> DataFrame:
+    """Cells with their ``factor``, raked over observed share, as ``rake`` has it; nothing is gathered.
+
+    Only goals and factors, a row for each category, are written between the steps.
+    """
+    spark = cells.sparkSession
+    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    shares = cells.select(*AXES, (F.col("tokens") / F.lit(max(total, 1e-300))).alias("share"))
+    goals, factors = {}, {}
+    for axis in AXES:
+        have = shares.groupBy(axis).agg(F.sum("share").alias("have"))
+        given = targets.get(axis)
+        if given:
+            named = spark.createDataFrame([(k, float(v)) for k, v in given.items()], f"{axis} string, goal double")
+            have = have.join(named, axis, "left").withColumn("goal", F.coalesce("goal", F.lit(0.0)))
+        else:
+            have = have.withColumn("goal", F.pow("have", F.lit(TEMPER[axis])))
+        have = cut(have.select(axis, F.when(F.col("have") > 0, F.col("goal")).otherwise(0.0).alias("goal")), "goals")
+        whole = max(have.agg(F.sum("goal")).first()[0] or 0.0, 1e-300)
+        goals[axis] = have.select(axis, (F.col("goal") / F.lit(whole)).alias("goal"))
+        factors[axis] = have.select(axis, F.lit(1.0).alias(f"by_{axis}"))
+
+    def joined() -> DataFrame:
+        out = shares
+        for axis in AXES:
+            out = out.join(factors[axis], axis)
+        return out.withColumn("factor", F.col("by_source") * F.col("by_lang") * F.col("by_topic"))
+
+    for _ in range(rounds):
+        worst = 0.0
+        for axis in AXES:
+            have = joined().groupBy(axis).agg(F.sum(F.col("share") * F.col("factor")).alias("have"))
+            ratio = F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0)
+            step = have.join(goals[axis], axis).join(factors[axis], axis)
+            step = cut(step.select(axis, (F.col(f"by_{axis}") * ratio).alias(f"by_{axis}"), F.abs(F.col("goal") - F.col("have")).alias("off")), "factors")
+            worst = max(worst, step.agg(F.max("off")).first()[0] or 0.0)
+            factors[axis] = step.drop("off")
+        if worst < within:
+            break
+    return joined().select(*AXES, "share", "factor")
+
+
+def _lump(rows: DataFrame, axis: str, given: dict[str, float], least: float) -> DataFrame:
+    """Values of an axis as "(other)", if neither a target names them nor their share is at least ``least``."""
     counts = rows.groupBy(axis).count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    named = counts.filter(F.col("count") >= F.lit(LEAST_SHARE[axis] * total)).select(axis).orderBy(axis).collect()
-    return [r[0] for r in named]
+    stay = F.col(axis).isin(list(given)) | (F.col("count") >= F.lit(least * total))
+    named = counts.select(axis, F.when(stay, F.col(axis)).otherwise(OTHER).alias("__name"))
+    columns = rows.columns
+    return rows.join(named, axis).withColumn(axis, F.col("__name")).select(*columns)
 
 
-def plan(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows with their categories, and the probability of every cell.
+def plan(
+    rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, least_share: dict[str, float] | None = None
+) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows with their categories, the probability of every cell, and whether the cells are few.
 
     ``targets`` maps an axis to shares by value; an axis without has the tempered observed shares.
+    ``least_share`` maps an axis to the share of rows below which values count as "(other)".
     """
-    spark, targets = rows.sparkSession, targets or {}
+    spark, targets, least_share = rows.sparkSession, targets or {}, least_share or {}
     for axis in AXES:
-        names = sorted(set(targets.get(axis, ())) | set(_categories(rows, axis)))
-        rows = rows.withColumn(axis, F.when(F.col(axis).isin(names), F.col(axis)).otherwise(OTHER))
-    cells = rows.groupBy(*AXES).agg(F.sum("tokens").cast("double").alias("tokens")).orderBy(*AXES).collect()
+        given = targets.get(axis) or {}
+        if axis in least_share or OTHER in given:
+            rows = _lump(rows, axis, given, least_share.get(axis, 2.0))
+    table = cut(rows.groupBy(*AXES).agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
+    if table.count() > LOCAL_CELLS:
+        raked = cut(rake_tables(table, targets), "raked")
+        top = raked.filter("share > 0").agg(F.max("factor")).first()[0] or 0.0
+        chance = F.when(F.col("share") > 0, F.col("factor") / F.lit(top)).otherwise(1.0) if top > 0 else F.lit(1.0)
+        return rows, raked.select(*AXES, chance.alias("probability")), False
+    cells = table.orderBy(*AXES).collect()
     schema = "source string, lang string, topic string, probability double"
     if not cells:
-        return rows, spark.createDataFrame([], schema)
+        return rows, spark.createDataFrame([], schema), True
     weights = np.array([c["tokens"] or 0.0 for c in cells])
     codes, goals = [], []
     for axis in AXES:
@@ -104,7 +160,7 @@ def plan(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None) ->
     top = factor.max(initial=0)
     chance = factor / top if top > 0 else np.ones_like(factor)
     listed = [(*[c[a] for a in AXES], float(p)) for c, p in zip(cells, chance, strict=True)]
-    return rows, spark.createDataFrame(listed, schema)
+    return rows, spark.createDataFrame(listed, schema), True
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
@@ -112,7 +168,9 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = SEED) -> DataFrame:
+def mix(
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = SEED, least_share: dict[str, float] | None = None
+) -> DataFrame:
     """doc_id, its cell and tokens, the cell's probability, and whether the document is drawn."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = pick(docs, "doc_id", "text", "lang", "source").select(
@@ -123,10 +181,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, see
         F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))).cast("long").alias("tokens"),
     )
     rows = cut(base.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("tokens")).alias("topic"), "tokens"), "mixing")
-    rows, cells = plan(rows, targets)
+    rows, cells, few = plan(rows, targets, least_share)
     cells = cells.select(*[F.col(a).alias(f"__{a}") for a in AXES], "probability")
     same = [F.col(a) == F.col(f"__{a}") for a in AXES]
-    found = rows.join(F.broadcast(cells), same[0] & same[1] & same[2], "left").drop(*[f"__{a}" for a in AXES])
+    found = rows.join(F.broadcast(cells) if few else cells, same[0] & same[1] & same[2], "left").drop(*[f"__{a}" for a in AXES])
     return found.withColumn("selected", draw(F.col("doc_id"), seed) < F.col("probability"))
 
 

@@ -205,6 +205,24 @@ def test_mixing_meets_the_targets(spark):
     assert {r["doc_id"] for r in again.filter("selected").collect()} == {r["doc_id"] for r in drawn}
 
 
+def test_every_source_has_a_target_of_its_own(spark, monkeypatch):
+    """A hot source among hundreds of small ones, raked on the driver and as tables."""
+    rows = [row(i, "w " * 10, "en", "hot") for i in range(400)] + [row(1000 + i, "w " * 10, "en", f"s{i % 400:03}") for i in range(800)]
+    rows += [row(5000, "", "de", "blank"), row(5001, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = mixing.mix(docs).collect()
+    weight = sum(r["tokens"] * r["probability"] for r in found)
+    share = lambda name: sum(r["tokens"] * r["probability"] for r in found if r["source"] == name) / weight
+    root = 400**0.5 + 400 * 2**0.5
+    assert len({r["source"] for r in found}) == 403
+    assert abs(share("hot") - 400**0.5 / root) < 1e-6 and abs(share("s007") - 2**0.5 / root) < 1e-6
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
+    chance = {r["doc_id"]: r["probability"] for r in mixing.mix(docs).collect()}
+    assert len(chance) == len(found) and all(abs(chance[r["doc_id"]] - r["probability"]) < 1e-6 for r in found)
+    lumped = mixing.mix(docs, least_share={"source": 0.01}).collect()
+    assert {r["source"] for r in lumped} == {"hot", "(other)"} and len(lumped) == len(rows)
+
+
 def test_mixing_bears_odd_rows(spark):
     docs = documents(spark)
     assert mixing.mix(docs).count() == docs.count()
