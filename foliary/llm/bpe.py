@@ -19,18 +19,23 @@ import heapq
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Words that a Python worker remembers between batches and tasks, at about 200 bytes each.
-REMEMBERED = 1_000_000
+#: Bytes of words and their ids that a task remembers between its slices, with what Python adds to each.
+REMEMBERED, EACH = 48 << 20, 180
+#: UTF-8 bytes of the texts that are taken at a time; one longer text makes a slice of its own.
+SLICE = 4 << 20
+#: Characters of a text beyond which its words are made one by one, not as a list.
+LISTED = 1 << 20
 
 # The letters and digits below U+0100, and white space there.
 LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -49,17 +54,18 @@ class Pretokenizer:
     def __init__(self, pattern: str):
         import regex
 
-        self.general = regex.compile(pattern).findall
+        self.general = regex.compile(pattern)
         narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{LATIN_SPACE}{LATIN_LETTERS}{LATIN_NUMBERS}]")
         narrow = narrow.replace(r"\p{L}", f"[{LATIN_LETTERS}]").replace(r"\p{N}", f"[{LATIN_NUMBERS}]")
         narrow = narrow.replace(r"\s", f"[{LATIN_SPACE}]").replace(r"\S", f"[^{LATIN_SPACE}]")
-        self.narrow = None if r"\p" in narrow else re.compile(narrow).findall
+        self.narrow = None if r"\p" in narrow else re.compile(narrow)
         self.beyond = re.compile("[^\x00-\xff]").search
 
-    def __call__(self, text: str) -> list[str]:
-        if self.narrow and not self.beyond(text):
-            return self.narrow(text)
-        return self.general(text)
+    def __call__(self, text: str) -> Iterable[str]:
+        found = self.narrow if self.narrow and not self.beyond(text) else self.general
+        if len(text) > LISTED:
+            return (m.group() for m in found.finditer(text))
+        return found.findall(text)
 
 
 class MergeReplay:
@@ -158,25 +164,50 @@ class MergeReplay:
         return b"".join(map(self.of.__getitem__, ids))
 
 
-def encode_texts(texts: list[str], split: Pretokenizer, replay: MergeReplay, held: dict) -> list[list[int]]:
-    """Ids of each text. ``held`` remembers words' ids, packed as 32-bit numbers."""
-    if len(held) > REMEMBERED:
-        held.clear()
-    cuts = [split(t) for t in texts]
-    fresh = [w for w in set().union(*cuts) if w not in held]
-    for w, ids in zip(fresh, replay.encode([w.encode() for w in fresh]), strict=True):
-        held[w] = array("I", ids).tobytes()
-    return [np.frombuffer(b"".join([held[w] for w in words]), np.uint32).tolist() for words in cuts]
+class Held(dict):
+    """Ids of words, packed as 32-bit numbers; forgets all when it outgrows ``REMEMBERED``."""
+
+    size = 0
+
+    def add(self, words: list[str], found: list[list[int]]) -> None:
+        for w, ids in zip(words, found, strict=True):
+            self[w] = packed = array("I", ids).tobytes()
+            self.size += len(w) + len(packed) + EACH
+
+    def trim(self) -> None:
+        if self.size > REMEMBERED:
+            self.clear()
+            self.size = 0
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def encode_texts(texts: list[str], split: Pretokenizer, replay: MergeReplay, held: Held) -> Iterator[list[int]]:
+    """Ids of each text. ``held`` remembers words from one call to the next."""
+    held.trim()
+    numbers = Numbers()
+    cuts = [array("I", map(numbers.__getitem__, split(t))) for t in texts]
+    fresh = [w for w in numbers if w not in held]
+    held.add(fresh, replay.encode([w.encode() for w in fresh]))
+    packed = [held[w] for w in numbers]
+    for words in cuts:
+        yield np.frombuffer(b"".join([packed[i] for i in words]), np.uint32).tolist()
 
 
 _STATE: dict[str, tuple] = {}
 
 
-def worker_state(key: str, pattern: str, ranks) -> tuple[Pretokenizer, MergeReplay, dict]:
-    """What a Python worker keeps between its tasks; ``key`` names the vocabulary and pattern."""
+def worker_state(key: str, pattern: str, ranks) -> tuple[Pretokenizer, MergeReplay]:
+    """What a Python worker keeps between its tasks: the tables of the vocabulary that ``key`` names."""
     if key not in _STATE:
         _STATE.clear()
-        _STATE[key] = (Pretokenizer(pattern), MergeReplay(ranks.value), {})
+        _STATE[key] = (Pretokenizer(pattern), MergeReplay(ranks.value))
     return _STATE[key]
 
 
@@ -190,7 +221,8 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fa
     key = hashlib.sha256(repr((pattern, sorted(table.items()))).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, replay, held = worker_state(key, pattern, ranks)
+        split, replay = worker_state(key, pattern, ranks)
+        held = Held()
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -211,13 +243,20 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fa
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces, so that what is held beside it stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of ``most`` bytes of text, so that what is held beside it stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def token_ids(texts: list[str], vocabulary: str, pattern: str) -> list[list[int]]:
     """Ids of each text, on one machine; for use beside Spark."""
     split, replay = Pretokenizer(pattern), MergeReplay(read_ranks(vocabulary))
-    return encode_texts(texts, split, replay, {})
+    return list(encode_texts(texts, split, replay, Held()))
