@@ -18,11 +18,13 @@ table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, pick
+from .common import SPACES, cut, pick
 
 OTHER, NONE = "(other)", "(none)"
 AXES = ("source", "lang", "topic")
@@ -110,48 +112,68 @@ def rake_tables(cells: DataFrame, targets: dict[str, dict[str, float]], rounds:
     return joined().select(*AXES, "share", "factor")
 
 
-def _lump(rows: DataFrame, axis: str, given: dict[str, float], least: float) -> DataFrame:
-    """Values of an axis as "(other)", if neither a target names them nor their share is at least ``least``."""
-    counts = rows.groupBy(axis).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    stay = F.col(axis).isin(list(given)) | (F.col("count") >= F.lit(least * total))
-    named = counts.select(axis, F.when(stay, F.col(axis)).otherwise(OTHER).alias("__name"))
-    columns = rows.columns
-    return rows.join(named, axis).withColumn(axis, F.col("__name")).select(*columns)
+def _names(cells: DataFrame, axis: str, given: dict[str, float], least: float) -> DataFrame:
+    """(axis, name): "(other)" where neither a target names the value nor its share of rows is at least ``least``."""
+    counts = cells.groupBy(axis).agg(F.sum("docs").alias("docs"))
+    total = counts.agg(F.sum("docs")).first()[0] or 0
+    stay = F.col(axis).isin(list(given)) | (F.col("docs") >= F.lit(least * total))
+    return counts.select(axis, F.when(stay, F.col(axis)).otherwise(OTHER).alias("name"))
+
+
+class Plan(NamedTuple):
+    """Names of lumped axes, the probability of every cell, and whether the cells are few."""
+
+    names: dict[str, DataFrame]
+    cells: DataFrame
+    few: bool
+
+    def attach(self, rows: DataFrame, prefix: str = "") -> DataFrame:
+        """Rows with ``probability``; their categories are in the axes' columns with ``prefix``."""
+        for axis, names in self.names.items():
+            names = names.select(F.col(axis).alias("__value"), F.col("name").alias("__name"))
+            rows = rows.join(names, F.col(prefix + axis) == F.col("__value")).withColumn(prefix + axis, F.col("__name")).drop("__value", "__name")
+        cells = self.cells.select(*[F.col(a).alias(f"__cell_{a}") for a in AXES], F.col("probability").alias(prefix + "probability"))
+        same = [F.col(prefix + a) == F.col(f"__cell_{a}") for a in AXES]
+        found = rows.join(F.broadcast(cells) if self.few else cells, same[0] & same[1] & same[2], "left")
+        return found.drop(*[f"__cell_{a}" for a in AXES])
 
 
-def plan(
-    rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, least_share: dict[str, float] | None = None
-) -> tuple[DataFrame, DataFrame, bool]:
-    """Rows with their categories, the probability of every cell, and whether the cells are few.
+def plan(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, least_share: dict[str, float] | None = None) -> Plan:
+    """Probabilities from rows with their categories and tokens.
 
     ``targets`` maps an axis to shares by value; an axis without has the tempered observed shares.
     ``least_share`` maps an axis to the share of rows below which values count as "(other)".
     """
     spark, targets, least_share = rows.sparkSession, targets or {}, least_share or {}
+    table = cut(rows.groupBy(*AXES).agg(F.sum("tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("docs")), "cells")
+    names = {}
     for axis in AXES:
         given = targets.get(axis) or {}
         if axis in least_share or OTHER in given:
-            rows = _lump(rows, axis, given, least_share.get(axis, 2.0))
-    table = cut(rows.groupBy(*AXES).agg(F.sum("tokens").cast("double").alias("tokens")), "cells")
+            names[axis] = _names(table, axis, given, least_share.get(axis, 2.0))
+    if names:
+        lumped = table
+        for axis, named in names.items():
+            lumped = lumped.join(named, axis).withColumn(axis, F.col("name")).drop("name")
+        table = cut(lumped.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")), "cells")
     if table.count() > LOCAL_CELLS:
         raked = cut(rake_tables(table, targets), "raked")
         top = raked.filter("share > 0").agg(F.max("factor")).first()[0] or 0.0
         chance = F.when(F.col("share") > 0, F.col("factor") / F.lit(top)).otherwise(1.0) if top > 0 else F.lit(1.0)
-        return rows, raked.select(*AXES, chance.alias("probability")), False
+        return Plan(names, raked.select(*AXES, chance.alias("probability")), False)
     cells = table.orderBy(*AXES).collect()
     schema = "source string, lang string, topic string, probability double"
     if not cells:
-        return rows, spark.createDataFrame([], schema), True
+        return Plan(names, spark.createDataFrame([], schema), True)
     weights = np.array([c["tokens"] or 0.0 for c in cells])
     codes, goals = [], []
     for axis in AXES:
-        names = sorted({c[axis] for c in cells})
-        at = {n: i for i, n in enumerate(names)}
+        values = sorted({c[axis] for c in cells})
+        at = {n: i for i, n in enumerate(values)}
         code = np.array([at[c[axis]] for c in cells])
-        have = np.bincount(code, weights, len(names))
+        have = np.bincount(code, weights, len(values))
         given = targets.get(axis)
-        goals.append(np.array([given.get(n, 0.0) for n in names]) if given else have ** TEMPER[axis])
+        goals.append(np.array([given.get(n, 0.0) for n in values]) if given else have ** TEMPER[axis])
         codes.append(code)
     raked = rake(weights, np.array(codes).T, goals)
     share = weights / max(weights.sum(), 1e-300)
@@ -160,7 +182,7 @@ def plan(
     top = factor.max(initial=0)
     chance = factor / top if top > 0 else np.ones_like(factor)
     listed = [(*[c[a] for a in AXES], float(p)) for c, p in zip(cells, chance, strict=True)]
-    return rows, spark.createDataFrame(listed, schema), True
+    return Plan(names, spark.createDataFrame(listed, schema), True)
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
@@ -168,26 +190,27 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
+def _measures(prefix: str = "") -> dict[str, Column]:
+    """The axes' categories and the number of words of a row of documents."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    trimmed = F.btrim(text, F.lit(SPACES))
+    words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+    found = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": topic_of(text, words), "tokens": words}
+    return {prefix + k: v for k, v in found.items()}
+
+
 def mix(
     docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = SEED, least_share: dict[str, float] | None = None
 ) -> DataFrame:
     """doc_id, its cell and tokens, the cell's probability, and whether the document is drawn."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = pick(docs, "doc_id", "text", "lang", "source").select(
-        "doc_id",
-        F.coalesce("source", F.lit(NONE)).alias("source"),
-        F.coalesce("lang", F.lit(NONE)).alias("lang"),
-        text.alias("text"),
-        F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))).cast("long").alias("tokens"),
-    )
-    rows = cut(base.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("tokens")).alias("topic"), "tokens"), "mixing")
-    rows, cells, few = plan(rows, targets, least_share)
-    cells = cells.select(*[F.col(a).alias(f"__{a}") for a in AXES], "probability")
-    same = [F.col(a) == F.col(f"__{a}") for a in AXES]
-    found = rows.join(F.broadcast(cells) if few else cells, same[0] & same[1] & same[2], "left").drop(*[f"__{a}" for a in AXES])
+    base = pick(docs, "doc_id", "text", "lang", "source")
+    rows = cut(base.select("doc_id", *[c.alias(k) for k, c in _measures().items()]), "mixing")
+    found = plan(rows, targets, least_share).attach(rows)
     return found.withColumn("selected", draw(F.col("doc_id"), seed) < F.col("probability"))
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = SEED) -> DataFrame:
-    """The input rows that are drawn, all columns."""
-    return keep_rows(docs, mix(docs, targets, seed).filter("selected").select("doc_id"))
+    """The input rows that are drawn, all columns; each is decided where it is read."""
+    base = pick(docs, "text", "lang", "source").select(*[c.alias(k) for k, c in _measures().items()])
+    marked = plan(base, targets).attach(docs.withColumns(_measures("__mix_")), "__mix_")
+    return pick(marked.filter(draw(F.col("doc_id"), seed) < F.col("__mix_probability")), *docs.columns)

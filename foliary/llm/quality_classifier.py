@@ -1,16 +1,17 @@
 """Quality score from zstandard dictionaries built of good and of bad labelled text.
 
 Every piece of a whole text is compressed with either dictionary; the difference of the sizes,
-normalised by the text's length, goes through a logistic calibration.
+normalised by the text's length, goes through a logistic calibration. Nothing else is an input.
 
 Fitting reads at most ``FIT_ROWS`` labelled rows of each class with texts up to ``FIT_CHARS``
 (documented bounds; which rows is decided by a hash of their id). Half of them make the
 dictionaries, the other half the calibration. Scoring reads the whole of every text.
 
-Edge cases: null and empty texts get the calibration's score for a length of zero; labels other
-than 0 and 1 are ignored, as are labels without a document; with no labelled rows of a class every
-score is 0.5; repeated rows are scored alike; an empty table gives an empty result; no other
-column of the documents is read.
+Edge cases: null and empty texts get the calibration's score for no difference; labels other than
+0 and 1 are ignored, as are labels without a document and ids with both labels; of documents
+sharing a labelled id the least text is fitted; with no labelled rows of a class every score is
+0.5; repeated rows are scored alike; an empty table gives an empty result; no other column of the
+documents is read.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, pick
+from .common import pick
 
 FIT_ROWS = 1500
 FIT_CHARS = 40_000
 DICTIONARY = 65_536
-PIECE = 2_048
+PIECE = 1_024
 LEVEL = 3
 
 
@@ -77,15 +78,9 @@ class Sizer:
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
-    """From rows of (length, good, bad): a constant, the normalised difference, the better ratio."""
+    """From rows of (length, good, bad): a constant and the size difference normalised by the length."""
     n, good, bad = sizes.T.astype(float)
-    length = np.maximum(n, 1)
-    least = np.minimum(good, bad)
-    ratio = least / length
-    return np.column_stack([
-        n >= 0, 20 * (bad - good) / length, 10 * (bad - good) / np.maximum(least, 8), 4 * ratio, (4 * ratio) ** 2,
-        np.log1p(n) / 4,
-    ]).astype(float)
+    return np.column_stack([np.ones(len(n)), 20 * (bad - good) / np.maximum(n, 1)])
 
 
 def score(sizes: np.ndarray, weights) -> np.ndarray:
@@ -109,19 +104,20 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """From rows outside the held-out third."""
     marked = pick(labels, "doc_id", "quality").filter(F.col("quality").isin(0, 1) & ~in_held_out(F.col("doc_id")))
+    marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
     chosen = None
     for q in (0, 1):
         some = marked.filter(F.col("quality") == q).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(FIT_ROWS)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = pick(docs, "doc_id", "text").filter(F.length("text").between(1, FIT_CHARS))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["quality"]) for r in rows})
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    rows = sorted(tuple(r) for r in joined.collect())  # one text of each chosen id
     # One row of a text: copies would be in both halves.
     rows = list({r[1]: r for r in rows}.values())
     half = [hashlib.md5(str(r[0]).encode()).digest()[0] % 2 for r in rows]
     parts = {(q, h): [t.encode() for (_, t, y), z in zip(rows, half, strict=True) if (y, z) == (q, h)] for q in (0, 1) for h in (0, 1)}
     if not all(parts.values()):
-        return Model(b"", b"", (0.0,) * 6)
+        return Model(b"", b"", (0.0,) * 2)
     model = Model(_dictionary(parts[1, 0]), _dictionary(parts[0, 0]), ())
     sizer = Sizer(model)
     sizes = np.array([sizer(t.decode()) for q in (0, 1) for t in parts[q, 1]])
@@ -129,18 +125,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(model.good, model.bad, tuple(_calibrate(features(sizes), y)))
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row."""
+def scorer(docs: DataFrame, model: Model):
+    """A function of the text column that gives the score, in Arrow batches."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 64 KB
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sizer, weights = Sizer(sent.value), sent.value.weights
-        for batch in batches:
-            sizes = np.array([sizer(t.as_py()) for t in batch.column(1)], np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(sizes, weights))], names=["doc_id", "score"])
+        for texts in batches:
+            sizes = np.array([sizer(t.as_py()) for t in texts], np.int64).reshape(-1, 3)
+            yield pa.array(score(sizes, weights))
+
+    return scored
 
-    found = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
-    return found.select(
+
+def classify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row."""
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs, model)("text").alias("score"))
+    return rows.select(
         "doc_id",
         F.coalesce(in_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
@@ -149,6 +151,5 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The input rows predicted good, all columns."""
-    good = classify(docs, fit(docs, labels)).filter("predicted = 1")
-    return keep_rows(docs, good.select("doc_id"))
+    """The input rows predicted good, all columns; each is decided where it is read."""
+    return docs.filter(scorer(docs, fit(docs, labels))(F.col("text")) >= 0.5)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, pick
+from .common import FILE, ROW, cut, discard, locate, pick, scratch, without
 
 WORDS = 3
 SEED = 42
@@ -54,14 +54,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, fp (the fingerprint as a signed long) and locator of a located table's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py()) for t in batch.column(3)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], names=["doc_id", FILE, ROW, "fp"])
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = pick(docs, "doc_id", FILE, ROW, "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(run, f"doc_id long, {FILE} string, {ROW} long, fp long")
 
 
 def variants(distinct: DataFrame) -> DataFrame:
@@ -172,7 +173,12 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps, with group minima found by partial aggregation;
     each round ends in a table in the shared folder. Ends when a round changes nothing.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    def kept(rows: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch(spark, "edges")
+        rows.distinct().write.parquet(path)
+        return spark.read.schema("u long, v long").parquet(path), path
+
+    edges, path = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"))
     total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = None
     while True:
@@ -191,26 +197,40 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         pairs = large.join(least, F.col("u") == F.col("k"))
         small = pairs.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        old = path
+        edges, path = kept(small.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))))
+        discard(spark, old)  # the round before is not read again
 
 
 def group(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    spark = docs.sparkSession
-    prints = cut(fingerprints(docs), "fingerprints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    linked = components(spark, links(distinct, bucket))
+    prints, held = _grouped(locate(docs), bucket)
+    return prints.join(held, F.col("fp") == F.col("held")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id")
+    )
+
+
+def _grouped(located: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and for each distinct one its component's first row.
+
+    The first row has the least doc_id, null after all others, and the least locator.
+    """
+    spark = located.sparkSession
+    prints = cut(fingerprints(located), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", FILE, ROW)
+    distinct = cut(prints.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
+    linked = components(spark, links(distinct.select("fp"), bucket))
     rooted = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    ids = rooted.groupBy(F.col("root").alias("k")).agg(F.min("first").alias("component_id"))
-    held = rooted.join(ids, F.col("root") == F.col("k")).select(F.col("fp").alias("held"), "component_id")
-    return prints.join(held, F.col("fp") == F.col("held")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    ids = rooted.groupBy(F.col("root").alias("k")).agg(F.min("first").alias("first"))
+    held = rooted.drop("first").join(ids, F.col("root") == F.col("k")).select(F.col("fp").alias("held"), "first")
+    return prints, held
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The input rows whose doc_id is the smallest of its component, all columns."""
-    first = group(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return keep_rows(docs, first.select("doc_id"))
+    """Of each component the first row: the least doc_id, and of rows repeating it one; all columns."""
+    located = locate(docs)
+    prints, held = _grouped(located, BUCKET)
+    joined = prints.join(held, F.col("fp") == F.col("held"))
+    return without(located, joined.filter(~((F.col(FILE) == F.col(f"first.{FILE}")) & (F.col(ROW) == F.col(f"first.{ROW}")))))

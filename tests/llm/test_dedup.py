@@ -9,8 +9,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from foliary.llm import exact_dedup, simhash_dedup
+from foliary.llm.common import FILE, ROW, locate
 
-from .helpers import documents, empty, rows_of
+from .helpers import SCHEMA, documents, empty, row, rows_of
 
 
 def expected_exact(docs):
@@ -20,7 +21,8 @@ def expected_exact(docs):
     out = []
     for text, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
-        out += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+        kept = ids.index(keep)  # one row, though others may repeat it
+        out += [(i, keep, len(ids), k == kept, hashlib.sha256(text.encode()).hexdigest()) for k, i in enumerate(ids)]
     return sorted(out, key=repr)
 
 
@@ -32,7 +34,33 @@ def test_exact_matches_brute_force(spark):
     assert rows_of(exact_dedup.mark(docs), *COLUMNS) == expected_exact(docs)
     kept = exact_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in expected_exact(docs) if r[3]}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((r[0] for r in expected_exact(docs) if r[3]), key=repr)
+
+
+REPEATS = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "q"), (7, "z"), (7, "z"), (None, None), (None, "")]
+
+
+def multiset(df):
+    return sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=repr)
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Ids that repeat with other texts, null ids and fully repeated rows; from memory and from files."""
+    docs = spark.createDataFrame([row(i, t) for i, t in REPEATS], SCHEMA)
+    docs.write.parquet(str(tmp_path / "docs"))
+    for table in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        assert multiset(exact_dedup.deduplicate(table)) == sorted([(2, "a"), (1, "b"), (None, "q"), (7, "z"), (None, "")], key=repr)
+        assert multiset(simhash_dedup.deduplicate(table)) == sorted([(1, "a"), (1, "b"), (None, "q"), (7, "z"), (None, "")], key=repr)
+    assert exact_dedup.mark(docs).filter("kept").count() == 5
+
+
+def test_locators_lead_to_the_rows(spark, tmp_path):
+    docs = spark.createDataFrame([row(i, t) for i, t in REPEATS], SCHEMA)
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    located = locate(spark.read.parquet(str(tmp_path / "docs")))
+    assert located.select(FILE, ROW).distinct().count() == len(REPEATS)
+    twice = locate(spark.read.parquet(str(tmp_path / "docs")).withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))))
+    assert twice.select(FILE, ROW).distinct().count() == 2 * len(REPEATS)
 
 
 def test_exact_checks_full_texts_on_a_shared_digest(spark):
@@ -51,13 +79,14 @@ def test_state_resumes(spark, tmp_path):
     keys, state, out = (str(tmp_path / x) for x in ("keys", "state", "out"))
 
     def add(rows):
-        spark.createDataFrame(rows, "doc_id long, digest binary, locator long").coalesce(1).write.mode("append").parquet(keys)
+        schema = f"doc_id long, digest binary, {FILE} string, {ROW} long"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(keys)
         exact_dedup.update_state(spark, keys, state, out)
 
-    add([(1, b"a", 5), (2, b"b", 6)])
-    add([(7, b"a", 8), (9, b"c", 9)])
-    held = {bytes(r["digest"]): (r["keep_id"], r["group_size"], r["locator"]) for r in exact_dedup.read_state(spark, out).collect()}
-    assert held == {b"a": (7, 2, 8), b"b": (2, 1, 6), b"c": (9, 1, 9)}
+    add([(1, b"a", "f", 5), (2, b"b", "f", 6)])
+    add([(7, b"a", "g", 8), (9, b"c", "g", 9)])
+    held = {bytes(r["digest"]): (*r["best"], r["group_size"]) for r in exact_dedup.read_state(spark, out).collect()}
+    assert held == {b"a": (7, "g", 8, 2), b"b": (2, "f", 6, 1), b"c": (9, "g", 9, 1)}
 
 
 def plain_fingerprint(text):
