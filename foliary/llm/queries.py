@@ -44,7 +44,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.mark(table(spark, sf_dir, "documents")).drop("locator")
+    return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,23 +116,32 @@ m AS (
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM g LEFT JOIN r USING (doc_id)),
 b AS (
-  SELECT doc_id, source, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols,
+  SELECT doc_id, source, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM m),
-h AS (SELECT source, count(*) AS host_docs, CAST(sum(CAST(base_failed AS INT)) AS DOUBLE) AS f FROM b GROUP BY source),
-s AS (SELECT count(*) AS k, sum(host_docs) AS n, sum(f) AS f, sum(host_docs * (f / host_docs) * (f / host_docs)) AS q FROM h),
-t AS (SELECT k, n, f / n AS mean, f / n * (1 - f / n) AS within_, greatest(0, q / n - (f / n) * (f / n)) AS spread FROM s),
-u AS (SELECT mean, CASE WHEN spread - within_ * k / n > 0
-        THEN least(1e6, greatest(1.0, (within_ - spread) / (spread - within_ * k / n))) ELSE 1e6 END AS strength FROM t),
-v AS (SELECT source, host_docs, (f + mean * strength) / (host_docs + mean * strength + (1 - mean) * strength) AS host_rate FROM h, u)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_docs,
-       round(host_rate, 6) AS host_rate, NOT base_failed AND host_rate <= 0.5 AS kept
-FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
+e AS (
+  SELECT source, 1 AS place, 'words' AS rule, n_words < 50 AS fails FROM b
+  UNION ALL SELECT source, 2, 'repeats', 100 * n_repeat_words > 50 * n_words FROM b
+  UNION ALL SELECT source, 3, 'symbols', 10 * n_symbols > n_words FROM b
+  UNION ALL SELECT source, 4, 'lines', 10 * n_dup_lines > 3 * n_lines FROM b
+  UNION ALL SELECT source, 5, 'length', word_chars < 3 * n_words OR word_chars > 12 * n_words FROM b),
+h AS (SELECT source, place, rule, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(fails AS INT)) AS DOUBLE) AS f FROM e GROUP BY ALL),
+s AS (SELECT rule, count(*) AS k, sum(n) AS tn, sum(f) AS tf, sum(f * f / n) AS tq FROM h GROUP BY rule),
+t AS (SELECT h.*, tn - n AS others, k - 1 AS k, (tf - f) / nullif(tn - n, 0) AS mean, (tq - f * f / n) / nullif(tn - n, 0) AS q FROM h JOIN s USING (rule)),
+u AS (SELECT *, mean * (1 - mean) AS within_, greatest(0, q - mean * mean) AS spread FROM t),
+v AS (SELECT *, CASE WHEN spread - within_ * k / others > 0
+        THEN least(100.0, greatest(1.0, (within_ - spread) / (spread - within_ * k / others))) ELSE 100.0 END AS strength FROM u),
+w2 AS (SELECT source, place, rule, n, CASE WHEN others > 0 THEN (f + mean * strength) / (n + strength) ELSE f / n END AS rate,
+         others > 0 AND (f + mean * strength) / (n + strength) > greatest(0.2, mean + 3 * sqrt(within_ / (strength + 1))) AS rejects FROM v),
+x AS (SELECT source, CAST(any_value(n) AS BIGINT) AS host_docs, max(rate) AS host_rate,
+        coalesce(string_agg(rule, ',' ORDER BY place) FILTER (rejects), '') AS host_failed FROM w2 GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, host_docs,
+       round(host_rate, 6) AS host_rate, host_failed, NOT base_failed AND host_failed = '' AS kept
+FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
 """
 
 
-
 def _op8_sql() -> str:
     """The rules' matches by the same pieces between them, rule by rule."""
     parts = []

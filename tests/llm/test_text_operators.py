@@ -164,12 +164,23 @@ def test_rules_match_brute_force(spark):
 
 
 def test_bad_hosts_lose_their_documents(spark):
-    good = " ".join(f"w{i}" for i in range(80))
-    rows = [row(i, "short", source="bad") for i in range(60)] + [row(60, good, source="bad")]
-    rows += [row(100 + i, good, source=f"h{i % 9}") for i in range(300)] + [row(500, good, source=None), row(501, "short", source="h1")]
-    found = {r["doc_id"]: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert not found[60]["base_failed"] and not found[60]["kept"] and found[60]["host_rate"] > 0.5
+    """One host fails each rule far oftener than the others; its good documents go with it."""
+    good = "\n".join(f"word{i} other{i} third{i}" for i in range(40))
+    bad = {
+        "words": "short", "repeats": "one two three four " * 20, "symbols": good + " #" * 40,
+        "lines": good + "\n" + "\n".join(f"line number {i % 5}" for i in range(40)), "length": " ".join("x" * (20 + i) for i in range(60)),
+    }
+    rows = [row(100 + i, good, source=f"h{i % 9}") for i in range(300)] + [row(500, good, source=None), row(501, "short", source="h1")]
+    for k, (name, text) in enumerate(bad.items()):
+        rows += [row(1000 * (k + 1) + i, text, source=name) for i in range(60)] + [row(1000 * (k + 1) + 60, good, source=name)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r["doc_id"]: r for r in quality_rules.apply_rules(docs).collect()}
+    for k, name in enumerate(bad):
+        r = found[1000 * (k + 1) + 60]
+        assert not r["base_failed"] and not r["kept"] and name in r["host_failed"].split(","), (name, r)
     assert found[100]["kept"] and found[500]["kept"] and not found[501]["kept"]
+    only = quality_rules.apply_rules(docs.filter("source = 'words'"))
+    assert only.filter("kept").count() == 1  # without other hosts there is no prior
 
 
 def test_classifier_separates_and_ignores_held_out_labels(spark):
