@@ -18,7 +18,8 @@ over many tasks. The pages on either side of each cut go to both ranges, where t
 serves as a neighbour: texts don't depend on the number of ranges or on where the cuts fall.
 
 Edge cases: null or empty html gives an empty text; a null URL is a host of its own without pairs;
-malformed markup is read leniently and never fails; repeated rows are returned each; pages with
+malformed markup is read leniently and never fails; the fallback content of objects, media and the
+like is read as text; repeated rows are returned each; pages with
 one path are ordered by page_id, then by html; an empty table gives an empty result; other columns
 are never read.
 """
@@ -49,7 +50,7 @@ BLOCK = frozenset(
     "tfoot th thead title tr ul".split()
 )
 ENDS_P = BLOCK - frozenset("br body html head title option optgroup".split())
-RAW = frozenset("script style title textarea iframe noscript noembed noframes xmp template svg math canvas object audio video".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg".split())
 FURNITURE = frozenset("nav footer aside form header menu dialog button select datalist label input fieldset".split())
 # An end tag may be left out before one of these.
 SIBLINGS = {
@@ -67,11 +68,16 @@ NAMED = frozenset(
 )
 #: An article or main element is furniture by these alone.
 NAMED_ARTICLE = frozenset("ad ads advert advertisement sponsor sponsored promo comment comments reply replies related recommended".split())
+# Inside an article only whole class names count: these, and the words above.
+COMPOUND = frozenset(
+    "ad-slot ad-unit ad-container ad-box comment-list comment-form comment-section comments-section comments-area share-buttons share-bar "
+    "social-share social-links related-posts related-articles newsletter-signup newsletter-form cookie-notice cookie-banner".split()
+)
 MAIN_ROLES = frozenset("main article".split())
 
 # A tag's quoted values may hold ">". Possessive, so a quote that never closes fails at once.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -82,8 +88,12 @@ class Line:
         self.text, self.article = text, article
 
 
-def _named(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes call it furniture, and whether they call it the article."""
+def _named(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element's attributes call it furniture, and whether they call it the article.
+
+    Attributes are read one by one, so neither a value nor a longer name passes for one of them.
+    ``inside``: of an article, where only whole class names count.
+    """
     main = False
     if "=" not in attributes and "hidden" not in attributes:
         return False, False
@@ -95,9 +105,10 @@ def _named(tag: str, attributes: str) -> tuple[bool, bool]:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True, False
         elif name in ("class", "id", "role"):
-            words = {w.lower() for w in SPLIT.split(value)}
-            if words & (NAMED_ARTICLE if tag in MAIN_ROLES else NAMED) and tag not in ("body", "html"):
-                return True, False
+            words = {w.lower() for w in (value.split() if inside else SPLIT.split(value))}
+            if words & (NAMED_ARTICLE if tag in MAIN_ROLES else NAMED) or inside and words & COMPOUND:
+                if tag not in ("body", "html"):
+                    return True, False
             main = main or name == "role" and bool(words & MAIN_ROLES)
     return False, main
 
@@ -167,7 +178,7 @@ def lines_of(html: str | None) -> list[Line]:
                     if tag not in SIBLINGS:
                         break
                 depth -= 1
-        furniture, main = _named(tag, attributes)
+        furniture, main = _named(tag, attributes, inside)
         if tag in FURNITURE and not (tag == "header" and inside):
             furniture = True
         close = tag in BLOCK or furniture
@@ -309,6 +320,8 @@ def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 ORDER = ("host", "path", "page_id")
+#: Bytes of html for each range, about.
+RANGE_BYTES = 64 << 20
 #: Keys drawn for each range to find the cuts: what the driver holds grows with the ranges only.
 DRAWN = 20
 
@@ -318,20 +331,19 @@ def sortable(host: str | None, path: str | None, page_id: int | None) -> tuple:
     return (host is not None, host or "", path is not None, path or "", page_id is not None, page_id or 0)
 
 
-def cuts(keys: DataFrame, ranges: int) -> list[tuple]:
+def cuts(keys: DataFrame, ranges: int, total: int) -> list[tuple]:
     """At most ``ranges`` - 1 sorted keys, each the first of a range, from keys drawn by their hash."""
-    total = keys.count()
     share = min(1.0, DRAWN * ranges / max(total, 1))
     drawn = F.pmod(F.xxhash64(*ORDER), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
     found = sorted(sortable(*r) for r in keys.filter(drawn).distinct().collect())
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
 
 
-def deal(keyed: DataFrame, ranges: int) -> DataFrame:
+def deal(keyed: DataFrame, ranges: int, total: int) -> DataFrame:
     """Adds ``range`` and ``own``; a page at a cut also has a row for the range beyond it, not its own."""
     spark = keyed.sparkSession
     keys = keyed.select(*ORDER)
-    bounds = spark.sparkContext.broadcast(cuts(keys, ranges))  # at most a key for each range
+    bounds = spark.sparkContext.broadcast(cuts(keys, ranges, total))  # at most a key for each range
 
     @F.arrow_udf("int")
     def place(host: pa.Array, path: pa.Array, page_id: pa.Array) -> pa.Array:
@@ -361,8 +373,12 @@ def _keys(*columns: pa.Array) -> Iterator[tuple]:
 
 
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
-    """page_id, url, text and n_chars of every page; ``ranges`` defaults to the shuffle partitions."""
-    ranges = ranges or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """page_id, url, text and n_chars of every page.
+
+    ``ranges`` defaults to the shuffle partitions, or more if the pages' bytes need more.
+    """
+    total, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length("html"))).first()
+    ranges = ranges or max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
     rest = F.regexp_replace(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     keyed = pick(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long"),
@@ -371,5 +387,5 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
         F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias("host"),
         F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
     )
-    dealt = deal(keyed, ranges).repartitionById(ranges, F.col("range"))
+    dealt = deal(keyed, ranges, total).repartitionById(ranges, F.col("range"))
     return dealt.sortWithinPartitions("range", *ORDER, "html").mapInArrow(difference, SCHEMA)

@@ -1,4 +1,9 @@
+import os
 import random
+from html.parser import HTMLParser
+
+import numpy as np
+import pytest
 
 from foliary.llm import chat_format, html_extract
 
@@ -113,6 +118,90 @@ def test_odd_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+@pytest.mark.parametrize("inner, text", [
+    ('<p><a href="/posts/hidden">the hidden costs</a></p>', "the hidden costs"), ('<p title="a hidden gem">a gem</p>', "a gem"),
+    ('<p data-id="comments">data</p>', "data"), ('<div class="article-header"><h1>Title</h1></div>', "Title"),
+    ('<div class="search-results">found</div>', "found"), ("<p><math><mi>x</mi></math> squared</p>", "x squared"),
+    ("<p><object data=x>fallback</p><p>after</p>", "fallback after"), ("<video src=v>see <a>it</a></video>", "see it"),
+    ("<p>kept</p><div class='comments'>dropped</div>", "kept"), ("<p>kept</p><div class='x share-buttons'>dropped</div>", "kept"),
+    ("<p>kept</p><p hidden>dropped</p><p style='display: none'>dropped</p>", "kept"),
+])
+def test_only_what_is_named_goes(inner, text):
+    assert html_extract.main_text(html_extract.lines_of(f"<body><article>{inner}</article></body>"), None) == text
+
+
+class Plain(HTMLParser):
+    """Blocks of simple, well-formed pages: text by block, and whether an article holds it."""
+
+    def __init__(self):
+        super().__init__()
+        self.blocks, self.open = [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.open.append((tag, dict(attrs)))
+        self.blocks += [["", self.inside()]] if tag in ("p", "div", "h1", "li", "article", "nav") else []
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+        self.blocks += [["", self.inside()]] if tag in ("p", "div", "h1", "li", "article", "nav") else []
+
+    def inside(self):
+        return any(t == "article" for t, _ in self.open)
+
+    def handle_data(self, data):
+        if not any(t == "nav" or a.get("class") == "ad" for t, a in self.open):
+            self.blocks[-1][0] += data
+
+
+def plain_pages(pages):
+    """{page_id: text} by quadratic differencing of each page with its nearest neighbour on the host."""
+    parsed = {}
+    for i, url, html in pages:
+        p = Plain()
+        p.blocks.append(["", False])
+        p.feed(html)
+        parsed[i] = (url.split("/")[2], "/" + url.split("/", 3)[3], [(" ".join(t.split()), a) for t, a in p.blocks if t.split()])
+    out = {}
+    for host in {v[0] for v in parsed.values()}:
+        row = sorted((v[1], i) for i, v in parsed.items() if v[0] == host)
+        for k, (path, i) in enumerate(row):
+            near = [row[j] for j in (k - 1, k + 1) if 0 <= j < len(row)]
+            near.sort(key=lambda x: -len(os.path.commonprefix([path, x[0]])))  # the page before if they tie
+            mine, other = parsed[i][2], [t for t, _ in parsed[near[0][1]][2]] if near else []
+            a = [t for t, _ in mine]
+            best = [[0] * (len(other) + 1) for _ in range(len(a) + 1)]
+            for x in range(len(a) - 1, -1, -1):
+                for y in range(len(other) - 1, -1, -1):
+                    best[x][y] = best[x + 1][y + 1] + 1 if a[x] == other[y] else max(best[x + 1][y], best[x][y + 1])
+            shared, x, y = [False] * len(a), 0, 0
+            while x < len(a) and y < len(other):
+                if a[x] == other[y]:
+                    shared[x], x, y = True, x + 1, y + 1
+                elif best[x + 1][y] >= best[x][y + 1]:
+                    x += 1
+                else:
+                    y += 1
+            out[i] = " ".join(t for (t, art), s in zip(mine, shared, strict=True) if art or not s)
+    return out
+
+
+def test_pages_match_brute_force(spark):
+    """Unmarked menus and notices that a site repeats go, whatever the neighbour's other lines."""
+    rnd, rows = random.Random(12), []
+    for i in range(120):
+        host = f"h{i % 7}.example"
+        body = "".join(f"<p>Body {i} sentence {k} {rnd.getrandbits(40)} and more of it.</p>" for k in range(rnd.randrange(4, 9)))
+        menu = "".join(f"<li>{w} of {host}</li>" for w in ("Home", "News", "About") if rnd.random() < 0.8)
+        html = f"<body><nav>skip</nav><div>{host} &amp; friends</div>{menu}" + (f"<article>{body}<p>Licensed</p></article>" if i % 3 else f"<div>{body}</div>")
+        html += f"<div class='ad'>buy</div><p>Contact {host}</p><h1>End {rnd.randrange(4)}</h1></body>"
+        rows.append((i, f"http://{host}/{rnd.choice('abc')}/{rnd.choice('xyz')}{i}", html))
+    want = plain_pages(rows)
+    found = extract(spark, [page(*r) for r in rows])
+    assert found == want
+    lost = sum("Contact" not in want[i] for i in want)
+    assert lost > 100  # differencing decides nearly every page
+
+
 def turns(spark, rows):
     return spark.createDataFrame([(*r, 1, 2) for r in rows], CHATS)
 
@@ -126,6 +215,41 @@ def test_markers_and_recorded_roles(spark):
     }
 
 
+def test_plain_lines_stay(spark):
+    """Words that begin plain lines are no markers where the speaker is known; no text is lost."""
+    text = "  Sure.\nResult: 5 apples\nModel: T-800\n- Answer: yes  "
+    rows = [(1, 0, "user", "How many?"), (1, 1, "assistant", text), (2, 0, None, "Q: one\nA: two")]
+    found = {(r["conv_id"], r["turn"], r["part"]): (r["role"], r["content"]) for r in chat_format.format_chats(turns(spark, rows)).collect()}
+    assert found[1, 1, 0] == ("assistant", text) and (1, 1, 1) not in found
+    assert found[2, 0, 0] == ("user", "one") and found[2, 0, 1] == ("assistant", "two")
+
+
+def test_decoding_is_exact_over_cuts(spark):
+    """A conversation of 3000 turns without half of its roles, over 1 and over 13 ranges."""
+    rnd = random.Random(7)
+    rows = [(1, t, rnd.choice([None, None, "user", "assistant", "tool"]), "w " * rnd.randrange(200) + rnd.choice("?.")) for t in range(3000)]
+    rows += [(c, t, rnd.choice([None, "user", "assistant"]), "x" * rnd.randrange(300)) for c in (0, 2, 3) for t in range(40)]
+    rows += [(1, 1500, None, "same")] * 500
+    whole, apart = (sorted(map(tuple, chat_format.format_chats(turns(spark, rows), n).collect()), key=repr) for n in (1, 13))
+    assert len(whole) == len(rows) and whole == apart
+
+
+def test_ranges_join_exactly():
+    """Scores with many ties: the composed roles are those of one pass."""
+    rnd = random.Random(1)
+    for trial in range(60):
+        model = chat_format.Model(np.zeros(4), np.zeros((2, 4, 4)), np.zeros((2, 4, chat_format.SHAPES)))
+        for name in ("move", "start", "emit"):
+            held = getattr(model, name)
+            setattr(model, name, np.array([rnd.randrange(2) for _ in range(held.size)], np.int64).reshape(held.shape))
+        lines = [(rnd.randrange(9), rnd.randrange(2), rnd.randrange(20)) for _ in range(rnd.randrange(8, 50))]
+        at = [0, *sorted(rnd.sample(range(1, len(lines)), 5)), len(lines)]
+        parts = [lines[a:b] for a, b in zip(at, at[1:], strict=False)]
+        ends = chat_format.join_ranges([(model.opening(parts[0]), None), *map(model.transfer, parts[1:])])
+        found = [r for k, p in enumerate(parts) for r in model.viterbi(p, ends[k - 1] if k else None, ends[k] if k < len(ends) else None)]
+        assert found == model.viterbi(lines), trial
+
+
 def test_hidden_roles_are_recovered(spark):
     """A third of the rows say nothing about their speaker."""
     rnd = random.Random(5)
@@ -144,6 +268,6 @@ def test_long_and_odd_conversations(spark):
     rows = [(1, t, ("user", "assistant")[t % 2], f"line {t}") for t in range(1000)]
     rows += [(None, None, None, None), (2, 0, "user", ""), (2, 0, "user", ""), (3, 5, "poet", "x" * 100_000)]
     found = chat_format.format_chats(turns(spark, rows)).collect()
-    assert len(found) == len(rows)  # each row is rendered once, by the block that owns it
+    assert len(found) == len(rows)  # each row is rendered once
     assert all(r["role"] == ("user", "assistant")[r["turn"] % 2] for r in found if r["conv_id"] == 1)
     assert chat_format.format_chats(turns(spark, [])).collect() == []
