@@ -116,3 +116,17 @@ def fdf(fields: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(rows, lambda r: r["e"]), "\n")
     head, tail = "%FDF-1.2\n1 0 obj\n<< /FDF << /Fields [\n", "\n] >> >>\nendobj\ntrailer\n<< /Root 1 0 R >>\n%%EOF\n"
     return kept.groupBy("doc_id").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("fdf"), F.count(F.lit(1)).alias("n_fields"))
+
+
+def missing_keys(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """Required keys that an object of a type lacks, or holds with another kind of value.
+
+    ``keys`` has doc_id, obj, type, key, kind; ``rules`` has type, key, kind, a row for each
+    required key: a catalogue, of a size that doesn't grow with the files.
+    """
+    wanted = rules.select(F.col("type"), F.col("key").alias("wanted"), F.col("kind").alias("wanted_kind"))
+    there = keys.groupBy("doc_id", "obj", "type").agg(F.map_from_entries(F.collect_list(F.struct("key", "kind"))).alias("held"))
+    both = there.join(F.broadcast(wanted), "type")
+    found = F.col("held")[F.col("wanted")]
+    bad = both.filter(found.isNull() | (found != F.col("wanted_kind")))
+    return bad.select("doc_id", "obj", "type", F.col("wanted").alias("key"), F.coalesce(found, F.lit("missing")).alias("found"))

@@ -1,81 +1,197 @@
-"""Glyphs to lines, words, columns, reading order and Markdown, as windows over a glyph table.
+"""Glyphs to lines, words, columns, reading order and Markdown.
 
-Glyph tables have at least doc_id, page_no, ord, ch, x, y, w, h (y grows upwards). All windows are
-partitioned by page, so pages are laid out independently of each other.
+A page of glyphs is one row: doc_id, page_no, ``glyphs`` (a string with a character for each glyph,
+in the order in which they are shown) and the arrays x, y, w, h (y grows upwards). ``pack`` makes
+such rows of a table with a row for each glyph; PDF files give them as they are parsed. So a page
+is laid out where its row lies, in numpy over Arrow batches, without a shuffle and without a row
+for each character. What follows lines is windows over small tables of lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ("doc_id", "page_no")
 CELL_W, CELL_H, STEP, TOP = 8.0, 12.0, 14.0, 792.0
+BOXES = ("x", "y", "w", "h")
+GLYPHS = "glyphs string, x array<double>, y array<double>, w array<double>, h array<double>"
+
+
+def _keys(df: DataFrame) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{k} {kinds[k]}" for k in PAGE)
+
+
+def pack(chars: DataFrame) -> DataFrame:
+    """Pages of glyphs from rows with doc_id, page_no, ord, ch, x, y, w, h; one shuffle by page.
+
+    ``ch`` is one character. Glyphs with one ``ord`` are ordered by place.
+    """
+    rows = F.sort_array(F.collect_list(F.struct("ord", *BOXES, "ch")))
+    packed = chars.groupBy(*PAGE).agg(rows.alias("__g"))
+    arrays = [F.col("__g")[k].cast("array<double>").alias(k) for k in BOXES]
+    return packed.select(*PAGE, F.array_join(F.col("__g")["ch"], "").alias("glyphs"), *arrays)
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def grid_chars(docs: DataFrame) -> DataFrame:
+def string_of(codes: np.ndarray) -> str:
+    return codes.astype(np.uint32).tobytes().decode("utf-32-le")
+
+
+def grid_pages(docs: DataFrame) -> DataFrame:
     """Glyphs of plain text on a fixed grid of 8 x 12 points, lines 14 points apart, one page a text."""
-    lines = docs.select(
-        "doc_id", F.lit(0).alias("page_no"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "content")
-    )
-    chars = lines.filter("content <> ''").select(
-        *PAGE, "line", F.posexplode(F.split("content", "")).alias("col", "ch")
-    )
-    return chars.select(
-        *PAGE,
-        (F.col("line").cast("long") * 1_000_000 + F.col("col")).alias("ord"),
-        "ch",
-        (F.col("col") * CELL_W).alias("x"),
-        (TOP - STEP * (F.col("line") + 1)).alias("y"),
-        F.lit(CELL_W).alias("w"),
-        F.lit(CELL_H).alias("h"),
-    )
+    kind = dict(docs.dtypes)["doc_id"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(at, PAGES_AT_ONCE)
+                columns: list[list] = [[] for _ in range(5)]
+                for text in part.column(1).to_pylist():
+                    codes = codes_of(text or "")
+                    feeds = codes == 10
+                    line = np.cumsum(feeds)
+                    start = np.concatenate(([0], np.flatnonzero(feeds) + 1))
+                    col, solid = np.arange(len(codes)) - start[line - feeds], ~feeds
+                    n = int(solid.sum())
+                    page = (string_of(codes[solid]), CELL_W * col[solid], TOP - STEP * (line[solid] + 1), np.full(n, CELL_W), np.full(n, CELL_H))
+                    for held, value in zip(columns, page, strict=True):
+                        held.append(value)
+                kinds = (pa.string(), *[pa.list_(pa.float64())] * 4)
+                numbers = pa.array([0] * part.num_rows, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), numbers, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[*PAGE, "glyphs", *BOXES]
+                )
 
-def _flag_runs(df: DataFrame, by: tuple[str, ...], order: list, starts: Column, name: str) -> DataFrame:
-    """Number the runs that rows form when ``starts`` is true at each run's first row."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    marked = df.withColumn("__s", F.coalesce(starts.cast("int"), F.lit(1)))
-    return marked.withColumn(name, F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("__s")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, page_no int, {GLYPHS}")
 
 
-def group_lines(chars: DataFrame, tolerance: float = 2.0, gap: float = 10.0) -> DataFrame:
-    """Adds line_index: glyphs on one baseline, apart by less than ``gap`` times their size.
+#: Pages laid out between two batches of results.
+PAGES_AT_ONCE = 200
+
+
+class Page:
+    """A page's glyphs by their order on the page: line by line, each from left to right."""
+
+    def __init__(self, codes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, tolerance: float = 2.0, gap: float = 10.0):
+        """Glyphs on one baseline, apart by less than ``gap`` times their size, are a line.
+
+        Baselines are clustered from the top down first (a glyph joins the one above it within the
+        tolerance) and then cut at wide gaps, which makes the order total where a tolerant
+        comparison would not be.
+        """
+        place = np.arange(len(codes))
+        down = np.lexsort((place, x, -y))
+        row = np.empty(len(codes), np.int64)
+        row[down] = np.cumsum(np.diff(y[down], prepend=y[down][:1]) < -tolerance)
+        order = np.lexsort((place, x, row))
+        self.order, row = order, row[order]
+        self.codes, self.x, self.y, self.w, self.h = codes[order], x[order], y[order], w[order], h[order]
+        ends = self.x + self.w
+        self.gap = np.concatenate(([0.0], self.x[1:] - ends[:-1]))
+        starts = np.concatenate(([True], (row[1:] != row[:-1]) | (self.gap[1:] >= gap * np.maximum(self.w, self.h)[1:])))[: len(codes)]
+        self.starts = np.flatnonzero(starts)
+        self.line = np.cumsum(starts) - 1
+
+    def boxes(self, starts: np.ndarray, take: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, ...]:
+        """Left, bottom, right and top of groups of the taken glyphs that begin at ``starts``."""
+        x, y, w, h = self.x[take], self.y[take], self.w[take], self.h[take]
+        return (
+            np.minimum.reduceat(x, starts), np.minimum.reduceat(y, starts), np.maximum.reduceat(x + w, starts), np.maximum.reduceat(y + h, starts),
+        )
+
+
+def strings(codes: np.ndarray, starts: np.ndarray) -> list[str]:
+    text = string_of(codes)
+    ends = [*starts[1:].tolist(), len(codes)]
+    return [text[s:e] for s, e in zip(starts.tolist(), ends, strict=True)]
 
-    Baselines are clustered from the top down first (a glyph joins the one above it within the
-    tolerance) and then cut at wide gaps, which makes the order total where a tolerant comparison
-    would not be.
-    """
-    down = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "x", "ord")
-    rows = _flag_runs(chars, PAGE, [F.desc("y"), "x", "ord"], F.lag("y").over(down) - F.col("y") > tolerance, "__row")
-    along = [F.col("__row"), F.col("x"), F.col("ord")]
-    w = Window.partitionBy(*PAGE).orderBy(*along)
-    before = F.struct(F.lag("__row").over(w).alias("r"), F.lag(F.col("x") + F.col("w")).over(w).alias("e"))
-    wide = (before["r"] != F.col("__row")) | (F.col("x") - before["e"] >= gap * F.greatest("w", "h"))
-    return _flag_runs(rows, PAGE, along, wide, "line_index").drop("__row")
 
+def by_page(pages: DataFrame, schema: str, make: Callable[[Page], list], **options) -> DataFrame:
+    """Rows that ``make`` gives of each page, as a column or array for every field of ``schema``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-def segment_words(chars: DataFrame) -> DataFrame:
+    full = f"{_keys(pages)}, {schema}"
+    arrow = to_arrow_schema(StructType.fromDDL(full))
+    names = arrow.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(at, PAGES_AT_ONCE)
+                arrays = [part.column(i) for i in range(3, 7)]
+                flat = [c.flatten().to_numpy(zero_copy_only=False) for c in arrays]
+                sizes = np.concatenate(([0], np.cumsum(arrays[0].value_lengths().to_numpy(zero_copy_only=False))))
+                done, counts = [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    s, e = int(sizes[i]), int(sizes[i + 1])
+                    rows = make(Page(codes_of(text), *[f[s:e] for f in flat], **options)) if e > s else None
+                    counts.append(len(rows[0]) if rows else 0)
+                    if counts[-1]:
+                        done.append(rows)
+                if not done:
+                    continue
+                which = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                found = [[v for rows in done for v in rows[k]] if isinstance(done[0][k], list) else np.concatenate([rows[k] for rows in done]) for k in range(len(done[0]))]
+                columns = [part.column(0).take(which), part.column(1).take(which), *[pa.array(c, f.type) for c, f in zip(found, list(arrow)[2:], strict=True)]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return pages.select(*PAGE, "glyphs", *BOXES).filter("glyphs <> ''").mapInArrow(run, full)
+
+
+def lines(pages: DataFrame, tolerance: float = 2.0, gap: float = 10.0) -> DataFrame:
+    """One row for each line of each page: text, box and baseline."""
+
+    def make(p: Page) -> list:
+        x, y, right, _ = p.boxes(p.starts)
+        return [np.arange(len(p.starts)), strings(p.codes, p.starts), x, y, right - x, np.maximum.reduceat(p.h, p.starts)]
+
+    return by_page(pages, "line_index long, text string, x double, y double, w double, h double", make, tolerance=tolerance, gap=gap)
+
+
+def words(pages: DataFrame) -> DataFrame:
     """One row for each word of each line: a new word begins after a space or a wide gap.
 
     Wide is over twice the line's mean gap (gaps below zero left out; two points if there are none).
     """
-    line = (*PAGE, "line_index")
-    w = Window.partitionBy(*line).orderBy("x", "ord")
-    gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(w)
-    rows = chars.withColumn("__g", gap).withColumn("__space", F.col("ch") == " ")
-    mean = F.avg(F.when(F.col("__g") >= 0, F.col("__g"))).over(Window.partitionBy(*line))
-    wide = F.col("__g") > 2 * F.coalesce(mean, F.lit(2.0))
-    after = F.lag("__space").over(w)
-    runs = _flag_runs(rows.withColumn("__wide", wide | after), line, ["x", "ord"], F.col("__wide"), "word_index")
-    solid = runs.filter("not __space")
-    return solid.groupBy(*line, "word_index").agg(
-        text_of("ch", "x", "ord").alias("text"),
-        F.min("x").alias("x"),
-        F.min("y").alias("y"),
-        (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"),
-        (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
-    )
+
+    def make(p: Page) -> list:
+        first = np.zeros(len(p.codes), bool)
+        first[p.starts] = True
+        space = p.codes == 32
+        counted = ~first & (p.gap >= 0)
+        n = np.add.reduceat(counted.astype(float), p.starts)
+        total = np.add.reduceat(np.where(counted, p.gap, 0.0), p.starts)
+        mean = np.divide(total, n, out=np.full(len(n), 2.0), where=n > 0)
+        begins = first | (p.gap > 2 * mean[p.line]) | np.concatenate(([False], space[:-1]))
+        run = np.cumsum(begins)
+        word = run - run[p.starts][p.line]
+        solid = np.flatnonzero(~space)
+        if not len(solid):
+            return [[]]
+        run = run[solid]
+        starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        x, y, right, top = p.boxes(starts, solid)
+        at = solid[starts]
+        return [p.line[at], word[at], strings(p.codes[solid], starts), x, y, right - x, top - y]
+
+    return by_page(pages, "line_index long, word_index long, text string, x double, y double, w double, h double", make)
+
+
+def _flag_runs(df: DataFrame, by: tuple[str, ...], order: list, starts: Column, name: str) -> DataFrame:
+    """Number the runs that rows form when ``starts`` is true at each run's first row."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    marked = df.withColumn("__s", F.coalesce(starts.cast("int"), F.lit(1)))
+    return marked.withColumn(name, F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("__s")
 
 
 def text_of(ch: str, *order: str) -> Column:
@@ -84,17 +200,6 @@ def text_of(ch: str, *order: str) -> Column:
     return F.array_join(F.transform(rows, lambda r: r[ch]), "")
 
 
-def line_boxes(chars: DataFrame) -> DataFrame:
-    """One row for each line: text, box and baseline."""
-    return chars.groupBy(*PAGE, "line_index").agg(
-        text_of("ch", "x", "ord").alias("text"),
-        F.min("x").alias("x"),
-        F.min("y").alias("y"),
-        (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"),
-        F.max("h").alias("h"),
-    )
-
-
 def columns(lines: DataFrame, bucket: float = 10.0, gap: float = 20.0) -> DataFrame:
     """Adds column_index: a column begins where the distinct 10-point buckets of x leave a gap."""
     lines = lines.withColumn("__b", F.floor(F.col("x") / bucket) * bucket)
@@ -139,3 +244,22 @@ def markdown_lines(lines: DataFrame, body: DataFrame) -> DataFrame:
     text = F.trim("text")
     bullet = F.regexp_replace(text, r"^[-*•]\s+", "- ")
     return lines.join(body, list(PAGE)).withColumn("markdown", F.when(mark != "", F.concat(mark, text)).otherwise(bullet))
+
+
+def svg_text(lines: DataFrame, width: float, height: float) -> DataFrame:
+    """Each page's lines as an SVG drawing of text; y grows downwards there."""
+    from ..functions.text import html_escape
+
+    place = F.format_string('<text x="%.2f" y="%.2f">%s</text>', F.col("x"), F.lit(float(height)) - F.col("y"), html_escape(F.col("text")))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("line_index", place.alias("t")))), lambda r: r["t"])
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}">'
+    return lines.groupBy(*PAGE).agg(F.concat(F.lit(head), F.array_join(rows, ""), F.lit("</svg>")).alias("svg"))
+
+
+def range_text(pages: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """The text of a range of pages, each but the first after a line with its number; no row where none is there."""
+    if not 0 <= first <= last:
+        raise ValueError(f"pages {first} to {last}")
+    rows = F.sort_array(F.collect_list(F.struct("page_no", "text")))
+    parts = F.transform(rows, lambda r: F.concat(F.when(r["page_no"] > first, F.concat(F.lit("\n\n--- Page "), r["page_no"], F.lit(" ---\n\n"))).otherwise(""), F.coalesce(r["text"], F.lit(""))))
+    return pages.filter(F.col("page_no").between(first, last)).groupBy(key).agg(F.array_join(parts, "").alias("text"))

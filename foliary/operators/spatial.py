@@ -2,33 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import PAGE, text_of
+from .layout import PAGE, Page, by_page, strings, text_of
 
 
-def in_rect(x1: float, y1: float, x2: float, y2: float) -> Column:
-    """A glyph box that strictly overlaps the rectangle, whichever corners are given."""
-    left, right, low, high = min(x1, x2), max(x1, x2), min(y1, y2), max(y1, y2)
-    return (F.col("x") < right) & (F.col("x") + F.col("w") > left) & (F.col("y") < high) & (F.col("y") + F.col("h") > low)
-
-
-def centre_in(x1: float, y1: float, x2: float, y2: float) -> Column:
-    """A glyph whose centre lies in the closed rectangle."""
-    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
-    return cx.between(min(x1, x2), max(x1, x2)) & cy.between(min(y1, y2), max(y1, y2))
+def select_rect(pages: DataFrame, x1: float, y1: float, x2: float, y2: float, centre: bool = False) -> DataFrame:
+    """The selected text of each line of pages of glyphs, with its box.
 
+    A glyph is selected if its box strictly overlaps the rectangle, whichever corners are given,
+    or with ``centre`` if its centre lies in the closed rectangle.
+    """
+    left, right, low, high = min(x1, x2), max(x1, x2), min(y1, y2), max(y1, y2)
 
-def select_rect(chars: DataFrame, x1: float, y1: float, x2: float, y2: float) -> DataFrame:
-    """The selected text of each line, with its box."""
-    return chars.filter(in_rect(x1, y1, x2, y2)).groupBy(*PAGE, "line_index").agg(
-        text_of("ch", "x", "ord").alias("text"),
-        F.min("x").alias("x1"),
-        F.min("y").alias("y1"),
-        F.max(F.col("x") + F.col("w")).alias("x2"),
-        F.max(F.col("y") + F.col("h")).alias("y2"),
-    )
+    def make(p: Page) -> list:
+        if centre:
+            cx, cy = p.x + p.w / 2, p.y + p.h / 2
+            hit = (left <= cx) & (cx <= right) & (low <= cy) & (cy <= high)
+        else:
+            hit = (p.x < right) & (p.x + p.w > left) & (p.y < high) & (p.y + p.h > low)
+        taken = np.flatnonzero(hit)
+        if not len(taken):
+            return [[]]
+        line = p.line[taken]
+        starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+        return [line[starts], strings(p.codes[taken], starts), *p.boxes(starts, taken)]
+
+    return by_page(pages, "line_index long, text string, x1 double, y1 double, x2 double, y2 double", make)
+
+
+def hit_test(pages: DataFrame, x: float, y: float) -> DataFrame:
+    """The glyph at a point of each page, the last shown if several are: its place, character and line."""
+
+    def make(p: Page) -> list:
+        hit = np.flatnonzero((p.x <= x) & (x <= p.x + p.w) & (p.y <= y) & (y <= p.y + p.h))
+        if not len(hit):
+            return [[]]
+        at = hit[p.order[hit].argmax()]
+        return [p.order[[at]], strings(p.codes[[at]], np.array([0])), p.line[[at]]]
+
+    return by_page(pages, "ord long, ch string, line_index long", make)
+
+
+def hit_boxes(pages: DataFrame, term: str) -> DataFrame:
+    """Where a term lies on each page: a box for each line part of every occurrence, which don't overlap."""
+    if not term:
+        raise ValueError("an empty term is everywhere")
+
+    def make(p: Page) -> list:
+        out: list[tuple] = []
+        for number, (text, s) in enumerate(zip(strings(p.codes, p.starts), p.starts.tolist(), strict=True)):
+            at = text.find(term)
+            while at >= 0:
+                taken = slice(s + at, s + at + len(term))
+                out.append((number, at, *[float(v[0]) for v in p.boxes(np.array([0]), taken)]))
+                at = text.find(term, at + len(term))
+        return [list(c) for c in zip(*out, strict=True)] if out else [[]]
+
+    return by_page(pages, "line_index long, start int, x1 double, y1 double, x2 double, y2 double", make)
 
 
 def select_range(lines: DataFrame, start: int, length: int) -> DataFrame:

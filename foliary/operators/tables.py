@@ -2,40 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_field, html_escape
-from .layout import PAGE
+from .layout import Page, by_page, strings
 
 
-def grid(chars: DataFrame) -> DataFrame:
-    """Adds row and col: rows are lines from the top down, columns begin at wide gaps in x.
+def cells(pages: DataFrame) -> DataFrame:
+    """One row for each cell with text of the table that a page of glyphs forms: row, col, text.
 
-    A gap is wide if it exceeds twice the page's mean glyph width. Only pages with at least two
-    rows and two columns are tables.
+    Rows are baselines from the top down, columns begin at wide gaps in x: over twice the mean
+    width of the page's distinct glyph extents. Only pages with at least two rows and two columns
+    are tables. Glyphs below U+0020 and U+007F are dropped.
     """
-    page = Window.partitionBy(*PAGE)
-    along = page.orderBy("x")
-    spans = chars.select(*PAGE, "x", (F.col("x") + F.col("w")).alias("e"), "w").distinct()
-    reach = F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    cuts = spans.withColumn("__gap", F.col("x") - reach).withColumn("__mean", F.avg("w").over(page))
-    edges = cuts.filter(F.col("__gap").isNull() | (F.col("__gap") > 2 * F.col("__mean"))).select(*PAGE, F.col("x").alias("edge"))
-    # A glyph's column is the number of edges at or before it: edges and glyphs in one ordered pass.
-    tagged = chars.withColumn("__edge", F.lit(0)).unionByName(
-        edges.select(*PAGE, F.col("edge").alias("x"), F.lit(1).alias("__edge")), allowMissingColumns=True
-    )
-    upto = page.orderBy("x", F.desc("__edge")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = tagged.withColumn("col", F.sum("__edge").over(upto) - 1).filter("__edge = 0").drop("__edge")
-    placed = placed.withColumn("row", F.dense_rank().over(page.orderBy(F.desc("y"))) - 1)
-    return placed.withColumn("__r", F.max("row").over(page)).withColumn("__c", F.max("col").over(page)).filter("__r >= 1 and __c >= 1").drop("__r", "__c")
-
 
-def cells(placed: DataFrame) -> DataFrame:
-    """One row for each cell with text; glyphs below U+0020 and U+007F are dropped."""
-    solid = placed.filter((F.col("ch") >= " ") & (F.col("ch") != "\x7f"))
-    rows = F.sort_array(F.collect_list(F.struct("x", "ord", "ch")))
-    return solid.groupBy(*PAGE, "row", "col").agg(F.trim(F.array_join(F.transform(rows, lambda r: r["ch"]), "")).alias("text"))
+    def make(p: Page) -> list:
+        spans = np.unique(np.column_stack([p.x, p.x + p.w, p.w]), axis=0)
+        reach = np.maximum.accumulate(spans[:, 1])
+        wide = np.concatenate(([True], spans[1:, 0] - reach[:-1] > 2 * spans[:, 2].mean()))
+        col = np.searchsorted(spans[wide, 0], p.x, "right") - 1
+        down = np.unique(-p.y, return_inverse=True)[1]
+        if down.max() < 1 or col.max() < 1:
+            return [[]]
+        solid = np.flatnonzero((p.codes >= 32) & (p.codes != 127))
+        solid = solid[np.lexsort((p.order[solid], p.x[solid], col[solid], down[solid]))]
+        if not len(solid):
+            return [[]]
+        cell = np.column_stack([down[solid], col[solid]])
+        starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]).any(1))))
+        return [cell[starts, 0], cell[starts, 1], [t.strip(" ") for t in strings(p.codes[solid], starts)]]
+
+    return by_page(pages, "row int, col int, text string", make)
 
 
 def _table(cells: DataFrame, keys: tuple[str, ...], cell: Column, between: str, line) -> DataFrame:

@@ -292,8 +292,8 @@ class Document:
                         "flags": self.get(a.get("F")) or 0, "uri": text_of(self.get(action.get("URI"))),
                     }
 
-    def fields(self) -> Iterator[dict]:
-        """Terminal form fields with dotted names; type, flags and value are inherited."""
+    def field_nodes(self) -> Iterator[tuple[str, int | None, dict, dict]]:
+        """(dotted name, object, own dictionary, inherited entries) of each terminal form field."""
         seen: set[int] = set()
         stack = [(r, "", {}) for r in reversed(self.list_of(self.dict_of(self.catalog.get("AcroForm")).get("Fields")))]
         while stack:
@@ -310,11 +310,16 @@ class Document:
             if kids:
                 stack += [(k, name, held) for k in reversed(kids)]
             elif node:
-                yield {
-                    "full_name": name, "type": str(self.get(held.get("FT")) or ""), "flags": self.get(held.get("Ff")) or 0,
-                    "value": text_of(self.get(held.get("V"))), "max_length": self.get(held.get("MaxLen")),
-                    "options": [text_of(self.get(o)) or "" for o in self.list_of(held.get("Opt"))],
-                }
+                yield name, ref.num if isinstance(ref, Ref) else None, node, held
+
+    def fields(self) -> Iterator[dict]:
+        """Terminal form fields with dotted names; type, flags and value are inherited."""
+        for name, _, _, held in self.field_nodes():
+            yield {
+                "full_name": name, "type": str(self.get(held.get("FT")) or ""), "flags": self.get(held.get("Ff")) or 0,
+                "value": text_of(self.get(held.get("V"))), "max_length": self.get(held.get("MaxLen")),
+                "options": [text_of(self.get(o)) or "" for o in self.list_of(held.get("Opt"))],
+            }
 
     def _names(self, root) -> Iterator[tuple[str, object]]:
         """Pairs of a name tree."""
@@ -464,21 +469,185 @@ class Document:
             x = self.dict_of(ref)
             yield {"subtype": str(self.get(x.get("S")) or ""), "identifier": text_of(self.get(x.get("OutputConditionIdentifier"))), "info": text_of(self.get(x.get("Info")))}
 
+    def box_of(self, value) -> list[float] | None:
+        box = [float(x) for x in map(self.get, self.list_of(value)) if isinstance(x, (int, float))]
+        return box if len(box) == 4 else None
+
+    def linearization(self) -> dict | None:
+        """The dictionary that a file for fast viewing begins with."""
+        m = OBJ.search(self.data, 0, 1024)
+        found = Lexer(self.data, m.end()).read() if m else None
+        return found if isinstance(found, dict) and "Linearized" in found else None
+
+    def linearized(self) -> Iterator[dict]:
+        if found := self.linearization():
+            yield {name: found.get(key) for name, key in (("length", "L"), ("first_object", "O"), ("first_page_end", "E"), ("n_pages", "N"), ("main_table", "T"))}
+
     def signatures(self) -> Iterator[dict]:
-        """Signed fields: byte ranges, the digest of those bytes, and how far they reach."""
+        """Signed fields: byte ranges, the digest of those bytes, how far they reach, and whether they hold."""
+        from .der import check
+
         for num in sorted(self.offsets):
             node = self.get(Ref(num, 0))
             if isinstance(node, dict) and node.get("Type") == "Sig":
                 ranges = [x for x in map(self.get, self.list_of(node.get("ByteRange"))) if isinstance(x, int)]
-                digest = hashlib.sha256(b"".join(self.data[a : a + n] for a, n in zip(ranges[::2], ranges[1::2], strict=False)))
+                parts = [self.data[a : a + n] for a, n in zip(ranges[::2], ranges[1::2], strict=False)]
+                contents = self.get(node.get("Contents"))
                 yield {
                     "obj": num, "sub_filter": str(self.get(node.get("SubFilter")) or ""), "byte_range": ranges,
-                    "coverage_end": max([0, *(a + n for a, n in zip(ranges[::2], ranges[1::2], strict=False))]), "sha256": digest.hexdigest(),
-                    "signed_at": text_of(self.get(node.get("M"))), "contents": self.get(node.get("Contents")),
+                    "coverage_end": max([0, *(a + n for a, n in zip(ranges[::2], ranges[1::2], strict=False))]),
+                    "sha256": hashlib.sha256(b"".join(parts)).hexdigest(), "signed_at": text_of(self.get(node.get("M"))),
+                    "permission": self._permission(node), "contents": contents, **check(contents if isinstance(contents, bytes) else b"", parts),
                 }
 
+    def _permission(self, node: dict) -> int | None:
+        """The DocMDP level of a certifying signature."""
+        for ref in self.list_of(node.get("Reference")):
+            held = self.dict_of(ref)
+            if held.get("TransformMethod") == "DocMDP":
+                level = self.get(self.dict_of(held.get("TransformParams")).get("P"))
+                return level if isinstance(level, int) else 2
+        return None
+
     def revisions(self) -> Iterator[dict]:
         """One for each end-of-file mark: where it ends, and digests of the file up to there."""
+        md5, sha256, at = hashlib.md5(), hashlib.sha256(), 0
         for rev, m in enumerate(EOF.finditer(self.data)):
-            part = self.data[: m.end()]
-            yield {"rev": rev, "end_offset": m.end(), "md5": hashlib.md5(part).hexdigest(), "sha256": hashlib.sha256(part).hexdigest()}
+            part = self.data[at : m.end()]
+            md5.update(part)
+            sha256.update(part)
+            at = m.end()
+            yield {"rev": rev, "end_offset": at, "md5": md5.hexdigest(), "sha256": sha256.hexdigest()}
+
+    def objects(self) -> Iterator[dict]:
+        """The entries that each revision writes: object, offset, whether in use, and what it is.
+
+        Only a revision's own cross-reference section counts, not those that it follows.
+        """
+        whole, held = self.offsets, dict(self.trailer)
+        try:
+            for rev, m in enumerate(EOF.finditer(self.data)):
+                at = self.data.rfind(b"startxref", 0, m.end())
+                where = Lexer(self.data, at + 9).read() if at >= 0 else None
+                if not isinstance(where, int) or not 0 <= where < len(self.data):
+                    continue
+                self.offsets = {}
+                if self.data[where : where + 4] == b"xref":
+                    self._table(Lexer(self.data, where))
+                else:
+                    self._xref_stream(where)
+                own, self.offsets = self.offsets, whole
+                for num, entry in sorted(own.items()):
+                    if num:
+                        value = self._object_at(entry[1], num) if entry[0] == "at" else self.get(Ref(num, 0)) if entry[0] == "in" else None
+                        yield {"rev": rev, "obj": num, "offset": entry[1], "in_use": entry[0] != "free", "class": kind_of(value)}
+        finally:
+            self.offsets, self.trailer = whole, held
+
+    def conformance(self) -> Iterator[dict]:
+        """What the archival rules look at, one row."""
+        packet = self.xmp() or ""
+        part = re.search(r"pdfaid:part(?:>|\s*=\s*[\"'])\s*(\d+)", packet)
+        title = re.search(r"(?s)<dc:title>.*?<rdf:li[^>]*>(.*?)</rdf:li>", packet)
+        states = list(self.gstates())
+        fonts = {f["base_font"] for f in self.fonts() if not f["embedded"] and f["subtype"] != "Type3"}
+        alphas = [a for s in states for a in (s["ca"], s["stroke_ca"]) if a is not None]
+        yield {
+            "pdfa_part": int(part[1]) if part else None, "has_intent": any(i["subtype"] == "GTS_PDFA1" for i in self.intents()), "unembedded_fonts": len(fonts),
+            "encrypted": bool(self.encryption), "title": title[1].strip() if title else self.info().get("Title"), "ca": min([1.0, *alphas]),
+            "smask": any(s["smask"] for s in states),
+        }
+
+    def gstates(self) -> Iterator[dict]:
+        """Each page's named graphics states: opacities, blend mode, and whether there is a soft mask."""
+        number_of = lambda v: float(x) if isinstance(x := self.get(v), (int, float)) and not isinstance(x, bool) else None
+        for number, page in enumerate(self.pages()):
+            for name, ref in self.dict_of(self.dict_of(page.get("Resources")).get("ExtGState")).items():
+                g = self.dict_of(ref)
+                mode, mask = self.get(g.get("BM")), self.get(g.get("SMask"))
+                mode = self.get(mode[0]) if isinstance(mode, list) and mode else mode
+                yield {
+                    "page_no": number, "name": name, "ca": number_of(g.get("ca")), "stroke_ca": number_of(g.get("CA")),
+                    "blend": str(mode) if isinstance(mode, Name) else "Normal", "smask": mask is not None and mask != "None",
+                }
+
+    def spaces(self) -> Iterator[dict]:
+        """Each page's named colour spaces: family, what they build on, and their components."""
+        for number, page in enumerate(self.pages()):
+            for name, ref in self.dict_of(self.dict_of(page.get("Resources")).get("ColorSpace")).items():
+                family, base, n = self.space(ref)
+                yield {"page_no": number, "name": name, "family": family, "base": base, "components": n}
+
+    def space(self, value, depth: int = 0) -> tuple[str, str | None, int]:
+        """Family, base space and number of components of a colour space."""
+        value = self.get(value)
+        parts = value if isinstance(value, list) else [value]
+        family = str(self.get(parts[0]) or "") if parts else ""
+        family = {"G": "DeviceGray", "RGB": "DeviceRGB", "CMYK": "DeviceCMYK", "I": "Indexed"}.get(family, family)
+        fixed = {"DeviceGray": 1, "CalGray": 1, "DeviceRGB": 3, "CalRGB": 3, "Lab": 3, "DeviceCMYK": 4, "Indexed": 1, "Separation": 1, "Pattern": 0}
+        n = fixed.get(family, 0)
+        if family == "ICCBased" and len(parts) > 1:
+            held = self.get(self.dict_of(parts[1]).get("N"))
+            n = held if isinstance(held, int) else 0
+        if family == "DeviceN" and len(parts) > 1:
+            n = len(self.list_of(parts[1]))
+        under = {"Indexed": 1, "Pattern": 1, "Separation": 2, "DeviceN": 2}.get(family)
+        if under and len(parts) > under and depth < 8:
+            return family, self.space(parts[under], depth + 1)[0], n
+        return family, None, n
+
+    def operators(self) -> Iterator[dict]:
+        """How often each operator occurs in a page's content."""
+        from collections import Counter
+
+        from .text import tokens
+
+        for number, page in enumerate(self.pages()):
+            for op, n in sorted(Counter(op for _, op in tokens(self.contents(page))).items()):
+                yield {"page_no": number, "op": op.decode("latin-1"), "n": n}
+
+    def placements(self) -> Iterator[dict]:
+        """Where images are painted: the corner and the sides of each one's unit square."""
+        from .text import placements
+
+        for number, page in enumerate(self.pages()):
+            for i, (name, m) in enumerate(placements(self, self.contents(page), self.dict_of(page.get("Resources")))):
+                yield {"page_no": number, "ord": i, "name": name, "x": m[4], "y": m[5], "width": (m[0] ** 2 + m[1] ** 2) ** 0.5, "height": (m[2] ** 2 + m[3] ** 2) ** 0.5}
+
+    def keys(self) -> Iterator[dict]:
+        """The keys of every dictionary object, its type, and the kind of each value, for checks against a catalogue."""
+        for num in sorted(self.offsets):
+            value = self.get(Ref(num, 0))
+            held = value.dict if isinstance(value, Stream) else value
+            if isinstance(held, dict):
+                kind = str(self.get(held.get("Type")) or "")
+                for key, v in held.items():
+                    yield {"obj": num, "type": kind, "key": key, "kind": value_kind(self.get(v))}
+
+
+def value_kind(value) -> str:
+    """A value's basic type by the name that schema catalogues use."""
+    for kind, name in (
+        (bool, "boolean"), (int, "integer"), (float, "number"), (Name, "name"), ((bytes, bytearray, str), "string"), (list, "array"), (dict, "dictionary"), (Stream, "stream"),
+    ):
+        if isinstance(value, kind):
+            return name
+    return "null"
+
+
+def kind_of(value) -> str:
+    """What an object is to a certified document: by its field type first, then its type."""
+    held = value.dict if isinstance(value, Stream) else value
+    if not isinstance(held, dict):
+        return "unknown"
+    if "FT" in held:
+        return "signature" if held["FT"] == "Sig" else "form_field"
+    kind, below = str(held.get("Type") or ""), str(held.get("Subtype") or "")
+    known = {"Sig": "signature", "Page": "page", "Pages": "page", "Catalog": "catalog", "Annot": "annotation", "Font": "font", "XObject": "xobject", "Metadata": "metadata"}
+    if kind in known:
+        return "form_field" if kind == "Annot" and below == "Widget" else known[kind]
+    if below in ("Text", "Link", "Highlight", "Widget", "FreeText", "Stamp", "Popup") and "Rect" in held:
+        return "form_field" if below == "Widget" else "annotation"
+    if {"Title", "Author", "Producer", "Creator", "ModDate"} & set(held):
+        return "metadata"
+    return "unknown"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from .syntax import Name, Ref, Stream, dump, text_string
+from .syntax import Keyword, Name, Ref, Stream, dump, text_string
 
 WIDTH, HEIGHT, STEP = 612, 792, 14
 
@@ -81,7 +81,7 @@ def build(
             names += [text_string(name), w.add({"Type": Name("Filespec"), "F": text_string(name), "UF": text_string(name), "EF": {"F": body, "UF": body}})]
         catalog["Names"] = {"EmbeddedFiles": {"Names": names}}
     if fields:
-        refs = [w.add({"FT": Name(f["type"]), "T": text_string(f["name"]), "Ff": f.get("flags", 0), "V": text_string(f.get("value", ""))}) for f in fields]
+        refs = [w.add(_field(f)) for f in fields]
         catalog["AcroForm"] = {"Fields": refs}
     if labels:
         nums: list = []
@@ -93,6 +93,15 @@ def build(
     return w.save(root, described)
 
 
+def _field(f: dict) -> dict:
+    made = {"FT": Name(f["type"]), "T": text_string(f["name"]), "Ff": f.get("flags", 0), "V": text_string(f.get("value", ""))}
+    if f.get("max_length"):
+        made["MaxLen"] = f["max_length"]
+    if f.get("options"):
+        made["Opt"] = [text_string(o) for o in f["options"]]
+    return made
+
+
 def _outline(w: Writer, items: list[tuple[str, list]], parent: Ref) -> list[Ref]:
     refs = [w.add() for _ in items]
     for i, (title, kids) in enumerate(items):
@@ -125,3 +134,140 @@ def update(data: bytes, changed: dict[int, object]) -> bytes:
     return bytes(out + b"trailer\n" + dump(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
+def bring(w: Writer, doc, numbers: list[int], tree: Ref) -> list[Ref]:
+    """Copies of a document's pages with all that they refer to, under new numbers.
+
+    What points to a page that isn't copied points to nothing.
+    """
+    pages = list(doc.pages())
+    if any(not 0 <= n < len(pages) for n in numbers):
+        raise ValueError(f"pages {numbers} of {len(pages)}")
+    every = {p["_num"] for p in pages}
+    found: dict[int, Ref] = {}
+    todo: list[tuple[Ref, object]] = []
+
+    def copied(value):
+        if isinstance(value, Ref):
+            if value.num in every and value.num not in found:
+                return None
+            if value.num not in found:
+                found[value.num] = w.add()
+                todo.append((found[value.num], doc.get(value)))
+            return found[value.num]
+        if isinstance(value, list):
+            return [copied(v) for v in value]
+        if isinstance(value, dict):
+            return {k: copied(v) for k, v in value.items() if k != "Parent"}
+        if isinstance(value, Stream):
+            return Stream({k: copied(v) for k, v in value.dict.items() if k != "Length"}, value.raw)
+        return value
+
+    refs = []
+    for n in numbers:
+        ref = w.add()
+        refs.append(ref)
+        if pages[n]["_num"] is not None:
+            found.setdefault(pages[n]["_num"], ref)
+    for n, ref in zip(numbers, refs, strict=True):
+        w.put(ref, {k: copied(v) for k, v in pages[n].items() if k not in ("Parent", "_num")} | {"Type": Name("Page"), "Parent": tree})
+    while todo:
+        ref, value = todo.pop()
+        w.put(ref, copied(value))
+    return refs
+
+
+def assemble(parts: list[tuple[bytes, list[int] | None]]) -> bytes:
+    """One file of pages taken from several, in order; None takes all of a file's pages."""
+    from .document import Document
+
+    w = Writer()
+    root, tree = w.add(), w.add()
+    kids: list[Ref] = []
+    for data, numbers in parts:
+        doc = Document(data)
+        kids += bring(w, doc, list(range(sum(1 for _ in doc.pages()))) if numbers is None else numbers, tree)
+    w.put(tree, {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)})
+    w.put(root, {"Type": Name("Catalog"), "Pages": tree})
+    return w.save(root)
+
+
+def merge(files: list[bytes]) -> bytes:
+    return assemble([(f, None) for f in files])
+
+
+def split(data: bytes, size: int) -> list[bytes]:
+    """Files of ``size`` pages each."""
+    from .document import Document
+
+    n = sum(1 for _ in Document(data).pages())
+    return [assemble([(data, list(range(i, min(i + size, n))))]) for i in range(0, n, size)]
+
+
+READ_ONLY, PUSH_BUTTON, MULTI_SELECT = 1, 1 << 16, 1 << 21
+
+
+def fill(data: bytes, values: dict[str, object]) -> tuple[bytes, dict[str, str]]:
+    """A revision with new field values, and why others were refused.
+
+    Texts are bounded by MaxLen in bytes, check boxes take true or false, choices take positions
+    among their options, several only where the field allows it. Read-only fields take nothing.
+    """
+    from .document import Document
+
+    doc, changed, refused = Document(data), {}, {}
+    there = {name: (num, node, held) for name, num, node, held in doc.field_nodes()}
+    for name, value in values.items():
+        if name not in there or there[name][0] is None:
+            refused[name] = "no such field"
+            continue
+        num, node, held = there[name]
+        kind, flags = str(doc.get(held.get("FT"))), doc.get(held.get("Ff")) or 0
+        options, most = doc.list_of(held.get("Opt")), doc.get(held.get("MaxLen"))
+        if flags & READ_ONLY:
+            refused[name] = "read only"
+        elif kind == "Tx":
+            raw = text_string(str(value))
+            if isinstance(most, int) and most > 0 and len(str(value).encode()) > most:
+                refused[name] = "too long"
+            else:
+                changed[num] = {**node, "V": raw}
+        elif kind == "Btn":
+            if flags & PUSH_BUTTON:
+                refused[name] = "push button"
+            else:
+                state = Name("Yes" if value else "Off")
+                changed[num] = {**node, "V": state, "AS": state}
+        elif kind == "Ch":
+            at = list(value) if isinstance(value, (list, tuple)) else [value]
+            if any(not isinstance(i, int) or not 0 <= i < len(options) for i in at):
+                refused[name] = "not an option"
+            elif len(at) > 1 and not flags & MULTI_SELECT:
+                refused[name] = "one option only"
+            else:
+                taken = [doc.get(options[i]) for i in at]
+                changed[num] = {**node, "V": taken[0] if len(taken) == 1 else taken, "I": at}
+        else:
+            refused[name] = "not a value field"
+    return (update(data, changed) if changed else data), refused
+
+
+def sign(data: bytes, attributes_of, size: int = 4096) -> bytes:
+    """Append a signature dictionary whose byte range leaves out its contents alone.
+
+    ``attributes_of`` gets the signed bytes and returns the CMS to embed. What keys are used and
+    kept is the caller's business.
+    """
+    from .document import Document
+
+    doc = Document(data)
+    num = max(doc.offsets) + 1
+    blank = b"0" * (2 * size)
+    marker = Keyword(b"<" + blank + b">")
+    holes = Keyword(b"[" + b" ".join([b"%010d" % 0] * 4) + b"]")
+    body = {"Type": Name("Sig"), "Filter": Name("Adobe.PPKLite"), "SubFilter": Name("adbe.pkcs7.detached"), "ByteRange": holes, "Contents": marker}
+    out = update(data, {num: body})
+    at = out.rindex(b"<" + blank)
+    spans = [0, at, at + len(blank) + 2, len(out) - at - len(blank) - 2]
+    out = out.replace(bytes(holes), b"[" + b" ".join(b"%010d" % n for n in spans) + b"]")
+    cms = attributes_of(out[: spans[1]] + out[spans[2] :])
+    return out[: at + 1] + cms.hex().encode().ljust(2 * size, b"0") + out[spans[2] - 1 :]

@@ -175,18 +175,21 @@ n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 A
 """
 
 
+def grid_glyphs(spark, sf) -> DataFrame:
+    return layout.grid_pages(spread(read(spark, sf, "documents").select("doc_id", "text")))
+
+
 @query(GRID_SQL + """SELECT doc_id, line_index, t AS text, 0.0::DOUBLE AS x, 792.0 - 14.0 * (line + 1) AS y, 8.0 * length(t) AS w FROM n""")
 def line_text(spark, sf):
     """Texts to glyphs on a grid, and glyphs back to lines by position alone."""
-    chars = layout.group_lines(layout.grid_chars(spread(read(spark, sf, "documents").select("doc_id", "text"))))
-    return layout.line_boxes(chars).select("doc_id", "line_index", "text", "x", "y", "w")
+    return layout.lines(grid_glyphs(spark, sf)).select("doc_id", "line_index", "text", "x", "y", "w")
 
 
 @query(GRID_SQL + """, w AS (SELECT doc_id, line_index, line, t, regexp_extract_all(t, '[^ ]+') AS words FROM n)
 SELECT doc_id, line_index, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS n_chars, max(length(word)) * 8.0 AS widest
 FROM (SELECT doc_id, line_index, unnest(words) AS word FROM w) GROUP BY doc_id, line_index""")
 def word_segment(spark, sf):
-    words = layout.segment_words(layout.group_lines(layout.grid_chars(spread(read(spark, sf, "documents").select("doc_id", "text")))))
+    words = layout.words(grid_glyphs(spark, sf))
     return words.groupBy("doc_id", "line_index").agg(
         F.count(F.lit(1)).alias("n_words"), F.sum(F.length("text")).alias("n_chars"), F.max("w").alias("widest")
     )
@@ -265,14 +268,13 @@ def markdown_headings(spark, sf):
 SELECT doc_id, line_index, s AS text, 80.0::DOUBLE AS x1, 8.0 * least(size, 36) AS x2 FROM s WHERE s <> ''""")
 def select_rect(spark, sf):
     """The text of a rectangle on every page."""
-    chars = layout.group_lines(layout.grid_chars(spread(read(spark, sf, "documents").select("doc_id", "text"))))
-    return spatial.select_rect(chars, 81.0, 700.0, 287.0, 650.0).select("doc_id", "line_index", "text", "x1", "x2")
+    return spatial.select_rect(grid_glyphs(spark, sf), 81.0, 700.0, 287.0, 650.0).select("doc_id", "line_index", "text", "x1", "x2")
 
 
 @query(GRID_SQL + """, b AS (SELECT doc_id, line_index, strlen(t) AS size, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM n)
 SELECT doc_id, line_index, CAST(least(s + size, 900) - greatest(s, 400) AS BIGINT) AS overlap FROM b WHERE s < 900 AND s + size > 400""")
 def select_range(spark, sf):
-    lines = layout.byte_index(layout.line_boxes(layout.group_lines(layout.grid_chars(spread(read(spark, sf, "documents").select("doc_id", "text"))))))
+    lines = layout.byte_index(layout.lines(grid_glyphs(spark, sf)))
     return spatial.select_range(lines, 400, 500).select("doc_id", "line_index", "overlap")
 
 
@@ -389,7 +391,7 @@ def placed_glyphs(spark, sf) -> DataFrame:
 SELECT doc_id, r AS row, 0 AS col, a AS text FROM d UNION ALL SELECT doc_id, r, 1, b FROM d UNION ALL SELECT doc_id, r, 2, c FROM d""")
 def table_cells(spark, sf):
     """Tables found from glyph positions alone."""
-    return tables.cells(tables.grid(placed_glyphs(spark, sf))).drop("page_no")
+    return tables.cells(layout.pack(placed_glyphs(spark, sf))).drop("page_no")
 
 
 # --- page sets ------------------------------------------------------------------------------------

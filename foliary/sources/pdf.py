@@ -7,11 +7,12 @@ be read becomes one row with its status, so it is seen and counted, and a job ne
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 STATUS = "status string, error string"
@@ -26,19 +27,51 @@ def section(schema: str):
     return add
 
 
-@section("version string, n_pages int, repaired boolean, info map<string,string>")
+class Partial(tuple):
+    """A row of which a part could not be read; ``error`` says why."""
+
+    error = ""
+
+
+@section("version string, n_pages int, repaired boolean, linearized boolean, info map<string,string>")
 def documents(doc) -> Iterator[tuple]:
-    yield doc.version, sum(1 for _ in doc.pages()), doc.repaired, list(doc.info().items())
+    yield doc.version, sum(1 for _ in doc.pages()), doc.repaired, bool(doc.linearization()), list(doc.info().items())
 
 
-@section("page_no int, width double, height double, rotate double, text string")
+@section("page_no int, width double, height double, rotate double, crop array<double>, text string")
 def pages(doc) -> Iterator[tuple]:
+    from ..pdf.filters import FilterError
     from ..pdf.text import page_text
 
     for number, page in enumerate(doc.pages()):
-        box = [float(x) if isinstance(x, (int, float)) else 0.0 for x in map(doc.get, doc.list_of(page.get("MediaBox")))]
-        box = box if len(box) == 4 else [0.0, 0.0, 612.0, 792.0]
-        yield number, box[2] - box[0], box[3] - box[1], float(doc.get(page.get("Rotate")) or 0), page_text(doc, page)
+        box = doc.box_of(page.get("MediaBox")) or [0.0, 0.0, 612.0, 792.0]
+        facts = (number, box[2] - box[0], box[3] - box[1], float(doc.get(page.get("Rotate")) or 0), doc.box_of(page.get("CropBox")) or box)
+        try:
+            yield (*facts, page_text(doc, page))
+        except FilterError as e:  # this page's content only
+            row = Partial((*facts, None))
+            row.error = str(e)
+            yield row
+
+
+@section("page_no int, ord int, ch string, x double, y double, w double, h double, angle double, font string, vertical boolean")
+def chars(doc) -> Iterator[tuple]:
+    """Every character with its box; ``foliary.operators.layout.pack`` makes pages of them."""
+    from ..pdf.text import page_glyphs
+
+    for number, page in enumerate(doc.pages()):
+        for i, g in enumerate(page_glyphs(doc, page)):
+            yield number, i, g.ch, g.x, g.y, g.w, g.h, round(g.angle, 6), g.font, g.vertical
+
+
+@section("page_no int, glyphs string, x array<double>, y array<double>, w array<double>, h array<double>, fonts array<string>")
+def glyph_pages(doc) -> Iterator[tuple]:
+    """Pages of glyphs as ``foliary.operators.layout`` takes them: a row for each page."""
+    from ..pdf.text import page_glyphs
+
+    for number, page in enumerate(doc.pages()):
+        found = list(page_glyphs(doc, page))
+        yield number, "".join([g.ch for g in found]), *[[g[k] for g in found] for k in (1, 2, 3, 4)], [g.font for g in found]
 
 
 @section("page_no int, ord int, text string, x double, y double, font_size double")
@@ -103,8 +136,16 @@ _table("actions", "page_no int, trigger string, type string, target string")
 _table("layers", "obj int, name string, visible boolean")
 _table("images", "page_no int, name string, width int, height int, bits int, color_space string, codec string, raw binary")
 _table("structure", "path array<int>, type string, alt string, lang string, mcids array<int>")
+_table("objects", "rev int, obj int, offset long, in_use boolean, class string")
+_table("conformance", "pdfa_part int, has_intent boolean, unembedded_fonts long, encrypted boolean, title string, ca double, smask boolean")
+_table("gstates", "page_no int, name string, ca double, stroke_ca double, blend string, smask boolean")
+_table("spaces", "page_no int, name string, family string, base string, components int")
+_table("operators", "page_no int, op string, n long")
+_table("placements", "page_no int, ord int, name string, x double, y double, width double, height double")
+_table("keys", "obj int, type string, key string, kind string")
+_table("linearized", "length long, first_object long, first_page_end long, n_pages long, main_table long")
 _table("intents", "subtype string, identifier string, info string")
-_table("signatures", "obj int, sub_filter string, byte_range array<long>, coverage_end long, sha256 string, signed_at string, contents binary")
+_table("signatures", "obj int, sub_filter string, byte_range array<long>, coverage_end long, sha256 string, signed_at string, permission int, digest_ok boolean, signature_ok boolean, verdict string, contents binary")
 
 
 @section("xmp string")
@@ -113,8 +154,11 @@ def xmp(doc) -> Iterator[tuple]:
     yield (doc.xmp(),)
 
 
-def rows_of(content: bytes | None, name: str, repair: bool = True, password: str = "") -> Iterator[tuple]:
-    """A file's rows of a section, each followed by status and error; at least one."""
+def rows_of(content: bytes | None, name: str, repair: bool = True, password: str = "", document=None) -> Iterator[tuple]:
+    """A file's rows of a section as they are read, each followed by status and error.
+
+    ``document`` is the parsed file, if there is one already.
+    """
     from ..pdf.document import Document, Encrypted, Malformed
 
     schema, make = SECTIONS[name]
@@ -123,14 +167,48 @@ def rows_of(content: bytes | None, name: str, repair: bool = True, password: str
         yield (*blank, "EMPTY", "no bytes")
         return
     try:
-        found = [(*row, "OK", None) for row in make(Document(bytes(content), repair, password))]
+        for row in make(document or Document(bytes(content), repair, password)):
+            yield (*row, "PARTIAL", row.error) if isinstance(row, Partial) else (*row, "OK", None)
     except Encrypted as e:
-        found = [(*blank, "ENCRYPTED", str(e))]
+        yield (*blank, "ENCRYPTED", str(e))
     except Malformed as e:
-        found = [(*blank, "MALFORMED", str(e))]
+        yield (*blank, "MALFORMED", str(e))
     except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError) as e:
-        found = [(*blank, "INTERNAL", f"{type(e).__name__}: {e}"[:200])]
-    yield from found
+        yield (*blank, "INTERNAL", f"{type(e).__name__}: {e}"[:200])  # after the rows that came before
+
+
+def parse(files: DataFrame, names: tuple[str, ...], key: str = "path", content: str = "content", repair: bool = True, password: str = "") -> DataFrame:
+    """Several sections of every file from one parse: a column of rows for each, for ``rows``.
+
+    The table is read once for each section taken from it, so write it first if there are many.
+    """
+    kind = dict(files.dtypes)[key]
+    columns = ", ".join(f"{n} array<struct<{SECTIONS[n][0]}, {STATUS}>>" for n in names)
+    full = StructType.fromDDL(f"{key} {kind}, {columns}")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from ..pdf.document import Document
+
+    arrow = to_arrow_schema(full)
+    fields = {n: [f.name for f in full[n].dataType.elementType.fields] for n in names}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, body in zip(batch.column(0), batch.column(1), strict=True):
+                data = body.as_py()
+                try:
+                    document = Document(bytes(data), repair, password) if data else None
+                except ValueError:
+                    document = None  # rows_of meets the failure again and names it
+                found = [[dict(zip(fields[n], row, strict=True)) for row in rows_of(data, n, repair, password, document)] for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([k.as_py(), *found], arrow, strict=True)], schema=arrow)
+
+    return files.select(key, F.col(content).alias("content")).mapInArrow(run, full)
+
+
+def rows(parsed: DataFrame, name: str, key: str = "path") -> DataFrame:
+    """A section's rows from a table that ``parse`` made."""
+    return parsed.select(key, F.explode(name).alias("__row")).select(key, "__row.*")
 
 
 def sections(files: DataFrame, name: str, key: str = "path", content: str = "content", repair: bool = True, password: str = "") -> DataFrame:
@@ -164,7 +242,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class PdfSource(DataSource):
-    """``spark.read.format("pdf").option("section", "pages").load(folder)`` for files on a shared path."""
+    """``spark.read.format("pdf").option("section", "pages").load(folder)`` for files on a shared path.
+
+    ``df.write.format("pdf").save(folder)`` writes a file for each row: name, and pages as an array
+    of texts. Paths are those of a file system that every executor mounts; for other stores use
+    ``read_folder``, which reads through Spark.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -176,19 +259,34 @@ class PdfSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return PdfReader(self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return PdfWriter(self.options, schema, overwrite)
+
+
+def packed(sizes: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Paths in groups of at most ``most`` bytes, or one larger file; the largest first."""
+    groups: list[list[str]] = []
+    room = 0
+    for path, size in sorted(sizes, key=lambda f: (-f[1], f[0])):
+        if not groups or size > room:
+            groups.append([])
+            room = most
+        groups[-1].append(path)
+        room -= size
+    return groups
+
 
 class PdfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        """Files in groups of about equal size, so that no task reads many large ones."""
+        """Files in groups by their bytes (option ``bytes``, 32 MB)."""
         from pathlib import Path
 
         top = Path(self.options["path"].removeprefix("file://"))
-        files = sorted([top] if top.is_file() else top.rglob("*.pdf"), key=lambda p: (-p.stat().st_size, str(p)))
-        n = min(len(files), int(self.options.get("partitions", 64)))
-        return [InputPartition([str(p) for p in files[i::n]]) for i in range(n)] or [InputPartition([])]
+        files = [(str(p), p.stat().st_size) for p in ([top] if top.is_file() else top.rglob("*.pdf"))]
+        return [InputPartition(g) for g in packed(files, int(self.options.get("bytes", 32 << 20)))] or [InputPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for path in partition.value:
@@ -200,6 +298,59 @@ class PdfReader(DataSourceReader):
                 yield (path, *[dict(v) if isinstance(v, list) and name == "documents" else v for v in row])
 
 
+class PdfWriter(DataSourceWriter):
+    """Files appear under their names when the whole job has succeeded; a failed job leaves none."""
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+        self.path, self.overwrite = dict(options)["path"].removeprefix("file://"), overwrite
+        if not {"name", "pages"} <= set(schema.names):
+            raise ValueError("a table of files has the columns name and pages")
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        import os
+        import uuid
+
+        from ..pdf.writer import build
+
+        staged = os.path.join(self.path, f"_temporary-{uuid.uuid4().hex}")
+        os.makedirs(staged)
+        names = []
+        for row in iterator:
+            name = os.path.basename(row["name"])
+            with open(os.path.join(staged, name), "wb") as f:
+                f.write(build(list(row["pages"] or [""])))
+            names.append(name)
+        return Written(staged, names)
+
+    def commit(self, messages: list) -> None:
+        import os
+        import shutil
+
+        done = [m for m in messages if m]
+        if self.overwrite:
+            kept = {m.staged for m in done}
+            for old in os.scandir(self.path):
+                if old.path not in kept and old.name.endswith(".pdf"):
+                    os.remove(old.path)
+        for m in done:
+            for name in m.names:
+                os.replace(os.path.join(m.staged, name), os.path.join(self.path, name))
+            shutil.rmtree(m.staged)
+
+    def abort(self, messages: list) -> None:
+        import shutil
+
+        for m in messages:
+            if m:
+                shutil.rmtree(m.staged, ignore_errors=True)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    staged: str
+    names: list[str]
+
+
 def read_folder(spark: SparkSession, path: str, name: str = "pages", repair: bool = True) -> DataFrame:
     """A section of all files below a path that Spark can reach, local or remote."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)

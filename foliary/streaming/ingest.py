@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.pdf import sections
+from ..sources.pdf import parse, rows
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -35,12 +35,12 @@ def append_sections(files: DataFrame, target: str, checkpoint: str, names: tuple
     """Parse each batch once for every section and append it; a repeated batch overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        parsed = parse(batch, names).persist()
         try:
             for name in names:
-                sections(batch, name).write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+                rows(parsed, name).write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
         finally:
-            batch.unpersist()
+            parsed.unpersist()
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
@@ -59,3 +59,13 @@ def latest_revisions(history: DataFrame, key: str = "path", order: str = "modifi
     """The newest row of each key in a table that a stream has appended to."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return history.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def tagged_sessions(events: DataFrame, key: str, time: str, gap: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
+    """Events by session window and key: a session ends after a gap without events."""
+    return (
+        events.withWatermark(time, delay)
+        .groupBy(F.session_window(time, gap).alias("w"), key)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+    )

@@ -119,7 +119,7 @@ def test_words_break_at_spaces_and_gaps(spark):
     text = [("H", 0.0), ("i", 7.0), (" ", 14.0), ("y", 21.0), ("o", 28.0), ("u", 60.0)]
     rows = [(1, 0, i, c, x, 100.0, 7.0, 12.0) for i, (c, x) in enumerate(text)] + [(1, 0, 9, "z", 0.0, 50.0, 7.0, 12.0)]
     chars = spark.createDataFrame(rows, "doc_id long, page_no int, ord long, ch string, x double, y double, w double, h double")
-    words = layout.segment_words(layout.group_lines(chars)).orderBy("line_index", "word_index").collect()
+    words = layout.words(layout.pack(chars)).orderBy("line_index", "word_index").collect()
     assert [(r["line_index"], r["text"]) for r in words] == [(0, "Hi"), (0, "yo"), (0, "u"), (1, "z")]
 
 
