@@ -72,6 +72,11 @@ def hmac_sha256(key: Column, message: Column) -> Column:
     return F.sha2(F.concat(_flip(hexed, 0x5C), inner), 256)
 
 
+def to_base64(raw: Column) -> Column:
+    """Base64 in one line."""
+    return F.translate(F.base64(raw), "\r\n", "")
+
+
 def from_base64(text: Column) -> Column:
     """Bytes of base64 that may hold other characters and lack its padding."""
     clean = F.regexp_replace(text, "[^A-Za-z0-9+/]", "")

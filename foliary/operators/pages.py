@@ -28,18 +28,29 @@ def label_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     return found.withColumn("label", text).drop("__r", "__k")
 
 
-def merge(parts: Sequence[DataFrame], order: str = "page_no") -> DataFrame:
-    """Pages of several sets one after another: source, page_no within it, and merged_no over all."""
+#: Ranges that a merge sorts apart; the table of their sizes is what it broadcasts.
+RANGES = 256
+
+
+def merge(parts: Sequence[DataFrame], order: str = "page_no", ranges: int = RANGES) -> DataFrame:
+    """Pages of several sets one after another: source, page_no within it, and merged_no over all.
+
+    Each source is cut into ranges of its order at approximate quantiles. Pages are numbered within
+    their range, and the counts of the ranges before, a row for each, give where a range begins; so
+    no task sorts a whole source.
+    """
     both = None
     for i, p in enumerate(parts):
         p = p.withColumn("source_no", F.lit(i))
         both = p if both is None else both.unionByName(p)
-    # Offsets come from counts of each source, so only a source's own pages are sorted together.
-    counts = both.groupBy("source_no").count()
-    before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each source
+    steps = [k / ranges for k in range(1, ranges)]
+    cuts = both.groupBy("source_no").agg(F.percentile_approx(order, steps, 4 * ranges).alias("__cuts"))
+    dealt = both.join(F.broadcast(cuts), "source_no").withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col(order)))).drop("__cuts")
+    counts = dealt.groupBy("source_no", "__range").count()
+    before = Window.orderBy("source_no", "__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     offsets = counts.withColumn("__o", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    ranked = both.withColumn("__n", F.row_number().over(Window.partitionBy("source_no").orderBy(order)) - 1)
-    return ranked.join(F.broadcast(offsets), "source_no").withColumn("merged_no", F.col("__o") + F.col("__n")).drop("__o", "__n")
+    ranked = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("source_no", "__range").orderBy(order)) - 1)
+    return ranked.join(F.broadcast(offsets), ["source_no", "__range"]).withColumn("merged_no", F.col("__o") + F.col("__n")).drop("__o", "__n", "__range")
 
 
 def split(pages: DataFrame, size: int) -> DataFrame:
@@ -66,6 +77,31 @@ def rotate(pages: DataFrame, by: int) -> DataFrame:
     return pages.withColumns({"rotate": F.pmod(F.col("rotate") + by, F.lit(360)), **sides})
 
 
+def crop(pages: DataFrame, x1: float, y1: float, x2: float, y2: float) -> DataFrame:
+    """Pages reduced to the part of a box that lies on them; none where it lies outside."""
+    left, low = F.greatest(F.lit(min(x1, x2)), F.lit(0.0)), F.greatest(F.lit(min(y1, y2)), F.lit(0.0))
+    right, high = F.least(F.lit(max(x1, x2)), F.col("width")), F.least(F.lit(max(y1, y2)), F.col("height"))
+    return pages.filter((right > left) & (high > low)).withColumns({"width": right - left, "height": high - low})
+
+
+def remove(pages: DataFrame, number: Column) -> DataFrame:
+    """Without the page of this number; those after it close up."""
+    n = F.col("page_no")
+    return pages.filter(n != number).withColumn("page_no", F.when(n > number, n - 1).otherwise(n))
+
+
+def insert(pages: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """With new pages (keys and the page_no that each gets, one for a document); those from there on make room."""
+    at = new.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("page_no").alias("__at"))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    met = same[0]
+    for s in same[1:]:
+        met = met & s
+    n = F.col("page_no")
+    moved = pages.join(at, met, "left").withColumn("page_no", F.when(n >= F.col("__at"), n + 1).otherwise(n))
+    return moved.drop("__at", *[f"__{k}" for k in keys]).unionByName(new, allowMissingColumns=True)
+
+
 def bates(number: Column, prefix: str = "", suffix: str = "", start: int = 1, increment: int = 1, digits: int = 6) -> Column:
     """A running stamp. Numbers longer than ``digits`` are written in full."""
     value = (F.lit(start) + number * increment).cast("string")

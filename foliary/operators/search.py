@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import context, edit_distance, fold, positions, trigram_similarity, trigrams
+from ..functions.text import context, edit_distance, fold, let, positions, trigram_similarity, trigrams
 
 
 def hits(docs: DataFrame, term: str, case_sensitive: bool = True, overlapping: bool = True, around: int = 30) -> DataFrame:
@@ -39,9 +39,10 @@ def trigram_index(docs: DataFrame, text: str = "text") -> DataFrame:
 def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences of each trigram and documents that have it, combined in each task first."""
     grams = trigrams(F.coalesce(F.col(text), F.lit("")))
-    each = docs.select(F.explode(grams).alias("trigram")).groupBy("trigram").agg(F.count(F.lit(1)).alias("n_positions"))
-    there = docs.select(F.explode(F.array_distinct(grams)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n_docs"))
-    return each.join(there, F.col("trigram") == F.col("g")).drop("g")
+    # Sorted, a document's first of each trigram is the one that differs from the one before.
+    tagged = let(F.sort_array(grams), lambda g: F.transform(g, lambda x, i: F.struct(x.alias("g"), F.when((i > 0) & (F.get(g, i - 1) == x), 0).otherwise(1).alias("f"))))
+    rows = docs.select(F.explode(tagged).alias("t"))
+    return rows.groupBy(F.col("t.g").alias("trigram")).agg(F.count(F.lit(1)).alias("n_positions"), F.sum("t.f").alias("n_docs"))
 
 
 CANDIDATES = 64

@@ -11,14 +11,16 @@ def flatten(nodes: DataFrame, depth_limit: int = 64) -> DataFrame:
 
     Cycles can't be reached from a root, and ``depth_limit`` bounds the recursion.
     """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("__foliary_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE tree MAX RECURSION LEVEL {depth_limit} AS (
-          SELECT id, title AS path, 0 AS depth FROM __foliary_nodes WHERE parent IS NULL
+    return nodes.sparkSession.sql(
+        """
+        WITH RECURSIVE tree MAX RECURSION LEVEL {limit} AS (
+          SELECT id, title AS path, 0 AS depth FROM {nodes} WHERE parent IS NULL
           UNION ALL
-          SELECT n.id, concat(t.path, '/', n.title), t.depth + 1 FROM tree t JOIN __foliary_nodes n ON n.parent = t.id)
-        SELECT id, path, depth FROM tree""")
+          SELECT n.id, concat(t.path, '/', n.title), t.depth + 1 FROM tree t JOIN {nodes} n ON n.parent = t.id)
+        SELECT id, path, depth FROM tree""",
+        nodes=nodes,
+        limit=depth_limit,
+    )
 
 
 def element(xml: Column, name: str) -> Column:

@@ -82,3 +82,19 @@ def to_json(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return cells.groupBy(*keys).agg(
         F.to_json(F.struct((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), listed.alias("cells"))).alias("content")
     )
+
+
+def dense(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Every cell of each table up to its last row and column; those without text are empty.
+
+    A table's rows and columns come from its own extent, by sequences, and no cross join.
+    """
+    upto = cells.groupBy(*keys).agg(F.max("row").alias("__r"), F.max("col").alias("__c"))
+    every = upto.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("__r")))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("__c"))))
+    joined = every.drop("__r", "__c").join(cells.select(*keys, "row", "col", "text"), [*keys, "row", "col"], "left")
+    return joined.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def cell(cells: DataFrame, row: int, col: int) -> DataFrame:
+    """One cell of each table; no row where it is out of bounds."""
+    return cells.filter((F.col("row") == row) & (F.col("col") == col))

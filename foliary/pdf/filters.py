@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 
+from . import ccitt
+
 #: A stream that would decode to more than this is refused, as a guard against bombs.
 MAX_OUTPUT = 256 << 20
 
@@ -135,10 +137,7 @@ def predict(data: bytes, params: dict) -> bytes:
         raise FilterError("bad predictor parameters")
     step, size = max(1, colors * bits // 8), (colors * bits * columns + 7) // 8
     if kind == 2:
-        if bits != 8:
-            return data
-        rows = np.frombuffer(data[: len(data) // size * size], np.uint8).reshape(-1, columns, colors)
-        return np.cumsum(rows, 1, dtype=np.uint8).tobytes()
+        return _tiff(data[: len(data) // size * size], colors, bits, columns, size)
     out, above = bytearray(), np.zeros(size, np.uint8)
     for i in range(0, len(data), size + 1):
         tag, row = data[i], np.frombuffer(data[i + 1 : i + 1 + size].ljust(size, b"\0"), np.uint8)
@@ -162,6 +161,18 @@ def predict(data: bytes, params: dict) -> bytes:
     return bytes(out)
 
 
+def _tiff(data: bytes, colors: int, bits: int, columns: int, size: int) -> bytes:
+    """Running sums of each colour along every row, in samples of any size."""
+    if bits >= 8:
+        rows = np.frombuffer(data, np.uint8 if bits == 8 else ">u2").reshape(-1, columns, colors)
+        return np.cumsum(rows, 1, dtype=np.uint8 if bits == 8 else np.uint16).astype(rows.dtype).tobytes()
+    flat = np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, size), axis=1)
+    used = flat[:, : columns * colors * bits].reshape(-1, columns, colors, bits)
+    samples = np.cumsum(used @ (1 << np.arange(bits)[::-1]), 1) & (1 << bits) - 1
+    flat[:, : columns * colors * bits] = (samples[..., None] >> np.arange(bits)[::-1] & 1).reshape(len(flat), -1)
+    return np.packbits(flat, axis=1).tobytes()
+
+
 def predict_up(data: bytes, columns: int) -> bytes:
     """Apply the PNG "up" predictor, padding the last row."""
     rows = np.frombuffer(data.ljust(-(-len(data) // columns) * columns, b"\0"), np.uint8).reshape(-1, columns)
@@ -173,7 +184,7 @@ def predict_up(data: bytes, columns: int) -> bytes:
 
 SHORT = {"Fl": "FlateDecode", "LZW": "LZWDecode", "A85": "ASCII85Decode", "AHx": "ASCIIHexDecode", "RL": "RunLengthDecode", "CCF": "CCITTFaxDecode", "DCT": "DCTDecode"}
 #: Image codecs stay encoded: their bytes are a row's payload, not text.
-IMAGES = frozenset(["DCTDecode", "JPXDecode", "JBIG2Decode", "CCITTFaxDecode"])
+IMAGES = frozenset(["DCTDecode", "JPXDecode", "JBIG2Decode"])
 
 
 def decode(raw: bytes, names: list[str], params: list[dict]) -> bytes:
@@ -192,6 +203,8 @@ def decode(raw: bytes, names: list[str], params: list[dict]) -> bytes:
             raw = ascii_hex(raw)
         elif name == "RunLengthDecode":
             raw = run_length(raw)
+        elif name == "CCITTFaxDecode":
+            raw = ccitt.decode(raw, own, MAX_OUTPUT)
         elif name in IMAGES:
             return raw
         elif name != "Crypt":

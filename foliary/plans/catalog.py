@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import colour, numbering
+from ..functions import colour, numbering, values
 from ..functions import text as tx
 from ..operators import audit, layout, pages, search, spatial, tables
 from ..sources.writing import spread
@@ -42,15 +42,13 @@ def line_items(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- numbering and labels -------------------------------------------------------------------------
 
-def roman_sql(n: str) -> str:
-    digits = []
-    for place, letters in ((100, "CDM"), (10, "XLC"), (1, "IVX")):
-        listed = ", ".join(f"'{u.translate(str.maketrans('IVX', letters))}'" for u in numbering.UNITS)
-        digits.append(f"([{listed}])[CAST({n} // {place} AS INT) % 10 + 1]")
-    return f"CASE WHEN {n} BETWEEN 1 AND 3999 THEN repeat('M', CAST({n} // 1000 AS INT)) || {' || '.join(digits)} ELSE CAST({n} AS VARCHAR) END"
+ROMAN_SQL = """CASE WHEN o_orderkey BETWEEN 1 AND 3999 THEN repeat('M', CAST(o_orderkey // 1000 AS INT))
+|| (['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'])[CAST(o_orderkey // 100 AS INT) % 10 + 1]
+|| (['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'])[CAST(o_orderkey // 10 AS INT) % 10 + 1]
+|| (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[CAST(o_orderkey AS INT) % 10 + 1] ELSE CAST(o_orderkey AS VARCHAR) END"""
 
 
-@query(f"SELECT o_orderkey, {roman_sql('o_orderkey')} AS label FROM orders")
+@query(f"SELECT o_orderkey, {ROMAN_SQL} AS label FROM orders")
 def page_label_roman(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", numbering.roman(F.col("o_orderkey")).alias("label"))
 
@@ -134,6 +132,9 @@ def trigram_index(spark, sf):
     return search.trigram_counts(spread(read(spark, sf, "documents").select("doc_id", "text")))
 
 
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
 @query("""
 WITH t AS (SELECT p_partkey, list_distinct([substring(p_name, i, 3) FOR i IN range(1, length(p_name) - 1)]) AS g FROM part),
 q AS (SELECT r_name, list_distinct([substring(lower(r_name), i, 3) FOR i IN range(1, length(r_name) - 1)]) AS q FROM region)
@@ -141,8 +142,7 @@ SELECT p_partkey, r_name, round(CASE WHEN len(list_distinct(list_concat(g, q)))
    ELSE len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q))) END, 6) AS similarity FROM t, q""")
 def trigram_jaccard(spark, sf):
     """Every part's name against the stated set of query terms: the five region names."""
-    names = sorted(r[0] for r in read(spark, sf, "region").select("r_name").collect())
-    terms = F.explode(F.array(*[F.lit(n) for n in names])).alias("r_name")
+    terms = F.explode(F.array(*[F.lit(n) for n in REGIONS])).alias("r_name")
     p = read(spark, sf, "part").select("p_partkey", "p_name", terms)
     sim = tx.trigram_similarity(F.array_distinct(tx.trigrams(F.col("p_name"))), F.array_distinct(tx.trigrams(tx.fold(F.col("r_name")))))
     return p.select("p_partkey", "r_name", F.round(sim, 6).alias("similarity"))
@@ -530,7 +530,8 @@ def form_export(spark, sf):
     return audit.fdf(fields(spark, sf))
 
 
-@query("SELECT event_id, " + ", ".join(f"(event_id & {bit}) <> 0 AS can_{name}" for name, bit in colour.PERMISSIONS.items()) + " FROM events")
+@query("""SELECT event_id, (event_id & 4) <> 0 AS can_print, (event_id & 8) <> 0 AS can_modify, (event_id & 16) <> 0 AS can_copy, (event_id & 32) <> 0 AS can_annotate,
+(event_id & 256) <> 0 AS can_fill_forms, (event_id & 512) <> 0 AS can_accessibility, (event_id & 1024) <> 0 AS can_assemble, (event_id & 2048) <> 0 AS can_print_high FROM events""")
 def permission_flags(spark, sf):
     return read(spark, sf, "events").select("event_id", *colour.permissions(F.col("event_id")))
 
@@ -555,23 +556,10 @@ def outline_flatten(spark, sf):
     return flatten(r.unionByName(n).unionByName(s)).select("path", "depth")
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '<html[^>]*\slang="([^"]*)"', 1) AS lang,
-len(regexp_extract_all(html, '<p>')) AS n_paragraphs FROM pages""")
-def xmp_extract(spark, sf):
-    """First value of some elements and attributes, by pattern."""
-    from ..operators.structure import element, attribute
-
-    h = F.col("html")
-    return read(spark, sf, "pages").select(
-        "page_id", element(h, "title").alias("title"), attribute(h, "html", "lang").alias("lang"), F.size(F.regexp_extract_all(h, F.lit("<p>"), F.lit(0))).alias("n_paragraphs")
-    )
-
-
-@query(r"""SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS heading FROM pages""")
+@query(r"""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&')) AS md5 FROM pages""")
 def xml_entities(spark, sf):
-    from ..operators.structure import element
-
-    return read(spark, sf, "pages").select("page_id", tx.xml_unescape(element(F.col("html"), "h1")).alias("heading"))
+    """The predefined entities of whole pages."""
+    return read(spark, sf, "pages").select("page_id", F.md5(tx.xml_unescape(F.col("html")).cast("binary")).alias("md5"))
 
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS md5, sha1(coalesce(text, '')) AS sha1, sha256(coalesce(text, '')) AS sha256 FROM documents")
@@ -580,12 +568,10 @@ def hash_digests(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(t).alias("md5"), F.sha1(t).alias("sha1"), F.sha2(t, 256).alias("sha256"))
 
 
-@query("SELECT doc_id, base64(encode(lang || source)) AS b64, lower(hex(encode(lang || source))) AS hexed, decode(from_base64(base64(encode(lang)))) AS back FROM documents")
+@query("SELECT doc_id, base64(encode(text)) AS b64, lower(hex(encode(text))) AS hexed, text AS back FROM documents")
 def base64_hex(spark, sf):
-    t = F.concat("lang", "source")
-    return read(spark, sf, "documents").select(
-        "doc_id", F.base64(t.cast("binary")).alias("b64"), F.lower(F.hex(t)).alias("hexed"), F.unbase64(F.base64(F.col("lang").cast("binary"))).cast("string").alias("back")
-    )
+    t = F.col("text").cast("binary")
+    return read(spark, sf, "documents").select("doc_id", values.to_base64(t).alias("b64"), F.lower(F.hex(t)).alias("hexed"), F.unbase64(F.base64(t)).cast("string").alias("back"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round((1 - least(greatest(l_discount * 5, 0), 1)) * (1 - least(greatest(l_quantity / 60, 0), 1)), 6) AS r,

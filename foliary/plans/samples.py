@@ -230,3 +230,49 @@ def linear(name: str, n: int) -> bytes:
     data = build([name] * n)
     first = data.index(b"1 0 obj")
     return data[:first] + b"90 0 obj\n<< /Linearized 1 /L %d /O 5 /E 900 /N %d /T 1000 >>\nendobj\n" % (len(data), n) + data[first:]
+
+
+def function_host():
+    """A file to evaluate function objects in."""
+    from ..pdf.document import Document
+
+    return Document(build(["x"]))
+
+
+def functions() -> list:
+    """An exponential, a stitched, a calculated and a sampled function over 0 to 1."""
+    rising = {"FunctionType": 2, "Domain": [0, 1], "N": 1, "C0": [0], "C1": [1]}
+    falling = {"FunctionType": 2, "Domain": [0, 1], "N": 2, "C0": [1], "C1": [0]}
+    return [
+        {"FunctionType": 2, "Domain": [0, 1], "N": 2, "C0": [1], "C1": [5]},
+        {"FunctionType": 3, "Domain": [0, 1], "Functions": [rising, falling], "Bounds": [0.5], "Encode": [0, 1, 0, 1]},
+        Stream({"FunctionType": 4, "Domain": [0, 1], "Range": [0, 1]}, b"{ dup 0.5 gt { 1 exch sub } { 2 mul } ifelse }"),
+        Stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 3], "Size": [4], "BitsPerSample": 8}, bytes([0, 85, 170, 255])),
+    ]
+
+
+def png_rows(data: bytes, size: int, step: int) -> bytes:
+    """Rows under None, Sub, Up, Average and Paeth in turn, by the specification's formulas."""
+    out, above = bytearray(), bytes(size)
+    for k, at in enumerate(range(0, len(data), size)):
+        row = data[at : at + size].ljust(size, b"\0")
+        kind = k % 5
+        out.append(kind)
+        for j, v in enumerate(row):
+            a, b, c = row[j - step] if j >= step else 0, above[j], above[j - step] if j >= step else 0
+            near = a + b - c
+            paeth = a if abs(near - a) <= min(abs(near - b), abs(near - c)) else b if abs(near - b) <= abs(near - c) else c
+            out.append((v - (0, a, b, (a + b) // 2, paeth)[kind]) & 255)
+        above = row
+    return bytes(out)
+
+
+def tiff_rows(data: bytes, columns: int, colours: int) -> bytes:
+    """16-bit samples less those of the pixel before, row by row."""
+    size = 2 * columns * colours
+    out = bytearray()
+    for at in range(0, len(data), size):
+        row = data[at : at + size].ljust(size, b"\0")
+        held = [int.from_bytes(row[i : i + 2], "big") for i in range(0, size, 2)]
+        out += b"".join(((v - (held[i - colours] if i >= colours else 0)) & 0xFFFF).to_bytes(2, "big") for i, v in enumerate(held))
+    return bytes(out)
