@@ -12,12 +12,15 @@ asks for it: by a least share of the rows for an axis, or by giving "(other)" a
 
 Edge cases: null source, language or text have categories "(none)" or count as empty text; a
 document without words belongs to a cell like any other but weighs nothing; the draw depends on
-doc_id and seed alone, so repeated rows stay or go together and a rerun draws alike; an empty
-table gives an empty result; other columns are never read.
+doc_id and seed alone, so repeated rows stay or go together and a rerun draws alike; targets that
+can't be met together are met as far as raking gets, with a warning; where all weights tie every
+probability is one; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +39,7 @@ SEED = 20240601
 
 
 def topic_of(text: Column, words: Column) -> Column:
-    """A coarse genre from the text alone; five values."""
+    """A coarse genre from the text alone; five values. Callers with topics of their own pass another function."""
     lower = F.lower(text)
     return (
         F.when(lower.contains("license") | lower.contains("copyright") | text.contains("©"), "legal")
@@ -47,8 +50,18 @@ def topic_of(text: Column, words: Column) -> Column:
     )
 
 
+#: Largest miss of a marginal (a share) that passes without a warning.
+TOLERATED = 1e-4
+
+
+def _warn(off: float) -> None:
+    """Targets that exclude each other, as where a topic has but one language, can't all be met."""
+    if off > TOLERATED:
+        warnings.warn(f"the targets exclude each other: a marginal is off by {off:.2g} after the last round", stacklevel=3)
+
+
 def rake(weights: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], rounds: int = 1000, within: float = 1e-10) -> np.ndarray:
-    """Cell weights whose marginals along each axis are the targets.
+    """Cell weights whose marginals along each axis are the targets; a warning says where they can't be.
 
     ``codes`` has a row for each cell with its category along every axis. Targets of categories
     without weight are dropped and the rest renormalised.
@@ -67,6 +80,8 @@ def rake(weights: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], roun
             w = w * ratio[codes[:, axis]]
         if worst < within:
             break
+    else:
+        _warn(worst)
     return w
 
 
@@ -109,6 +124,8 @@ def rake_tables(cells: DataFrame, targets: dict[str, dict[str, float]], rounds:
             factors[axis] = step.drop("off")
         if worst < within:
             break
+    else:
+        _warn(worst)
     return joined().select(*AXES, "share", "factor")
 
 
@@ -190,27 +207,34 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def _measures(prefix: str = "") -> dict[str, Column]:
+Topic = Callable[[Column, Column], Column]
+
+
+def _measures(topic: Topic, prefix: str = "") -> dict[str, Column]:
     """The axes' categories and the number of words of a row of documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
     words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
-    found = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": topic_of(text, words), "tokens": words}
+    found = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": topic(text, words), "tokens": words}
     return {prefix + k: v for k, v in found.items()}
 
 
 def mix(
-    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = SEED, least_share: dict[str, float] | None = None
-) -> DataFrame:
-    """doc_id, its cell and tokens, the cell's probability, and whether the document is drawn."""
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = SEED, least_share: dict[str, float] | None = None,
+    topic: Topic = topic_of,
+) -> DataFrame:
+    """doc_id, its cell and tokens, the cell's probability, and whether the document is drawn.
+
+    ``topic`` makes the topic's column from the text and its number of words.
+    """
     base = pick(docs, "doc_id", "text", "lang", "source")
-    rows = cut(base.select("doc_id", *[c.alias(k) for k, c in _measures().items()]), "mixing")
+    rows = cut(base.select("doc_id", *[c.alias(k) for k, c in _measures(topic).items()]), "mixing")
     found = plan(rows, targets, least_share).attach(rows)
     return found.withColumn("selected", draw(F.col("doc_id"), seed) < F.col("probability"))
 
 
-def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = SEED) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = SEED, topic: Topic = topic_of) -> DataFrame:
     """The input rows that are drawn, all columns; each is decided where it is read."""
-    base = pick(docs, "text", "lang", "source").select(*[c.alias(k) for k, c in _measures().items()])
-    marked = plan(base, targets).attach(docs.withColumns(_measures("__mix_")), "__mix_")
+    base = pick(docs, "text", "lang", "source").select(*[c.alias(k) for k, c in _measures(topic).items()])
+    marked = plan(base, targets).attach(docs.withColumns(_measures(topic, "__mix_")), "__mix_")
     return pick(marked.filter(draw(F.col("doc_id"), seed) < F.col("__mix_probability")), *docs.columns)

@@ -142,31 +142,36 @@ FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
 """
 
 
-def _op8_sql() -> str:
-    """The rules' matches by the same pieces between them, rule by rule."""
-    parts = []
-    for kind, r in enumerate(secrets.RULES):
-        pattern = r.pattern.replace("'", "''").replace("}+", "}")  # a possessive run matches the same here
-        parts.append(f"""
-SELECT doc_id, {kind} AS kind, '{r.name}' AS name, unnest(range(1, len(whole) + 1)) AS i, gaps, whole, least
-FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS whole,
-             regexp_extract_all(text, '{pattern}', {r.group}) AS least FROM d)""")
-    wanted = " ".join(f"WHEN {kind} THEN {r.least}" for kind, r in enumerate(secrets.RULES))
-    counts = ", ".join(f"coalesce(count(*) FILTER (kind = {k}), 0) AS n_{r.name}" for k, r in enumerate(secrets.BASE))
-    return f"""
+#: Kinds in order: name, pattern, group whose length counts, least length.
+SECRET_KINDS = '''
+SELECT 0 AS kind, 'assign' AS name, doc_id, string_split_regex(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps,
+  regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS whole,
+  regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS measured, 12 AS least FROM d
+UNION ALL SELECT 1, 'access', doc_id, string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), 18 FROM d
+UNION ALL SELECT 2, 'hex', doc_id, string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), 16 FROM d
+UNION ALL SELECT 3, 'pem', doc_id, string_split_regex(text, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'), regexp_extract_all(text, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'),
+  regexp_extract_all(text, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'), 0 FROM d
+UNION ALL SELECT 4, 'jwt', doc_id, string_split_regex(text, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+'), regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+'),
+  regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+'), 0 FROM d
+UNION ALL SELECT 5, 'forge', doc_id, string_split_regex(text, 'gh[pousr]_[A-Za-z0-9]{36,}'), regexp_extract_all(text, 'gh[pousr]_[A-Za-z0-9]{36,}'), regexp_extract_all(text, 'gh[pousr]_[A-Za-z0-9]{36,}'), 0 FROM d
+UNION ALL SELECT 6, 'chat', doc_id, string_split_regex(text, 'xox[abprs]-[A-Za-z0-9-]{10,}'), regexp_extract_all(text, 'xox[abprs]-[A-Za-z0-9-]{10,}'), regexp_extract_all(text, 'xox[abprs]-[A-Za-z0-9-]{10,}'), 0 FROM d
+'''
+
+OP8_SQL = f'''
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-m AS ({" UNION ALL ".join(parts)}),
+k AS ({SECRET_KINDS}),
+m AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM k),
 s AS (SELECT doc_id, kind, name, length(whole[i]) AS size,
              list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN whole[1:i - 1]]), 0) AS start
-      FROM m WHERE length(least[i]) >= CASE kind {wanted} END),
-g AS (SELECT doc_id, {counts},
-        coalesce(string_agg(name || ':' || start || ':' || (start + size), ',' ORDER BY start, kind) FILTER (kind < {len(secrets.BASE)}), '') AS base,
+      FROM m WHERE length(measured[i]) >= least),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        coalesce(string_agg(name || ':' || start || ':' || (start + size), ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base,
         string_agg(name || ':' || start || ':' || (start + size), ',' ORDER BY start, kind) AS spans
       FROM s GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in secrets.BASE)},
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (doc_id)
-"""
+'''
 
 
-ORACLE_SQL = {"op8_secret_scans": _op8_sql(), "op4_exact_dedup": OP4_SQL, "op9_quality_rules": OP9_SQL}
+ORACLE_SQL = {"op8_secret_scans": OP8_SQL, "op4_exact_dedup": OP4_SQL, "op9_quality_rules": OP9_SQL}

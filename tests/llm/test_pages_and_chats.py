@@ -1,3 +1,4 @@
+import itertools
 import os
 import random
 from html.parser import HTMLParser
@@ -271,3 +272,44 @@ def test_long_and_odd_conversations(spark):
     assert len(found) == len(rows)  # each row is rendered once
     assert all(r["role"] == ("user", "assistant")[r["turn"] % 2] for r in found if r["conv_id"] == 1)
     assert chat_format.format_chats(turns(spark, [])).collect() == []
+
+
+def test_learning_and_decoding_match_brute_force(spark):
+    """Counts by one pass over each conversation, and the best of all paths of short ones."""
+    rnd = random.Random(17)
+    rows = []
+    for c in range(40):
+        for t in range(rnd.randrange(1, 6)):
+            text = "\n".join(rnd.choice(["hello there", "why?", "- item", "User: hi", "w" * 200]) for _ in range(rnd.randrange(1, 3)))
+            rows.append((c, t, rnd.choice([None, "user", "assistant", "tool"]), text))
+    starts, moves, shapes = np.zeros(4), np.zeros((2, 4, 4)), np.zeros((2, 4, chat_format.SHAPES))
+    seen = {}
+    for c, _, role, text in sorted(rows, key=lambda r: r[:2]):
+        held, lines = None, seen.setdefault(c, [])
+        for x in chat_format.observe(role, text):
+            held = x.mark if x.mark < chat_format.UNMARKED else held
+            lines.append((x.mark, x.begins, x.shape, held))
+    for lines in seen.values():
+        before = None
+        for k, (_, begins, shape, role) in enumerate(lines):
+            if role is not None:
+                shapes[begins, role, shape] += 1
+                if k == 0:
+                    starts[role] += 1
+                elif before is not None:
+                    moves[begins, before, role] += 1
+            before = role
+    want = chat_format.Model(starts, moves, shapes)
+    table = chat_format.keyed(turns(spark, rows))
+    for ranges in (1, 9):
+        model = chat_format.learn(chat_format.deal(chat_format.codes(table), chat_format.cuts(table, ranges)))
+        assert all(np.array_equal(getattr(model, n), getattr(want, n)) for n in ("start", "move", "emit"))
+    for lines in seen.values():
+        lines = [x[:3] for x in lines[:6]]
+
+        def total(path, lines=lines):
+            score = want.start[path[0]] + want.emit[lines[0]][path[0]]
+            return score + sum(want.move[b][p, q] + want.emit[m, b, s][q] for (m, b, s), p, q in zip(lines[1:], path, path[1:], strict=False))
+
+        best = max(itertools.product(range(4), repeat=len(lines)), key=lambda p: (total(p), [-r for r in reversed(p)]))
+        assert want.viterbi(lines) == list(best)

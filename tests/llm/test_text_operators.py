@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,110 @@ def test_mixing_bears_odd_rows(spark):
     assert mixing.sample(docs).columns == docs.columns
     assert mixing.mix(empty(spark)).collect() == []
     assert mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).count() == docs.count()
+
+
+def plain_rake(cells, targets, rounds=400):
+    """Iterative proportional fitting by dictionaries: {cell: weight} and a target share for every value of each axis."""
+    total = sum(cells.values())
+    w = {c: v / total for c, v in cells.items()}
+    for _ in range(rounds):
+        for axis, goal in enumerate(targets):
+            have = {}
+            for c, v in w.items():
+                have[c[axis]] = have.get(c[axis], 0) + v
+            w = {c: v * goal[c[axis]] / have[c[axis]] if have[c[axis]] else 0.0 for c, v in w.items()}
+    return {c: w[c] / (v / total) if v else None for c, v in cells.items()}
+
+
+def test_mixing_matches_brute_force(spark):
+    rnd = random.Random(21)
+    texts = ["a license here " * 9, "mail x@y.example", "### symbols ###", "w " * 500, "short one", "  ", None]
+    rows = [row(i, rnd.choice(texts), rnd.choice(["en", "de", None]), rnd.choice("abbbbccd")) for i in range(600)] + [row(7, "w " * 500, "en", "a"), row(None, "x y", "de", "b")]
+
+    def topic(t, n):
+        return "legal" if "license" in t else "contact" if "@" in t else "markup" if "###" in t else "long" if n >= 400 else "short"
+
+    cells = {}
+    for i, text, lang, source, *_ in rows:
+        words = (text or "").split()
+        cell = (source or "(none)", lang or "(none)", topic(text or "", len(words)))
+        cells[cell] = cells.get(cell, 0) + len(words)
+    goals = []
+    for axis, power in enumerate((0.5, 0.7, 0.9)):
+        have = {}
+        for c, v in cells.items():
+            have[c[axis]] = have.get(c[axis], 0) + v
+        whole = sum(v**power for v in have.values())
+        goals.append({k: v**power / whole for k, v in have.items()})
+    factors = plain_rake(cells, goals)
+    top = max(f for f in factors.values() if f is not None)
+    found = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        want = factors[r["source"], r["lang"], r["topic"]]
+        assert abs(r["probability"] - (1.0 if want is None else want / top)) < 1e-6
+    taken = {(r["doc_id"], r["source"], r["lang"], r["topic"]) for r in found if r["selected"]}
+    kept = mixing.sample(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(kept) == sum(r["selected"] for r in found) and {(r["doc_id"], r["source"] or "(none)", r["lang"] or "(none)") for r in kept} == {t[:3] for t in taken}
+
+
+def test_targets_that_exclude_each_other_warn():
+    weights, codes = np.array([1.0, 1.0]), np.array([[0, 0], [1, 1]])
+    with pytest.warns(UserWarning, match="exclude"):
+        mixing.rake(weights, codes, [np.array([0.9, 0.1]), np.array([0.1, 0.9])])
+
+
+def test_scores_are_the_size_difference_alone(spark):
+    """Recomputed with zstandard from the model's dictionaries; the score rises with the difference."""
+    import zstandard
+
+    docs = documents(spark)
+    model = quality_classifier.Model(b"alpha beta gamma delta " * 60, b"same line\n word word one two " * 60, (0.3, 2.0))
+    tools = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=quality_classifier.LEVEL, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    size = lambda t, data: len(t.compress(data)) - len(t.compress(b""))
+    want = {}
+    for r in docs.collect():
+        data = (r["text"] or "").encode()
+        pieces = [data[i : i + quality_classifier.PIECE] for i in range(0, len(data), quality_classifier.PIECE)]
+        good, bad = (sum(size(t, p) for p in pieces) for t in tools)
+        want[r["doc_id"], r["text"]] = 1 / (1 + np.exp(-(0.3 + 2.0 * 20 * (bad - good) / max(len(data), 1))))
+    found = quality_classifier.classify(docs, model).collect()
+    ids = {}
+    for (i, _), v in want.items():
+        ids.setdefault(i, set()).add(round(float(v), 9))
+    assert all(round(r["score"], 9) in ids[r["doc_id"]] for r in found) and len(found) == docs.count()
+
+
+def test_conflicting_and_repeated_labels(spark):
+    rows = [row(i, f"{'good prose here ' if i % 2 else 'bad $$$ junk '}{i} " * 20) for i in range(200)]
+    docs = spark.createDataFrame(rows + rows[:40], SCHEMA)
+    plain = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    noisy = plain.unionByName(plain).unionByName(spark.createDataFrame([(500, 0), (500, 1), (1, None), (2, 7)], "doc_id long, quality int"))
+    assert quality_classifier.fit(docs, noisy) == quality_classifier.fit(docs, plain)
+
+
+def test_reliabilities_match_brute_force():
+    """Expectation-maximisation of three labelers by plain loops over every item."""
+    from foliary.llm import pii
+
+    rnd = random.Random(31)
+    totals = {}
+    for _ in range(400):
+        true = rnd.random() < 0.5
+        votes = tuple((1 if true else -1) if rnd.random() < p else rnd.choice([-1, 0, 1]) for p in (0.9, 0.8, 0.6))
+        totals[votes] = totals.get(votes, 0) + 1
+    share, table = pii.reliabilities(totals)
+    p, q = 0.5, [[[0.5, 0.3, 0.2]] * 3, [[0.2, 0.3, 0.5]] * 3]
+    for _ in range(400):
+        belief = {}
+        for v in totals:
+            one, zero = p, 1 - p
+            for j, x in enumerate(v):
+                one, zero = one * q[1][j][x + 1], zero * q[0][j][x + 1]
+            belief[v] = one / (one + zero)
+        n = sum(totals.values())
+        p = (sum(totals[v] * belief[v] for v in totals) + 1) / (n + 2)
+        for y in (0, 1):
+            weight = {v: totals[v] * (belief[v] if y else 1 - belief[v]) for v in totals}
+            q[y] = [[(sum(w for v, w in weight.items() if v[j] == x - 1) + 1) / (sum(weight.values()) + 3) for x in range(3)] for j in range(3)]
+    assert share == pytest.approx(p, abs=1e-3) and np.allclose(table, q, atol=2e-3)
