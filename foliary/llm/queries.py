@@ -143,7 +143,7 @@ FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
 
 
 #: Kinds in order: name, pattern, group whose length counts, least length.
-SECRET_KINDS = '''
+SECRET_KINDS = r'''
 SELECT 0 AS kind, 'assign' AS name, doc_id, string_split_regex(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps,
   regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS whole,
   regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS measured, 12 AS least FROM d

@@ -6,6 +6,7 @@ import pytest
 
 from foliary.llm import mixing, queries, quality_classifier
 
+from .helpers import SCHEMA, documents, empty, row
 from .test_dedup import components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +46,50 @@ def test_pipeline_matches_brute_force(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mixed", "tokens"]
 
 
+def stored(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_bears_odd_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, blank texts and clashing columns, without labels: only copies go."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    base = documents(spark).collect()
+    more = [row(1, "another text under an id that is taken"), row(None, "another text without an id"), *base[:3], row(16, "near " + base[1]["text"])]
+    docs = spark.createDataFrame([*base, *more], SCHEMA)
+    sf = stored(spark, tmp_path, docs, [(1, 1, 0), (5000, 0, 0)])
+    now, rows = spark.read.parquet(f"{sf}/documents.parquet"), [(r["doc_id"], r["text"]) for r in docs.collect()]
+    after = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf)
+        assert out.columns == docs.columns, name
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        now = spark.read.parquet(path)
+        after[name] = sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=repr)
+    assert after["quality"] == sorted(rows, key=repr)  # labels of one kind only: nothing is rejected
+    texts = [t or "" for _, t in after["exact"]]
+    assert sorted(texts) == sorted({t or "" for _, t in rows})
+    best = {t: max((i for i, u in rows if (u or "") == t and i is not None), default=None) for t in texts}
+    assert all(best[t or ""] == i for i, t in after["exact"])
+    prints = {k: plain_fingerprint(t) for k, (_, t) in enumerate(after["exact"])}
+    firsts = [min((after["exact"][k] for k in part), key=lambda r: (r[0] is None, r[0] or 0)) for part in components(prints)]
+    assert [r[0] for r in after["near"]] == sorted((r[0] for r in firsts), key=lambda i: repr((i,)))
+    assert set(after["mixed"]) <= set(after["near"])
+    assert corpus_pipeline.run(spark, sf).count() == len(after["mixed"])
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    sf = stored(spark, tmp_path, empty(spark), [(1, 1, 0)])
+    assert corpus_pipeline.run(spark, sf).collect() == []
+
+
 def test_held_out_accuracy(spark):
     """Labels that fitting never saw."""
     sf = SF.replace("0.001", "0.1")
