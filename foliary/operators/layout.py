@@ -242,8 +242,19 @@ def markdown_lines(lines: DataFrame, body: DataFrame) -> DataFrame:
     ratio = F.col("font_size") / F.col("body_size")
     mark = F.when(ratio >= 1.8, "# ").when(ratio >= 1.4, "## ").when(ratio >= 1.15, "### ").otherwise("")
     text = F.trim("text")
-    bullet = F.regexp_replace(text, r"^[-*•]\s+", "- ")
-    return lines.join(body, list(PAGE)).withColumn("markdown", F.when(mark != "", F.concat(mark, text)).otherwise(bullet))
+    listed = F.regexp_replace(F.regexp_replace(text, r"^[-*•]\s+", "- "), r"^(\d+)[.)]\s+", "$1. ")
+    return lines.join(body, list(PAGE)).withColumn("markdown", F.when(mark != "", F.concat(mark, text)).otherwise(listed))
+
+
+def markdown_page(lines: DataFrame, order: str = "reading_order") -> DataFrame:
+    """Each page's markdown lines in order, with a blank line where the gap to the line above is over 1.5 mean line heights."""
+    page = Window.partitionBy(*PAGE)
+    above = F.lag("y").over(page.orderBy(order))
+    rows = lines.withColumn("__far", (above - F.col("y") > 1.5 * F.avg("h").over(page)) | (above < F.col("y")))
+    rows = rows.withColumn("__t", F.when(F.col("__far"), F.concat(F.lit("\n"), F.col("markdown"))).otherwise(F.col("markdown")))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(order, "__t"))), lambda r: r["__t"])
+    return rows.groupBy(*PAGE).agg(F.concat(F.array_join(listed, "\n"), F.lit("\n")).alias("markdown"))
+
 
 
 def svg_text(lines: DataFrame, width: float, height: float) -> DataFrame:

@@ -102,10 +102,11 @@ def insert(pages: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("doc_id",)
     return moved.drop("__at", *[f"__{k}" for k in keys]).unionByName(new, allowMissingColumns=True)
 
 
-def bates(number: Column, prefix: str = "", suffix: str = "", start: int = 1, increment: int = 1, digits: int = 6) -> Column:
-    """A running stamp. Numbers longer than ``digits`` are written in full."""
+def bates(number: Column, prefix: str = "", suffix: str = "", start: int = 1, increment: int = 1, digits: int = 6, skip: tuple[int, ...] = ()) -> Column:
+    """A running stamp. Numbers longer than ``digits`` are written in full; skipped pages have none, and leave their number unused."""
     value = (F.lit(start) + number * increment).cast("string")
-    return F.concat(F.lit(prefix), F.when(F.length(value) >= digits, value).otherwise(F.lpad(value, digits, "0")), F.lit(suffix))
+    stamp = F.concat(F.lit(prefix), F.when(F.length(value) >= digits, value).otherwise(F.lpad(value, digits, "0")), F.lit(suffix))
+    return F.when(~number.isin(list(skip)), stamp) if skip else stamp
 
 
 def redact(words: DataFrame, marks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

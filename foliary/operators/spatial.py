@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import PAGE, Page, by_page, strings, text_of
@@ -64,6 +64,12 @@ def hit_boxes(pages: DataFrame, term: str) -> DataFrame:
     return by_page(pages, "line_index long, start int, x1 double, y1 double, x2 double, y2 double", make)
 
 
+def centre_in(x1: float, y1: float, x2: float, y2: float) -> Column:
+    """A glyph row whose centre lies in the closed rectangle."""
+    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    return cx.between(min(x1, x2), max(x1, x2)) & cy.between(min(y1, y2), max(y1, y2))
+
+
 def select_range(lines: DataFrame, start: int, length: int) -> DataFrame:
     """Lines with byte_start whose UTF-8 interval overlaps the range, and how much of each does."""
     size = F.octet_length("text").cast("long")

@@ -271,3 +271,29 @@ def sign(data: bytes, attributes_of, size: int = 4096) -> bytes:
     out = out.replace(bytes(holes), b"[" + b" ".join(b"%010d" % n for n in spans) + b"]")
     cms = attributes_of(out[: spans[1]] + out[spans[2] :])
     return out[: at + 1] + cms.hex().encode().ljust(2 * size, b"0") + out[spans[2] - 1 :]
+
+
+def stamp(data: bytes, lines: list[tuple[float, float, float, str]], skip: tuple[int, ...] = ()) -> bytes:
+    """A revision with text over every page but some: (x, y, size, text), where "{page}" and "{pages}" are numbers."""
+    from .document import Document
+
+    doc = Document(data)
+    pages, changed = list(doc.pages()), {}
+    free = max(doc.offsets) + 1
+    changed[free] = {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")}
+    font, free = Ref(free, 0), free + 1
+    for i, page in enumerate(pages):
+        if i in skip or page["_num"] is None:
+            continue
+        shown = [(x, y, size, text.replace("{pages}", str(len(pages))).replace("{page}", str(i + 1))) for x, y, size, text in lines]
+        body = b"\n".join(b"BT /Stamp %s Tf 1 0 0 1 %s %s Tm %s Tj ET" % (dump(float(size)), dump(float(x)), dump(float(y)), dump(text.encode("cp1252", "replace"))) for x, y, size, text in shown)
+        before = doc.get(page.get("Contents"))
+        held = before if isinstance(before, list) else [page["Contents"]] if page.get("Contents") is not None else []
+        changed[free], changed[free + 1] = Stream({}, b"q"), Stream({}, b"Q\n" + body)
+        resources = doc.dict_of(page.get("Resources"))
+        fonts = {**doc.dict_of(resources.get("Font")), "Stamp": font}
+        changed[page["_num"]] = {k: v for k, v in page.items() if k != "_num"} | {
+            "Contents": [Ref(free, 0), *held, Ref(free + 1, 0)], "Resources": {**resources, "Font": fonts},
+        }
+        free += 2
+    return update(data, changed)

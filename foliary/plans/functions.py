@@ -341,3 +341,75 @@ def first_by_name(spark, sf):
     """Distinct names over a document; the first place that has one wins."""
     li = line_items(spark, sf).select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("value"))
     return li.groupBy("doc_id", "name").agg(F.min_by("value", "l_linenumber").alias("value"))
+
+
+@query(MD5_SQL)
+def aes_decryption(spark, sf):
+    """Texts that Spark encrypts, read by the engine's own cipher: two implementations of one standard."""
+    d = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    sealed = d.select("doc_id", F.aes_encrypt(F.coalesce("text", F.lit("")).cast("binary"), F.lit("0123456789abcdef"), F.lit("CBC"), F.lit("PKCS"), F.lit("iviviviviviviviv").cast("binary")).alias("c"))
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        from ..pdf.crypt import Aes, unpad
+
+        cipher = Aes(b"0123456789abcdef")
+        for batch in batches:
+            found = [hashlib.md5(unpad(cipher.cbc_decrypt(c[16:], c[:16]))).hexdigest() for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "md5"])
+
+    return sealed.mapInArrow(run, "doc_id long, md5 string")
+
+
+@query()
+def derived_keys(spark, sf):
+    """Keys by PBKDF2, tested against a known answer."""
+    return read(spark, sf, "supplier").select("s_suppkey", F.lower(F.hex(values.pbkdf2_sha256(F.col("s_name").cast("binary"), F.lit("salt").cast("binary"), 10))).alias("key"))
+
+
+@query("SELECT event_id, chr(CAST(33 + event_id % 5000 AS INT)) AS ch, strlen(chr(CAST(33 + event_id % 5000 AS INT))) AS n_bytes FROM events")
+def codepoints(spark, sf):
+    from ..functions.text import codepoint_to_utf8
+
+    ch = codepoint_to_utf8(33 + F.col("event_id") % 5000)
+    return read(spark, sf, "events").select("event_id", ch.alias("ch"), F.octet_length(ch).cast("long").alias("n_bytes"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, 700 - 10 * l_linenumber - CASE WHEN l_linenumber > 3 THEN 30 ELSE 0 END AS y, l_linenumber || '. ' || l_returnflag AS t FROM lineitem),
+g AS (SELECT *, CASE WHEN lag(y) OVER w - y > 15 THEN chr(10) ELSE '' END || t AS m FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n))
+SELECT doc_id, string_agg(m, chr(10) ORDER BY n) || chr(10) AS markdown FROM g GROUP BY doc_id""")
+def markdown_page(spark, sf):
+    """Numbered lines as lists, and a blank line at a wide gap."""
+    from ..operators import layout
+
+    n = F.col("l_linenumber")
+    y = 700 - 10 * n - F.when(n > 3, 30).otherwise(0)
+    lines = line_items(spark, sf).select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), n.alias("reading_order"), y.cast("double").alias("y"), F.lit(10.0).alias("h"), F.lit(9.0).alias("font_size"),
+        F.concat(n.cast("string"), F.lit(")  "), "l_returnflag").alias("text"),
+    )
+    return layout.markdown_page(layout.markdown_lines(lines, layout.body_size(lines))).drop("page_no")
+
+
+@query("""SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL""")
+def stream_windows(spark, sf):
+    """Events as a stream, counted by hour and kind: the stream's whole result is that of a batch."""
+    from ..streaming import ingest
+
+    found = ingest.drained(ingest.counts_by_window(ingest.rows_arriving(spark, sf, "events.parquet"), "ts", "event_type", delay="100 days"))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k""")
+def stream_sessions(spark, sf):
+    """Sessions of each user, ended by six hours without events."""
+    from ..streaming import ingest
+
+    found = ingest.drained(ingest.tagged_sessions(ingest.rows_arriving(spark, sf, "events.parquet"), "user_id", "ts", "6 hours", delay="100 days"))
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

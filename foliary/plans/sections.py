@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..operators import audit, forms, layout, spatial, structure, tables
 from ..pdf import writer
-from ..sources.pdf import parse, rows, sections
+from ..sources.pdf import from_base64, parse, register, rows, sections
 from ..sources.writing import to_pdf
 from . import samples
 from .catalog import query, read
@@ -387,3 +387,47 @@ def pdf_one_parse(spark, sf):
     parsed = parse(customer_files(spark, sf, samples.three_pages, "c_name", "c_mktsegment"), ("pages", "labels"), KEY)
     found = rows(parsed, "pages", KEY)
     return found.groupBy(KEY).agg(F.min_by("text", "page_no").alias("first"), F.max_by("text", "page_no").alias("last"))
+
+
+@query("SELECT c_custkey, c_name AS text FROM customer")
+def pdf_base64_source(spark, sf):
+    """Files that come as base64 without its padding."""
+    files = customer_files(spark, sf, samples.moved, "c_name", "1", "2")
+    coded = files.select(KEY, F.regexp_replace(F.base64("content"), "=+$", "").alias("base64"))
+    return sections(from_base64(coded, KEY), "pages", KEY).select(KEY, "text")
+
+
+@query("SELECT c_custkey, CAST(unnest([0, 1, 2]) AS INT) AS page_no, unnest([c_name, c_mktsegment, c_name || c_mktsegment]) AS text FROM customer")
+def pdf_sql_function(spark, sf):
+    """The table function of a section, in SQL."""
+    register(spark)
+    files = customer_files(spark, sf, samples.three_pages, "c_name", "c_mktsegment")
+    return spark.sql("SELECT f.c_custkey, p.page_no, p.text FROM {f} f, LATERAL pdf_pages(f.content) p", f=files)
+
+
+@query("SELECT c_custkey, CAST(unnest([0, 2]) AS INT) AS page_no, c_name AS text, unnest(['1 of 3 ' || c_mktsegment, '3 of 3 ' || c_mktsegment]) AS stamped FROM customer")
+def pdf_stamps(spark, sf):
+    """A running foot on every page but the second."""
+    make = lambda name, segment: writer.stamp(writer.build([name] * 3), [(40, 20, 9, "{page} of {pages} " + segment)], (1,))
+    found = sections(customer_files(spark, sf, make, "c_name", "c_mktsegment"), "pages", KEY).filter("page_no <> 1")
+    parts = F.split("text", "\n")
+    return found.select(KEY, "page_no", parts[0].alias("text"), parts[1].alias("stamped"))
+
+
+@query("""SELECT c_custkey, '[' || string_agg('{"ch":"' || substring(c_name, CAST(i AS INT) + 1, 1) || '","x":' || (10 + 7 * i) || '.0}', ',' ORDER BY i) || ']' AS layout FROM (SELECT *, unnest(range(0, length(c_name))) AS i FROM customer) GROUP BY c_custkey""")
+def pdf_layout_json(spark, sf):
+    """Characters with their places as JSON."""
+    found = sections(customer_files(spark, sf, samples.moved, "c_name", "0", "0"), "chars", KEY)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("ord", "ch", F.round("x", 6).alias("x")))), lambda r: F.struct(r["ch"].alias("ch"), r["x"].alias("x")))
+    return found.groupBy(KEY).agg(F.to_json(listed).alias("layout"))
+
+
+@query("""SELECT c_custkey, CAST(unnest([0, 2]) AS INT) AS page_no, CAST(8 AS INT) AS start FROM customer""")
+def pdf_search_pages(spark, sf):
+    """The first hit of a sign on each page of a range of pages."""
+    from ..operators import search
+
+    found = sections(customer_files(spark, sf, samples.three_pages, "c_name", "c_mktsegment"), "pages", KEY)
+    keyed = found.filter(F.col("page_no").between(0, 2)).select(F.struct(KEY, "page_no").alias("doc_id"), "text")
+    hits = search.limit_per_document(search.hits(keyed, "#"), 1)
+    return hits.select(f"doc_id.{KEY}", "doc_id.page_no", "start")

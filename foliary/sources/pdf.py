@@ -357,5 +357,25 @@ def read_folder(spark: SparkSession, path: str, name: str = "pages", repair: boo
     return sections(files, name, repair=repair)
 
 
+def from_base64(files: DataFrame, key: str = "path", text: str = "base64") -> DataFrame:
+    """Files as bytes from a column of base64, which may hold line breaks and lack its padding."""
+    from ..functions.values import from_base64 as decoded
+
+    return files.select(key, decoded(F.col(text)).alias("content"))
+
+
 def register(spark: SparkSession) -> None:
+    """The source "pdf", and a table function for each section: ``SELECT f.path, p.* FROM f, LATERAL pdf_pages(f.content) p``."""
     spark.dataSource.register(PdfSource)
+    for name, (schema, _) in SECTIONS.items():
+        spark.udtf.register(f"pdf_{name}", F.udtf(_function(name), returnType=f"{schema}, {STATUS}"))
+
+
+def _function(name: str) -> type:
+    class Section:
+        def eval(self, content):
+            for row in rows_of(content, name):
+                # A map comes as pairs for Arrow; a table function takes a dict.
+                yield tuple(dict(v) if isinstance(v, list) and name == "documents" else v for v in row)
+
+    return Section

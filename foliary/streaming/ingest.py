@@ -5,6 +5,8 @@ An extension of the batch engine; the same section parsers run on the arriving f
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,21 @@ def tagged_sessions(events: DataFrame, key: str, time: str, gap: str = "30 minut
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
     )
+
+
+def rows_arriving(spark: SparkSession, folder: str, files: str = "*.parquet") -> DataFrame:
+    """Parquet files of a folder, and those added to it, as a stream; times of no zone are those of the session's."""
+    reader = spark.readStream.schema(spark.read.option("pathGlobFilter", files).parquet(folder).schema)
+    stream = reader.option("pathGlobFilter", files).parquet(folder)
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c, kind in stream.dtypes if kind == "timestamp_ntz"})
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """The complete result of an aggregating stream over what is there, as a table of this session.
+
+    The aggregate's rows are gathered in memory: for reports by window, not for rows by event.
+    """
+    name = f"drained_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
