@@ -56,13 +56,15 @@ def repeated_words(words: Column) -> Column:
     """
 
     def count(w: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(
-                F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"),
-                F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("p"),
-            ),
-        )
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+        def placed(h: Column) -> Column:
+            return F.transform(
+                h,
+                lambda x, i: F.struct(
+                    x.alias("h"), F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("p")
+                ),
+            )
 
         def covered(s: Column) -> Column:
             # Null past either end: coalesce makes the comparison false there.
@@ -79,10 +81,10 @@ def repeated_words(words: Column) -> Column:
             )
             return F.aggregate(at, start, step, lambda a: a["n"])
 
-        distinct = F.size(F.array_distinct(F.transform(windows, lambda x: x["h"])))
-        return F.when(F.size(w) < 3, 0).when(
-            distinct == F.size(w) - 2, 0
-        ).otherwise(let(F.sort_array(windows), covered))
+        def repeats(h: Column) -> Column:
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(F.sort_array(placed(h)), covered))
+
+        return F.when(F.size(w) < 3, 0).otherwise(let(hashes, repeats))
 
     return let(words, count).cast("long")
 
