@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import pick
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Bytes of words and their ids that a task remembers between its slices, with what Python adds to each.
-REMEMBERED, EACH = 48 << 20, 180
+#: Bytes of words and their ids that a Python worker remembers, with what Python adds to each.
+REMEMBERED, EACH = 96 << 20, 180
 #: UTF-8 bytes of the texts that are taken at a time; one longer text makes a slice of its own.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Characters of a text beyond which its words are made one by one, not as a list.
 LISTED = 1 << 20
 
@@ -164,20 +164,28 @@ class MergeReplay:
         return b"".join(map(self.of.__getitem__, ids))
 
 
-class Held(dict):
-    """Ids of words, packed as 32-bit numbers; forgets all when it outgrows ``REMEMBERED``."""
+class Held:
+    """Ids of words, packed as 32-bit numbers, of the words asked for last: two halves of ``REMEMBERED`` bytes.
 
-    size = 0
+    When the newer half is full the older one is forgotten, so frequent words stay.
+    """
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
 
-    def add(self, words: list[str], found: list[list[int]]) -> None:
-        for w, ids in zip(words, found, strict=True):
-            self[w] = packed = array("I", ids).tobytes()
-            self.size += len(w) + len(packed) + EACH
+    def put(self, word: str, packed: bytes) -> None:
+        if self.size > REMEMBERED // 2:
+            self.new, self.old, self.size = {}, self.new, 0
+        self.new[word] = packed
+        self.size += len(word) + len(packed) + EACH
 
-    def trim(self) -> None:
-        if self.size > REMEMBERED:
-            self.clear()
-            self.size = 0
+    def get(self, word: str) -> bytes | None:
+        found = self.new.get(word)
+        if found is None and (found := self.old.get(word)) is not None:
+            self.put(word, found)
+        return found
 
 
 class Numbers(dict):
@@ -190,12 +198,14 @@ class Numbers(dict):
 
 def encode_texts(texts: list[str], split: Pretokenizer, replay: MergeReplay, held: Held) -> Iterator[list[int]]:
     """Ids of each text. ``held`` remembers words from one call to the next."""
-    held.trim()
     numbers = Numbers()
     cuts = [array("I", map(numbers.__getitem__, split(t))) for t in texts]
-    fresh = [w for w in numbers if w not in held]
-    held.add(fresh, replay.encode([w.encode() for w in fresh]))
-    packed = [held[w] for w in numbers]
+    packed = {w: held.get(w) for w in numbers}
+    fresh = [w for w, ids in packed.items() if ids is None]
+    for w, ids in zip(fresh, replay.encode([w.encode() for w in fresh]), strict=True):
+        packed[w] = array("I", ids).tobytes()
+        held.put(w, packed[w])
+    packed = list(packed.values())
     for words in cuts:
         yield np.frombuffer(b"".join([packed[i] for i in words]), np.uint32).tolist()
 
@@ -203,11 +213,11 @@ def encode_texts(texts: list[str], split: Pretokenizer, replay: MergeReplay, hel
 _STATE: dict[str, tuple] = {}
 
 
-def worker_state(key: str, pattern: str, ranks) -> tuple[Pretokenizer, MergeReplay]:
-    """What a Python worker keeps between its tasks: the tables of the vocabulary that ``key`` names."""
+def worker_state(key: str, pattern: str, ranks) -> tuple[Pretokenizer, MergeReplay, Held]:
+    """What a Python worker keeps between its tasks: the vocabulary that ``key`` names, and a bounded number of words."""
     if key not in _STATE:
         _STATE.clear()
-        _STATE[key] = (Pretokenizer(pattern), MergeReplay(ranks.value))
+        _STATE[key] = (Pretokenizer(pattern), MergeReplay(ranks.value), Held())
     return _STATE[key]
 
 
@@ -221,8 +231,7 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fa
     key = hashlib.sha256(repr((pattern, sorted(table.items()))).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, replay = worker_state(key, pattern, ranks)
-        held = Held()
+        split, replay, held = worker_state(key, pattern, ranks)
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
