@@ -40,9 +40,8 @@ SEED = 20240601
 
 def topic_of(text: Column, words: Column) -> Column:
     """A coarse genre from the text alone; five values. Callers with topics of their own pass another function."""
-    lower = F.lower(text)
     return (
-        F.when(lower.contains("license") | lower.contains("copyright") | text.contains("©"), "legal")
+        F.when(text.rlike("(?i)license|copyright|©"), "legal")
         .when(text.contains("@") | text.contains("+1 ("), "contact")
         .when(text.rlike(r"[#*$%&|]{3}"), "markup")
         .when(words >= 400, "long")
@@ -210,13 +209,16 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
 Topic = Callable[[Column, Column], Column]
 
 
-def _measures(topic: Topic, prefix: str = "") -> dict[str, Column]:
-    """The axes' categories and the number of words of a row of documents."""
+def _measured(docs: DataFrame, topic: Topic, prefix: str = "") -> DataFrame:
+    """Rows with the axes' categories and the number of words, each worked out once.
+
+    Words are counted without an array of them, so a very long text costs a copy or two of itself.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    trimmed = F.btrim(text, F.lit(SPACES))
-    words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
-    found = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": topic(text, words), "tokens": words}
-    return {prefix + k: v for k, v in found.items()}
+    marks = F.regexp_replace(text, r"[^\x20\x09-\x0D]++", "x")
+    counted = docs.withColumn(prefix + "tokens", F.length(F.translate(marks, SPACES, "")).cast("long"))
+    found = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": topic(text, F.col(prefix + "tokens"))}
+    return counted.withColumns({prefix + k: v for k, v in found.items()})
 
 
 def mix(
@@ -228,13 +230,13 @@ def mix(
     ``topic`` makes the topic's column from the text and its number of words.
     """
     base = pick(docs, "doc_id", "text", "lang", "source")
-    rows = cut(base.select("doc_id", *[c.alias(k) for k, c in _measures(topic).items()]), "mixing")
+    rows = cut(_measured(base, topic).select("doc_id", *AXES, "tokens"), "mixing")
     found = plan(rows, targets, least_share).attach(rows)
     return found.withColumn("selected", draw(F.col("doc_id"), seed) < F.col("probability"))
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = SEED, topic: Topic = topic_of) -> DataFrame:
     """The input rows that are drawn, all columns; each is decided where it is read."""
-    base = pick(docs, "text", "lang", "source").select(*[c.alias(k) for k, c in _measures(topic).items()])
-    marked = plan(base, targets).attach(docs.withColumns(_measures(topic, "__mix_")), "__mix_")
+    base = _measured(pick(docs, "text", "lang", "source"), topic).select(*AXES, "tokens")
+    marked = plan(base, targets).attach(_measured(docs, topic, "__mix_"), "__mix_")
     return pick(marked.filter(draw(F.col("doc_id"), seed) < F.col("__mix_probability")), *docs.columns)
