@@ -276,3 +276,34 @@ def tiff_rows(data: bytes, columns: int, colours: int) -> bytes:
         held = [int.from_bytes(row[i : i + 2], "big") for i in range(0, size, 2)]
         out += b"".join(((v - (held[i - colours] if i >= colours else 0)) & 0xFFFF).to_bytes(2, "big") for i, v in enumerate(held))
     return bytes(out)
+
+
+def by_hand(name: str) -> bytes:
+    """A file laid out here byte by byte: objects in an object stream, a cross-reference stream, odd spacing and strings."""
+    inside = [
+        (1, b"<</Type/Catalog/Pages 2 0 R>>"), (2, b"<</Type /Pages /Kids[ 3 0 R ] /Count 1 % a comment\n/MediaBox [0 0 300.0 +400]>>"),
+        (3, b"<</Type/Pa#67e/Parent 2 0 R/Contents[5 0 R 6 0 R]/Resources<</Font<</F#31 7 0 R>>>>>>"), (7, b"<</Type/Font/Subtype/TrueType/BaseFont/X/Encoding/MacRomanEncoding>>"),
+    ]
+    head, body = b"", b""
+    for num, text in inside:
+        head += b"%d %d " % (num, len(body))
+        body += text + b"\n"
+    hexed = name.encode("latin-1", "replace").hex().upper()
+    if len(hexed) > 3:
+        hexed = hexed[:3] + "\n " + hexed[3:]
+    parts = {
+        4: b"<</Type/ObjStm/N %d/First %d/Length %d>>stream\r\n%s\nendstream" % (len(inside), len(head), len(head + body), head + body),
+        5: b"<</Length 34>>\nstream\nBT/F1 12 Tf 10 20 Td(a\\(b\\)\\101\\\n(c)\n\nendstream",
+        6: b"<</Length 8 0 R>>\nstream\n) Tj T* <%s> Tj (\\212) Tj ET\nendstream" % hexed.encode(),
+        8: b"%d" % (len(hexed) + len(b") Tj T* <> Tj (\\212) Tj ET")),
+    }
+    # The page's two contents are joined by a line feed, which here falls within a string.
+    out, at = bytearray(b"%PDF-1.5\r\n%\xff\xff\xff\xff\r\n"), {}
+    for num, text in parts.items():
+        at[num] = len(out)
+        out += b"%d  0\tobj\r%s\rendobj\r" % (num, text)
+    start = len(out)
+    rows = [(0, 0, 255)] + [(2, 4, 0), (2, 4, 1), (2, 4, 2), (1, at[4], 0), (1, at[5], 0), (1, at[6], 0), (2, 4, 3), (1, at[8], 0), (1, start, 0)]
+    table = b"".join(bytes([a]) + b.to_bytes(3, "big") + bytes([c]) for a, b, c in rows)
+    out += b"9 0 obj <</Type/XRef/W[1 3 1]/Size 10/Root 1 0 R/Length %d>>stream\n%s\nendstream endobj\nstartxref %d %%%%EOF" % (len(table), table, start)
+    return bytes(out)

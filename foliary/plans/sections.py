@@ -431,3 +431,10 @@ def pdf_search_pages(spark, sf):
     keyed = found.filter(F.col("page_no").between(0, 2)).select(F.struct(KEY, "page_no").alias("doc_id"), "text")
     hits = search.limit_per_document(search.hits(keyed, "#"), 1)
     return hits.select(f"doc_id.{KEY}", "doc_id.page_no", "start")
+
+
+@query("SELECT c_custkey, 'a(b)A(c)' || chr(10) || chr(10) || chr(10) || c_name || 'ä' AS text, false AS repaired FROM customer")
+def pdf_by_hand(spark, sf):
+    """Files that the engine's writer has no part in: object streams, odd spacing, nested and escaped strings."""
+    both = parse(customer_files(spark, sf, samples.by_hand, "c_name"), ("pages", "documents"), KEY)
+    return both.select(KEY, F.col("pages")[0]["text"].alias("text"), F.col("documents")[0]["repaired"].alias("repaired"))
