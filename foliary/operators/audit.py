@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -130,3 +130,13 @@ def missing_keys(keys: DataFrame, rules: DataFrame) -> DataFrame:
     found = F.col("held")[F.col("wanted")]
     bad = both.filter(found.isNull() | (found != F.col("wanted_kind")))
     return bad.select("doc_id", "obj", "type", F.col("wanted").alias("key"), F.coalesce(found, F.lit("missing")).alias("found"))
+
+
+def read_catalogue(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The required keys that a tab-separated catalogue file (Key, Type, Required) names for one type of object.
+
+    Keys that take several types (separated by ";") are checked for presence alone.
+    """
+    rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+    plain = F.when(~F.col("Type").contains(";"), F.col("Type"))
+    return rows.filter(F.upper("Required") == "TRUE").select(F.lit(kind).alias("type"), F.col("Key").alias("key"), plain.alias("kind"))

@@ -12,6 +12,8 @@ NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)")
 REGULAR = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]*")
 SPACE = re.compile(rb"(?:[\x00\t\n\x0c\r ]|%[^\r\n]*)*")
 REFERENCE = re.compile(rb"(\d{1,7})[\x00\t\n\x0c\r ]+(\d{1,5})[\x00\t\n\x0c\r ]+R(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
+HEX = re.compile(rb"[0-9A-Fa-f]*+")
+PLAIN = re.compile(rb"\(([^()\\]*+)\)")
 ESCAPES = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12}
 
 
@@ -89,10 +91,14 @@ class Lexer:
     def _name(self) -> Name:
         word = REGULAR.match(self.data, self.at + 1)[0]
         self.at += 1 + len(word)
-        plain = re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), word)
-        return Name(plain.decode("latin-1"))
+        if b"#" in word:
+            word = re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), word)
+        return Name(word.decode("latin-1"))
 
     def _string(self) -> bytes:
+        if m := PLAIN.match(self.data, self.at):
+            self.at = m.end()
+            return m[1]
         data, at, depth, out = self.data, self.at + 1, 1, bytearray()
         while at < len(data):
             c = data[at]
@@ -122,8 +128,10 @@ class Lexer:
     def _hex(self) -> bytes:
         end = self.data.find(b">", self.at)
         end = len(self.data) if end < 0 else end
-        digits = re.sub(rb"[^0-9A-Fa-f]", b"", self.data[self.at + 1 : end])
+        digits = self.data[self.at + 1 : end]
         self.at = end + 1
+        if not HEX.fullmatch(digits):
+            digits = re.sub(rb"[^0-9A-Fa-f]", b"", digits)
         return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
 
     def _dict(self, depth: int) -> dict:

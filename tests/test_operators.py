@@ -148,3 +148,46 @@ def test_streaming_equals_batch(spark, tmp_path):
     stored = spark.read.parquet(f"{out}/pages")
     assert sorted(r["text"] for r in stored.collect()) == sorted(r["text"] for r in source.read_folder(spark, str(there)).collect())
     assert stored.count() == 3 and len(glob.glob(f"{out}/pages/batch=*")) == 2
+
+
+def test_streams_keep_one_of_each_file(spark, tmp_path):
+    there = tmp_path / "in"
+    there.mkdir()
+    for i, text in enumerate(("same", "same", "other")):
+        (there / f"{i}.pdf").write_bytes(build([text]))
+    held = str(tmp_path / "state")
+    stream = ingest.distinct_files(ingest.arriving(spark, str(there))).select("sha256")
+    query = stream.writeStream.format("memory").queryName("kept_files").option("checkpointLocation", held).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("kept_files").count() == 2
+
+
+def test_latest_revisions(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], "path string, modificationTime long, v string")
+    assert sorted((r["path"], r["v"]) for r in ingest.latest_revisions(rows).collect()) == [("a", "y"), ("b", "z")]
+
+
+def test_catalogue_from_tab_separated_text(spark, tmp_path):
+    from foliary.operators import audit
+
+    (tmp_path / "rules.tsv").write_text("Key\tType\tRequired\nType\tname\tTRUE\nLang\tstring\tFALSE\nPages\tdictionary\tTRUE\n")
+    rules = audit.read_catalogue(spark, str(tmp_path / "rules.tsv"), "Catalog")
+    keys = spark.createDataFrame([("d", 1, "Catalog", "Type", "string"), ("d", 1, "Catalog", "Lang", "string"), ("d", 2, "Page", "Type", "name")], "doc_id string, obj int, type string, key string, kind string")
+    assert sorted((r["key"], r["found"]) for r in audit.missing_keys(keys, rules).collect()) == [("Pages", "missing"), ("Type", "string")]
+
+
+def test_merge_numbers_over_ranges(spark):
+    from foliary.operators import pages
+
+    a = spark.createDataFrame([(i,) for i in (5, 1, 1, 9, 7)], "page_no long")
+    b = spark.createDataFrame([(i,) for i in range(300)], "page_no long")
+    rows = pages.merge([a, b, a.limit(0)], ranges=4).orderBy("merged_no").collect()
+    assert [r["merged_no"] for r in rows] == list(range(305)) and [r["page_no"] for r in rows[:5]] == [1, 1, 5, 7, 9]
+    assert [r["page_no"] for r in rows[5:]] == list(range(300))
+
+
+def test_derived_keys(spark):
+    from foliary.functions import values
+
+    found = one(spark, F.lower(F.hex(values.pbkdf2_sha256(F.col("c0").cast("binary"), F.col("c1").cast("binary"), 2))), "password", "salt")
+    assert found == "ae4d0c95af6b46d32d0adff928f06dd02a303f8ef3c251dfd6e2d85a95474c43"
