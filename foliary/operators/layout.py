@@ -200,6 +200,17 @@ def text_of(ch: str, *order: str) -> Column:
     return F.array_join(F.transform(rows, lambda r: r[ch]), "")
 
 
+def char_index(pages: DataFrame) -> DataFrame:
+    """Every glyph in the order of the page's text: its line, and its UTF-8 offset there, a byte for each line feed."""
+
+    def make(p: Page) -> list:
+        size = 1 + (p.codes > 0x7F) + (p.codes > 0x7FF) + (p.codes > 0xFFFF)
+        start = np.cumsum(size) - size + p.line
+        return [p.order, strings(p.codes, np.arange(len(p.codes))), p.line, start]
+
+    return by_page(pages, "ord long, ch string, line_index long, byte_start long", make)
+
+
 def columns(lines: DataFrame, bucket: float = 10.0, gap: float = 20.0) -> DataFrame:
     """Adds column_index: a column begins where the distinct 10-point buckets of x leave a gap."""
     lines = lines.withColumn("__b", F.floor(F.col("x") / bucket) * bucket)

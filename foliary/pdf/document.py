@@ -266,8 +266,10 @@ class Document:
         found = {k: text_of(self.get(v)) for k, v in self.dict_of(self.trailer.get("Info")).items()}
         return {k: v for k, v in found.items() if v is not None}
 
-    def outline(self) -> Iterator[tuple[list[int], str]]:
-        """(path of positions, title), depth first; siblings are siblings at every level."""
+    def outline(self) -> Iterator[tuple[list[int], str, int | None, str | None]]:
+        """(path of positions, title, page it leads to, address it leads to), depth first."""
+        numbers = self.page_numbers()
+        named: dict[str, object] | None = None
         seen: set[int] = set()
         stack = [(self.dict_of(self.catalog.get("Outlines")).get("First"), [0])]
         while stack:
@@ -276,7 +278,13 @@ class Document:
                 continue
             seen.add(ref.num)
             item = self.dict_of(ref)
-            yield path, text_of(self.get(item.get("Title"))) or ""
+            action = self.dict_of(item.get("A"))
+            dest = self.get(item.get("Dest", action.get("D")))
+            if isinstance(dest, (bytes, Name)):
+                if named is None:
+                    named = dict(self._destinations())
+                dest = named.get(text_of(dest) or "")
+            yield path, text_of(self.get(item.get("Title"))) or "", self._target(dest, numbers)[0], text_of(self.get(action.get("URI")))
             stack.append((item.get("Next"), [*path[:-1], path[-1] + 1]))
             stack.append((item.get("First"), [*path, 0]))
 
@@ -389,12 +397,14 @@ class Document:
     def destinations(self) -> Iterator[dict]:
         """Named destinations of the name tree and of the older dictionary."""
         numbers = self.page_numbers()
-        pairs = list(self._names(self.dict_of(self.catalog.get("Names")).get("Dests")))
-        pairs += self.dict_of(self.catalog.get("Dests")).items()
-        for name, dest in pairs:
+        for name, dest in self._destinations():
             page, fit = self._target(dest, numbers)
             yield {"name": name, "page_no": page, "fit": fit}
 
+    def _destinations(self) -> Iterator[tuple[str, object]]:
+        yield from self._names(self.dict_of(self.catalog.get("Names")).get("Dests"))
+        yield from self.dict_of(self.catalog.get("Dests")).items()
+
     def actions(self) -> Iterator[dict]:
         """What happens on opening the file, on its and its pages' events, and on links."""
         numbers = self.page_numbers()

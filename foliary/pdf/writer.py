@@ -17,6 +17,52 @@ def page_content(text: str) -> bytes:
     return b"\n".join([*out, b"ET"])
 
 
+class PageBuilder:
+    """A page's content, operator by operator; numbers as they are written, text in the font's codes."""
+
+    def __init__(self):
+        self.parts: list[bytes] = []
+
+    def op(self, name: str, *operands) -> PageBuilder:
+        self.parts.append(b" ".join([*(dump(float(x) if isinstance(x, float) else x) for x in operands), name.encode()]))
+        return self
+
+    def save(self) -> PageBuilder:
+        return self.op("q")
+
+    def restore(self) -> PageBuilder:
+        return self.op("Q")
+
+    def transform(self, a, b, c, d, e, f) -> PageBuilder:
+        return self.op("cm", a, b, c, d, e, f)
+
+    def fill_colour(self, r, g, b) -> PageBuilder:
+        return self.op("rg", r, g, b)
+
+    def stroke_colour(self, r, g, b) -> PageBuilder:
+        return self.op("RG", r, g, b)
+
+    def line_width(self, width) -> PageBuilder:
+        return self.op("w", width)
+
+    def rectangle(self, x, y, width, height, fill: bool = True) -> PageBuilder:
+        return self.op("re", x, y, width, height).op("f" if fill else "S")
+
+    def path(self, points: list[tuple[float, float]], close: bool = False) -> PageBuilder:
+        for i, (x, y) in enumerate(points):
+            self.op("l" if i else "m", x, y)
+        return self.op("s" if close else "S")
+
+    def text(self, x, y, font: str, size, shown: bytes) -> PageBuilder:
+        return self.op("BT").op("Tf", Name(font), size).op("Td", x, y).op("Tj", shown).op("ET")
+
+    def image(self, name: str, x, y, width, height) -> PageBuilder:
+        return self.save().transform(width, 0, 0, height, x, y).op("Do", Name(name)).restore()
+
+    def content(self) -> bytes:
+        return b"\n".join(self.parts)
+
+
 class Writer:
     """Objects by number; ``save`` lays them out with a cross-reference table."""
 

@@ -413,3 +413,12 @@ def stream_sessions(spark, sf):
 
     found = ingest.drained(ingest.tagged_sessions(ingest.rows_arriving(spark, sf, "events.parquet"), "user_id", "ts", "6 hours", delay="100 days"))
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_latest(spark, sf):
+    """Each user's newest event, kept as state of the engine's own while events arrive."""
+    from ..streaming import ingest
+
+    events = ingest.rows_arriving(spark, sf, "events.parquet").select("user_id", "event_id", "event_type", "ts")
+    return ingest.drained(ingest.latest_by_state(events, "user_id", "ts", "event_id"), "update").select("user_id", "event_id", "event_type")

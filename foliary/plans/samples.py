@@ -307,3 +307,52 @@ def by_hand(name: str) -> bytes:
     table = b"".join(bytes([a]) + b.to_bytes(3, "big") + bytes([c]) for a, b, c in rows)
     out += b"9 0 obj <</Type/XRef/W[1 3 1]/Size 10/Root 1 0 R/Length %d>>stream\n%s\nendstream endobj\nstartxref %d %%%%EOF" % (len(table), table, start)
     return bytes(out)
+
+
+def nested_fields(name: str, segment: str) -> bytes:
+    """Fields within fields: type and value come from above, and a kid without a name is its parent's widget."""
+
+    def catalog(w, _):
+        group = w.add()
+        first = w.add({"T": b"first", "Parent": group, "V": name.encode()})
+        inner = w.add()
+        second = w.add({"T": b"second", "Parent": inner, "FT": N("Ch"), "Opt": [b"x", segment.encode()], "V": segment.encode()})
+        w.put(inner, {"T": b"inner", "Parent": group, "Kids": [second]})
+        w.put(group, {"T": b"group", "FT": N("Tx"), "Ff": 2, "V": b"above", "Kids": [first, inner, w.add({"T": b"third", "Parent": group})]})
+        button = w.add()
+        w.put(button, {"T": b"button", "FT": N("Btn"), "V": N("Yes"), "Kids": [w.add({"Subtype": N("Widget"), "Parent": button})]})
+        return {"AcroForm": {"Fields": [group, button]}}
+
+    return one_page(b"", None, None, catalog)
+
+
+def mapped(name: str) -> bytes:
+    """One-byte codes that a map turns into text: a range shifts letters, a list and single codes name others."""
+    body = b"""1 begincodespacerange <00> <FF> endcodespacerange
+2 beginbfrange <41> <5A> <0391> <30> <32> [<0078> <00660066> <D83DDE42>] endbfrange
+2 beginbfchar <23> <2013> <20> <0020> endbfchar"""
+    return one_page(b"BT /F1 9 Tf %s Tj ET" % literal(name), lambda w, _: {"Font": {"F1": simple_font(ToUnicode=w.add(Stream({}, body)))}})
+
+
+def drawn(x: int) -> bytes:
+    """A page by the builder: a frame, a path, an image and a word."""
+    from ..pdf.writer import PageBuilder
+
+    b = PageBuilder().save().fill_colour(1, 0.5, 0).rectangle(x, 20, 30, 40).restore().line_width(2).path([(0, 0), (x, 9), (5, 5)], True)
+    content = b.image("I", 10, 20, 30 + x, 40).text(50, 60, "F1", 12, b"built").content()
+    image = {"Type": N("XObject"), "Subtype": N("Image"), "Width": 1, "Height": 1, "BitsPerComponent": 8, "ColorSpace": N("DeviceGray")}
+    return one_page(content, lambda w, _: {"Font": {"F1": simple_font()}, "XObject": {"I": w.add(Stream(image, b"\0"))}})
+
+
+def book(name: str, segment: str) -> bytes:
+    """Bookmarks to a page, by a name, and to an address."""
+
+    def catalog(w, leaf):
+        top, a, b, c = (w.add() for _ in range(4))
+        w.put(top, {"Type": N("Outlines"), "First": a, "Last": c, "Count": 3})
+        w.put(a, {"Title": name.encode(), "Parent": top, "Next": b, "Dest": [leaf, N("Fit")]})
+        w.put(b, {"Title": segment.encode(), "Parent": top, "Prev": a, "Next": c, "A": {"S": N("GoTo"), "D": b"here"}})
+        w.put(c, {"Title": b"web", "Parent": top, "Prev": b, "A": {"S": N("URI"), "URI": b"http://x.example/" + segment.encode()}})
+        return {"Outlines": top, "Names": {"Dests": {"Names": [b"here", [leaf, N("Fit")]]}}}
+
+    return one_page(b"", None, None, catalog)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..operators import audit, forms, layout, spatial, structure, tables
 from ..pdf import writer
+from ..sources.documents import Documents
 from ..sources.pdf import from_base64, parse, register, rows, sections
 from ..sources.writing import to_pdf
 from . import samples
@@ -438,3 +439,83 @@ def pdf_by_hand(spark, sf):
     """Files that the engine's writer has no part in: object streams, odd spacing, nested and escaped strings."""
     both = parse(customer_files(spark, sf, samples.by_hand, "c_name"), ("pages", "documents"), KEY)
     return both.select(KEY, F.col("pages")[0]["text"].alias("text"), F.col("documents")[0]["repaired"].alias("repaired"))
+
+
+@query("""SELECT c_custkey, unnest(['group.first', 'group.inner.second', 'group.third', 'button']) AS full_name, unnest(['Tx', 'Ch', 'Tx', 'Btn']) AS type, CAST(unnest([2, 2, 2, 0]) AS INT) AS flags,
+unnest([c_name, c_mktsegment, 'above', 'Yes']) AS value, CAST(unnest([0, 2, 0, 0]) AS INT) AS n_options FROM customer""")
+def pdf_nested_fields(spark, sf):
+    """Dotted names, and what fields take over from those above."""
+    found = sections(customer_files(spark, sf, samples.nested_fields, "c_name", "c_mktsegment"), "fields", KEY)
+    return found.select(KEY, "full_name", "type", "flags", "value", F.size("options").alias("n_options"))
+
+
+@query("SELECT c_custkey, replace(replace(replace(translate(c_mktsegment || '#012', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ#', 'ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡ' || chr(930) || 'ΣΤΥΦΧΨΩΪ–'), '0', 'x'), '1', 'ff'), '2', '🙂') AS text FROM customer")
+def pdf_tounicode(spark, sf):
+    """Codes by a font's own map: ranges, lists and single codes."""
+    files = customer_files(spark, sf, samples.mapped, "concat(c_mktsegment, '#012')")
+    return sections(files, "pages", KEY).select(KEY, "text")
+
+
+@query("SELECT c_custkey, 'built' AS text, 10.0::DOUBLE AS x, 30.0 + c_custkey % 5 AS width, 40.0::DOUBLE AS height FROM customer")
+def pdf_page_builder(spark, sf):
+    """Pages written operator by operator, with an image and a word read back."""
+    parsed = parse(customer_files(spark, sf, samples.drawn, "int(c_custkey % 5)"), ("pages", "placements"), KEY)
+    at = F.col("placements")[0]
+    return parsed.select(KEY, F.col("pages")[0]["text"].alias("text"), at["x"].alias("x"), at["width"].alias("width"), at["height"].alias("height"))
+
+
+@query("""SELECT c_custkey, unnest([c_name, c_mktsegment, 'web']) AS title, CAST(unnest([0, 0, NULL]) AS INT) AS page_no, unnest([NULL, NULL, 'http://x.example/' || c_mktsegment]) AS uri FROM customer""")
+def pdf_bookmarks(spark, sf):
+    """Where bookmarks lead: to a page, by a name, to an address."""
+    return sections(customer_files(spark, sf, samples.book, "c_name", "c_mktsegment"), "outline", KEY).select(KEY, "title", "page_no", "uri")
+
+
+@query(LINES_SQL + """, b AS (SELECT doc_id, line_index, text, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l)
+SELECT doc_id, CAST(line_index AS BIGINT) AS line_index, substring(text, CAST(i AS INT) + 1, 1) AS ch, CAST(s + i AS BIGINT) AS byte_start FROM (SELECT *, unnest(range(0, length(text))) AS i FROM b)""")
+def pdf_char_index(spark, sf):
+    """Each character's byte offset in the text that the layout gives."""
+    return layout.char_index(scattered(spark, sf)).select("doc_id", "line_index", "ch", "byte_start")
+
+
+def documents(spark, sf) -> Documents:
+    return Documents(customer_files(spark, sf, samples.three_pages, "c_name", "c_mktsegment"), KEY)
+
+
+@query("""SELECT c_custkey AS doc_id, CAST(3 AS INT) AS n_pages, CAST(90.0 AS DOUBLE) AS rotate, c_name || chr(10) || chr(10) || '--- Page 1 ---' || chr(10) || chr(10) || c_mktsegment AS text, CAST(4 AS BIGINT) AS n_fonts FROM customer""")
+def tools_overview(spark, sf):
+    """Page count, page information, text of a range and fonts by the methods of one object."""
+    d = documents(spark, sf)
+    info = d.page_info(0).select("doc_id", "rotate")
+    fonts = d.fonts().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_fonts"))
+    return d.page_count().join(info, "doc_id").join(d.text(0, 1), "doc_id").join(fonts, "doc_id")
+
+
+@query("""SELECT c_custkey AS doc_id, CAST(unnest([0, 2]) AS INT) AS page_no, CAST(0 AS INT) AS start FROM customer""")
+def tools_search(spark, sf):
+    """Whatever the case, the first two hits of each document."""
+    return documents(spark, sf).search_text("CUSTOMER", 0, 2, most=2).select("doc_id", "page_no", "start")
+
+
+@query("""SELECT c_custkey AS doc_id, CAST(0 AS INT) AS page_no, CAST(strpos(c_name, '00') - 1 + i AS INT) AS start FROM (SELECT *, unnest(range(0, 20)) AS i FROM customer) WHERE substring(c_name, strpos(c_name, '00') + CAST(i AS INT), 2) = '00'""")
+def tools_find(spark, sf):
+    """Overlapping hits on the first page."""
+    return documents(spark, sf).find_text("00", 0).select("doc_id", "page_no", "start")
+
+
+@query("""SELECT c_custkey AS doc_id, substring(c_name, 1, 3) AS text, 'Link' AS type FROM customer""")
+def tools_region(spark, sf):
+    """Text of a region by glyph centres, and annotations that touch one."""
+    d = Documents(customer_files(spark, sf, lambda name: samples.one_page(b"BT /F1 10 Tf 100 100 Td %s Tj ET" % samples.literal(name), {"Font": {"F1": samples.simple_font()}}, {"Annots": [{"Type": samples.N("Annot"), "Subtype": samples.N(k), "Rect": [x, 0, x + 9, 9]} for k, x in (("Link", 5), ("Text", 300))]}), "c_name"), KEY)
+    marks = d.annotations(region=(0, 0, 100, 100)).select("doc_id", "type")
+    return d.query_region(99, 95, 118, 115).select("doc_id", "text").join(marks, "doc_id")
+
+
+@query("""SELECT c_custkey AS doc_id, unnest(['t', 'b', 'c', 'm']) AS full_name, unnest([CASE WHEN strlen(c_mktsegment) <= 9 THEN c_mktsegment ELSE 'old' END, CASE WHEN c_custkey % 2 = 1 THEN 'Yes' ELSE 'Off' END,
+'old', 'x' || chr(10) || 'y']) AS value, unnest([CASE WHEN strlen(c_mktsegment) > 9 THEN 'too long' END, NULL, 'one option only', NULL]) AS refused FROM customer""")
+def form_setters(spark, sf):
+    """New values for fields as rows: refused ones leave what was there."""
+    kinds = F.array(*[F.struct(F.lit(n).alias("full_name"), F.lit(k).alias("type"), F.lit(f).alias("flags")) for n, k, f in (("t", "Tx", 0), ("b", "Btn", 0), ("c", "Ch", 0), ("m", "Ch", forms.MULTI_SELECT))])
+    c = read(spark, sf, "customer").select(F.col(KEY).alias("doc_id"), "c_mktsegment", F.explode(kinds).alias("k"))
+    fields = c.select("doc_id", "k.*", F.lit(9).alias("max_length"), F.array(F.lit("x"), F.lit("y")).alias("options"), F.lit("old").alias("value"), "c_mktsegment")
+    done = forms.set_values(fields, F.col("c_mktsegment"), F.col("doc_id") % 2 == 1, F.array(F.lit(0), F.lit(1)))
+    return done.select("doc_id", "full_name", "value", "refused")

@@ -83,10 +83,10 @@ def text_runs(doc) -> Iterator[tuple]:
             yield number, i, text, x, y, size
 
 
-@section("path array<int>, depth int, title string")
+@section("path array<int>, depth int, title string, page_no int, uri string")
 def outline(doc) -> Iterator[tuple]:
-    for path, title in doc.outline():
-        yield path, len(path) - 1, title
+    for path, title, page, uri in doc.outline():
+        yield path, len(path) - 1, title, page, uri
 
 
 @section("page_no int, type string, contents string, rect array<double>, flags int, uri string")

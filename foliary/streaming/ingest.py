@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..sources.pdf import parse, rows
 
@@ -57,6 +59,36 @@ def counts_by_window(events: DataFrame, time: str, key: str, size: str = "1 hour
     )
 
 
+class Latest(StatefulProcessor):
+    """Keeps each key's newest row, by (order, tie), as state without expiry; gives it whenever it changes."""
+
+    def __init__(self, schema: StructType, order: str, tie: str):
+        self.schema, self.names, self.at = schema, schema.names, [schema.names.index(c) for c in (order, tie)]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("latest", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = self.held.get() if self.held.exists() else None
+        newest = best
+        for row in rows:
+            mine = tuple(row[n] for n in self.names)
+            if newest is None or tuple(mine[i] for i in self.at) > tuple(newest[i] for i in self.at):
+                newest = mine
+        if newest is not best:
+            self.held.update(newest)
+            yield Row(**dict(zip(self.names, newest, strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def latest_by_state(stream: DataFrame, key: str, order: str, tie: str) -> DataFrame:
+    """A stream of each key's newest row whenever a newer one arrives; needs RocksDB state stores."""
+    schema = StructType([f for f in stream.schema.fields])
+    return stream.groupBy(key).transformWithState(Latest(schema, order, tie), schema, "Update", "None")
+
+
 def latest_revisions(history: DataFrame, key: str = "path", order: str = "modificationTime") -> DataFrame:
     """The newest row of each key in a table that a stream has appended to."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
@@ -80,12 +112,23 @@ def rows_arriving(spark: SparkSession, folder: str, files: str = "*.parquet") ->
     return stream.withColumns({c: F.col(c).cast("timestamp") for c, kind in stream.dtypes if kind == "timestamp_ntz"})
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """The complete result of an aggregating stream over what is there, as a table of this session.
+#: What streams with state of their own need; set while they start.
+STORES = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """The result of an aggregating stream over what is there, as a table of this session.
 
     The aggregate's rows are gathered in memory: for reports by window, not for rows by event.
     """
     name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STORES}
+    for k, v in STORES.items():
+        spark.conf.set(k, v)
+    try:
+        stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.table(name)
