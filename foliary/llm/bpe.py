@@ -18,7 +18,6 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, texts_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Bytes of words and their ids that a Python worker remembers, with what Python adds to each.
-REMEMBERED, EACH = 96 << 20, 180
+REMEMBERED, EACH = 64 << 20, 150
 #: UTF-8 bytes of the texts that are taken at a time; one longer text makes a slice of its own.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Characters of a text beyond which its words are made one by one, not as a list.
 LISTED = 1 << 20
 
@@ -84,7 +83,7 @@ class MergeReplay:
             if token[:k] in ranks and token[k:] in ranks
         }
 
-    def encode(self, words: list[bytes], shard: int = 20_000) -> list[list[int]]:
+    def encode(self, words: list[bytes], shard: int = 8_000) -> list[list[int]]:
         """Ids of each word; ``shard`` words are laid out at a time, which keeps to the CPU's cache."""
         return [ids for at in range(0, len(words), shard) for ids in self._replay(words[at : at + shard])]
 
@@ -103,59 +102,62 @@ class MergeReplay:
         n = len(symbols)
         # A word's ends are marked by links to n, which holds no symbol.
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # The rank at which a symbol and the one after it merge; None where they don't.
+        worth = [rank(a << 24 | b) for a, b in zip(symbols, symbols[1:], strict=False)]
+        worth.extend([None] * (n - len(worth)))
         for s in starts:
             if s < n:
                 before[s] = n
             if s:
-                after[s - 1] = n
-        index: dict[int, list[int]] = defaultdict(list)
-        for i, (a, b, j) in enumerate(zip(symbols, symbols[1:], after, strict=False)):
-            if j != n:
-                r = rank(a << 24 | b)
-                if r is not None:
+                after[s - 1], worth[s - 1] = n, None
+        index: dict[int, list[int]] = {}
+        for i, r in enumerate(worth):
+            if r is not None:
+                if r in index:
                     index[r].append(i)
+                else:
+                    index[r] = [i]
         heap = list(index)
         heapq.heapify(heap)
+
+        def enter(r: int, places: list[int]) -> None:
+            if r in index:
+                index[r].extend(places)
+            else:
+                index[r] = places
+                push(heap, r)
+
         while heap:
             now = pop(heap)
             places = index.pop(now, None)
             if not places:
                 continue
             places.sort()
-            for k, i in enumerate(places):
-                a = symbols[i]
-                if a < 0:
+            for k, i in enumerate(places, 1):
+                if worth[i] != now:  # a symbol went or changed since the position was indexed
                     continue
                 j = after[i]
-                # Stale if a symbol went or changed since the position was indexed.
-                if j == n or rank(a << 24 | symbols[j]) != now:
-                    continue
-                symbols[i], symbols[j] = now, -1
                 h = after[i] = after[j]
+                symbols[i], symbols[j], worth[j] = now, -1, None
                 early = False
                 if h != n:
                     before[h] = i
-                    r = rank(now << 24 | symbols[h])
+                    r = worth[i] = rank(now << 24 | symbols[h])
                     if r is not None:
-                        if r not in index:
-                            push(heap, r)
-                        index[r].append(i)
+                        enter(r, [i])
                         early = r < now
+                else:
+                    worth[i] = None
                 g = before[i]
                 if g != n:
-                    r = rank(symbols[g] << 24 | now)
+                    r = worth[g] = rank(symbols[g] << 24 | now)
                     if r is not None:
-                        if r not in index:
-                            push(heap, r)
-                        index[r].append(g)
+                        enter(r, [g])
                         early = early or r < now
                 if early:
                     # The merge made an earlier one possible: that one goes first in its word.
-                    rest = places[k + 1 :]
-                    if rest:
-                        if now not in index:
-                            push(heap, now)
-                        index[now].extend(rest)
+                    if rest := places[k:]:
+                        enter(now, rest)
                     break
         ends = [*starts[1:], n]
         return [[x for x in symbols[s:e] if x >= 0] for s, e in zip(starts, ends, strict=True)]
@@ -249,7 +251,7 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fa
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = SCHEMA + ", ids array<int>" * with_ids
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return texts_of(pick(docs, "doc_id", "text"), F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:

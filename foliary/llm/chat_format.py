@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, texts_of
 
 ROLES = ("system", "user", "assistant", "tool")
 UNMARKED = len(ROLES)
@@ -246,7 +246,7 @@ def codes(rows: DataFrame) -> DataFrame:
             seen = [b"".join([x.code() for x in observe(r.as_py(), t.as_py())]) for r, t in both]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seen, pa.binary())], names=[*ORDER, "seen"])
 
-    return rows.select(*ORDER, "role", "text").mapInArrow(run, schema)
+    return texts_of(rows, *ORDER, "role", "text").mapInArrow(run, schema)
 
 
 def segments(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, int | None, list[tuple]]]:
@@ -442,4 +442,4 @@ def format_chats(turns: DataFrame, ranges: int | None = None) -> DataFrame:
         for k in range(0, len(done), 2000):
             yield _batch(done[k : k + 2000], names, kinds)
 
-    return deal(rows, bounds).mapInArrow(run, TURN_SCHEMA)
+    return texts_of(deal(rows, bounds), "*").mapInArrow(run, TURN_SCHEMA)

@@ -59,6 +59,23 @@ def discard(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def texts_of(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """Columns of ``docs`` for an Arrow function, in batches of bounded size.
+
+    A batch is 10,000 rows unless bytes end it, and so many long texts would take hundreds of MB on
+    either side. The session's own bound stays, if it has one.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return docs.select(*columns)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

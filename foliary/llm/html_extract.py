@@ -10,8 +10,9 @@ Differencing runs on every page, and what the neighbour doesn't share stays, ins
 of one site do repeat sentences of their articles (licences, quotations), and deleting those would
 lose main text. Elements that name themselves as furniture (navigation, forms, adverts, comments,
 ...) go in any case. A pair that shares more than ``COPY_SHARE`` of the page's text, and of its
-article's if it has one, is a copy and says nothing about furniture. Such a page, like one without
-a pair, is reduced to its article if that holds most of its text, and else kept whole.
+article's if it has one, is a copy and says nothing about furniture; then the neighbour on the
+other side takes its place. A page without such a pair is reduced to its article if that holds most
+of its text, and else kept whole.
 
 The pages are dealt by ranges of (host, path, page_id), so a host with a third of all pages spreads
 over many tasks. The pages on either side of each cut go to both ranges, where the foreign one only
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, texts_of
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 COPY_SHARE = 0.6
@@ -244,12 +245,13 @@ def _lcs(a: list, b: list) -> list[bool]:
     return out
 
 
-def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
-    """Lines in page order, without the undeclared furniture that the neighbour shares."""
-    if neighbour:
-        shared = common_lines([x.text for x in lines], [x.text for x in neighbour])
-        if not _copied(lines, shared):
-            return " ".join([x.text for x, s in zip(lines, shared, strict=True) if x.article or not s])
+def main_text(lines: list[Line], *neighbours: list[Line] | None) -> str:
+    """Lines in page order, without the undeclared furniture that the first neighbour shares that isn't a copy."""
+    for other in neighbours:
+        if other:
+            shared = common_lines([x.text for x in lines], [x.text for x in other])
+            if not _copied(lines, shared):
+                return " ".join([x.text for x, s in zip(lines, shared, strict=True) if x.article or not s])
     article = [x.text for x in lines if x.article]
     if 2 * sum(map(len, article)) > sum(len(x.text) for x in lines):
         return " ".join(article)
@@ -291,11 +293,8 @@ def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A neighbour is of the same range and host.
         left = left if left and place[1] is not None and left[2] == place else None
         right = right if right and place[1] is not None and right[2] == place else None
-        if left and nearest(path, left[3], right and right[3]):
-            other = left[4]
-        else:
-            other = right[4] if right else None
-        text = main_text(lines, other)
+        both = (left, right) if left and nearest(path, left[3], right and right[3]) else (right, left)
+        text = main_text(lines, *[n and n[4] for n in both])
         done.append((page_id, url, text, len(text)))
 
     def flush() -> pa.RecordBatch:
@@ -388,4 +387,4 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
         F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
     )
     dealt = deal(keyed, ranges, total).repartitionById(ranges, F.col("range"))
-    return dealt.sortWithinPartitions("range", *ORDER, "html").mapInArrow(difference, SCHEMA)
+    return texts_of(dealt.sortWithinPartitions("range", *ORDER, "html"), "*").mapInArrow(difference, SCHEMA)

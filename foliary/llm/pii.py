@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -184,7 +184,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n", "base_sha256", "candidates"],
             )
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCANNED)
+    return texts_of(pick(docs, "doc_id", "text"), F.col("doc_id").cast("long"), "text").mapInArrow(run, SCANNED)
 
 
 def reliabilities(counts: dict[tuple[int, ...], float], rounds: int = 200) -> tuple[float, np.ndarray]:

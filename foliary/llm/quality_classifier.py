@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, texts_of
 
 FIT_ROWS = 1500
 FIT_CHARS = 40_000
@@ -141,7 +141,7 @@ def scorer(docs: DataFrame, model: Model):
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs, model)("text").alias("score"))
+    rows = texts_of(pick(docs, "doc_id", "text"), F.col("doc_id").cast("long").alias("doc_id"), scorer(docs, model)("text").alias("score"))
     return rows.select(
         "doc_id",
         F.coalesce(in_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
@@ -152,4 +152,4 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The input rows predicted good, all columns; each is decided where it is read."""
-    return docs.filter(scorer(docs, fit(docs, labels))(F.col("text")) >= 0.5)
+    return texts_of(docs, "*").filter(scorer(docs, fit(docs, labels))(F.col("text")) >= 0.5)

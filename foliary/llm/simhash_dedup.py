@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, cut, discard, locate, pick, scratch, without
+from .common import FILE, ROW, cut, discard, locate, pick, scratch, texts_of, without
 
 WORDS = 3
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(t.as_py()) for t in batch.column(3)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], names=["doc_id", FILE, ROW, "fp"])
 
-    rows = pick(docs, "doc_id", FILE, ROW, "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = texts_of(pick(docs, "doc_id", FILE, ROW, "text"), F.col("doc_id").cast("long").alias("doc_id"), FILE, ROW, "text")
     return rows.mapInArrow(run, f"doc_id long, {FILE} string, {ROW} long, fp long")
 
 

@@ -83,7 +83,7 @@ def test_cuts_between_ranges_leave_no_trace(spark):
         host, path, _ = split(r)
         near = [j for j in (i - 1, i + 1) if 0 <= j < len(ordered) and host and split(ordered[j])[0] == host]
         shared = lambda j: next((k for k, (x, y) in enumerate(zip(path, split(ordered[j])[1])) if x != y), min(len(path), len(split(ordered[j])[1])))
-        wanted.append((str(r[0]), html_extract.main_text(lines[i], lines[max(near, key=lambda j: (shared(j), -j))] if near else None)))
+        wanted.append((str(r[0]), html_extract.main_text(lines[i], *[lines[j] for j in sorted(near, key=lambda j: (-shared(j), j))])))
     for ranges in (1, 3, 64):
         found = html_extract.extract(spark.createDataFrame(rows, PAGES), ranges).collect()
         assert sorted((str(r["page_id"]), r["text"]) for r in found) == sorted(wanted)
@@ -203,6 +203,16 @@ def test_pages_match_brute_force(spark):
     assert lost > 100  # differencing decides nearly every page
 
 
+def test_a_copy_gives_way_to_the_other_neighbour(spark):
+    """The nearest page by path is a copy; the page on its other side tells the menu."""
+    menu = "<div>Home of the site</div>"
+    body = "<p>A story that two pages tell in the same words, long enough to be one.</p>"
+    rows = [page(1, "http://c.example/a/1", f"{menu}<p>Another story altogether, first.</p>"), page(2, "http://c.example/b/1", menu + body), page(3, "http://c.example/b/2", menu + body)]
+    found = extract(spark, rows)
+    assert found[2] == "A story that two pages tell in the same words, long enough to be one." and found[1] == "Another story altogether, first."
+    assert found[3].startswith("Home")  # it has the copy only
+
+
 def turns(spark, rows):
     return spark.createDataFrame([(*r, 1, 2) for r in rows], CHATS)
 
