@@ -130,10 +130,10 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     if not total["k"]:
         return hosts.select("host", "host_docs", F.lit(0.0).alias("host_rate"), F.lit("").alias("host_failed"))
     rates, names = [], []
-    others = F.lit(float(total["n"])) - n
+    others = F.nullif(F.lit(float(total["n"])) - n, F.lit(0.0))  # null: there are none, and no prior
     for r in failed:
         f = F.col(f"f_{r}").cast("double")
-        hosts = hosts.withColumn(f"m_{r}", F.when(others > 0, (F.lit(float(total[f"f_{r}"])) - f) / others))
+        hosts = hosts.withColumn(f"m_{r}", (F.lit(float(total[f"f_{r}"])) - f) / others)
         mean = F.col(f"m_{r}")
         within = mean * (1 - mean)
         spread = F.greatest(F.lit(0.0), (F.lit(total[f"q_{r}"]) - f * f / n) / others - mean * mean)
@@ -141,10 +141,10 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
         fitted = F.least(F.lit(STRENGTH[1]), F.greatest(F.lit(STRENGTH[0]), (within - F.col(f"v_{r}")) / F.col(f"b_{r}")))
         hosts = hosts.withColumn(f"s_{r}", F.when(F.col(f"b_{r}") > 0, fitted).otherwise(STRENGTH[1]))
         strength = F.col(f"s_{r}")
-        hosts = hosts.withColumn(f"r_{r}", F.when(others > 0, (f + mean * strength) / (n + strength)).otherwise(f / n))
+        hosts = hosts.withColumn(f"r_{r}", F.coalesce((f + mean * strength) / (n + strength), f / n))
         limit = F.greatest(F.lit(LEAST_RATE), mean + DEVIATIONS * F.sqrt(within / (strength + 1)))
         rates.append(F.col(f"r_{r}"))
-        names.append(F.when((others > 0) & (F.col(f"r_{r}") > limit), r))
+        names.append(F.when(others.isNotNull() & (F.col(f"r_{r}") > limit), r))
     return hosts.select("host", "host_docs", F.greatest(*rates).alias("host_rate"), F.concat_ws(",", *names).alias("host_failed"))
 
 
