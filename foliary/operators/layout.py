@@ -115,8 +115,11 @@ def strings(codes: np.ndarray, starts: np.ndarray) -> list[str]:
     return [text[s:e] for s, e in zip(starts.tolist(), ends, strict=True)]
 
 
-def by_page(pages: DataFrame, schema: str, make: Callable[[Page], list], **options) -> DataFrame:
-    """Rows that ``make`` gives of each page, as a column or array for every field of ``schema``."""
+def by_page(pages: DataFrame, schema: str, make: Callable[..., list], plain: bool = False, **options) -> DataFrame:
+    """Rows that ``make`` gives of each page, as a column or array for every field of ``schema``.
+
+    It gets a ``Page``, or with ``plain`` the arrays of codes, x, y, w and h as they are.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -134,7 +137,8 @@ def by_page(pages: DataFrame, schema: str, make: Callable[[Page], list], **optio
                 done, counts = [], []
                 for i, text in enumerate(part.column(2).to_pylist()):
                     s, e = int(sizes[i]), int(sizes[i + 1])
-                    rows = make(Page(codes_of(text), *[f[s:e] for f in flat], **options)) if e > s else None
+                    arrays_of = (codes_of(text), *[f[s:e] for f in flat])
+                    rows = None if e <= s else make(*arrays_of) if plain else make(Page(*arrays_of, **options))
                     counts.append(len(rows[0]) if rows else 0)
                     if counts[-1]:
                         done.append(rows)

@@ -39,10 +39,10 @@ def trigram_index(docs: DataFrame, text: str = "text") -> DataFrame:
 def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences of each trigram and documents that have it, combined in each task first."""
     grams = trigrams(F.coalesce(F.col(text), F.lit("")))
-    # Sorted, a document's first of each trigram is the one that differs from the one before.
-    tagged = let(F.sort_array(grams), lambda g: F.transform(g, lambda x, i: F.struct(x.alias("g"), F.when((i > 0) & (F.get(g, i - 1) == x), 0).otherwise(1).alias("f"))))
-    rows = docs.select(F.explode(tagged).alias("t"))
-    return rows.groupBy(F.col("t.g").alias("trigram")).agg(F.count(F.lit(1)).alias("n_positions"), F.sum("t.f").alias("n_docs"))
+    # Every occurrence, and once more each distinct trigram of the document, in one pass.
+    marked = lambda g: F.concat(F.transform(g, lambda x: F.struct(x.alias("g"), F.lit(0).alias("d"))), F.transform(F.array_distinct(g), lambda x: F.struct(x.alias("g"), F.lit(1).alias("d"))))
+    rows = docs.select(F.explode(let(grams, marked)).alias("t"))
+    return rows.groupBy(F.col("t.g").alias("trigram")).agg(F.sum(1 - F.col("t.d")).alias("n_positions"), F.sum("t.d").alias("n_docs"))
 
 
 CANDIDATES = 64

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_field, html_escape
-from .layout import Page, by_page, strings
+from .layout import by_page, strings
 
 
 def cells(pages: DataFrame) -> DataFrame:
@@ -18,23 +18,29 @@ def cells(pages: DataFrame) -> DataFrame:
     are tables. Glyphs below U+0020 and U+007F are dropped.
     """
 
-    def make(p: Page) -> list:
-        spans = np.unique(np.column_stack([p.x, p.x + p.w, p.w]), axis=0)
-        reach = np.maximum.accumulate(spans[:, 1])
-        wide = np.concatenate(([True], spans[1:, 0] - reach[:-1] > 2 * spans[:, 2].mean()))
-        col = np.searchsorted(spans[wide, 0], p.x, "right") - 1
-        down = np.unique(-p.y, return_inverse=True)[1]
-        if down.max() < 1 or col.max() < 1:
+    def make(codes, x, y, w, h) -> list:
+        down = np.unique(-y, return_inverse=True)[1]
+        if not down.any():
             return [[]]
-        solid = np.flatnonzero((p.codes >= 32) & (p.codes != 127))
-        solid = solid[np.lexsort((p.order[solid], p.x[solid], col[solid], down[solid]))]
+        ends = x + w
+        spans = np.lexsort((w, ends, x))
+        sx, se, sw = x[spans], ends[spans], w[spans]
+        fresh = np.concatenate(([True], (sx[1:] != sx[:-1]) | (se[1:] != se[:-1]) | (sw[1:] != sw[:-1])))
+        reach = np.maximum.accumulate(se)
+        wide = np.concatenate(([True], sx[1:] - reach[:-1] > 2 * sw[fresh].mean()))
+        if wide.sum() < 2:
+            return [[]]
+        solid = np.flatnonzero((codes >= 32) & (codes != 127))
         if not len(solid):
             return [[]]
-        cell = np.column_stack([down[solid], col[solid]])
-        starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]).any(1))))
-        return [cell[starts, 0], cell[starts, 1], [t.strip(" ") for t in strings(p.codes[solid], starts)]]
-
-    return by_page(pages, "row int, col int, text string", make)
+        col = np.searchsorted(sx[wide], x[solid], "right") - 1
+        order = np.lexsort((solid, x[solid], col, down[solid]))
+        solid, col = solid[order], col[order]
+        row = down[solid]
+        starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (col[1:] != col[:-1]))))
+        return [row[starts], col[starts], [t.strip(" ") for t in strings(codes[solid], starts)]]
+
+    return by_page(pages, "row int, col int, text string", make, plain=True)
 
 
 def _table(cells: DataFrame, keys: tuple[str, ...], cell: Column, between: str, line) -> DataFrame:

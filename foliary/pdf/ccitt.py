@@ -74,9 +74,13 @@ class Bits:
         self.at += -self.at % 8
 
 
-def _change(line: list[int], beyond: int, colour: int, columns: int) -> int:
-    """Place in ``line`` of the first change right of ``beyond`` to the other colour than ``colour``."""
-    k = colour
+def _change(line: list[int], beyond: int, colour: int, k: int) -> int:
+    """Place in ``line`` of the first change right of ``beyond`` to the other colour than ``colour``.
+
+    ``k`` is the place found before; as lines are read from the left, none before it comes again.
+    """
+    if k % 2 != colour:
+        k += 1 if not k else -1
     while k < len(line) and line[k] <= beyond:
         k += 2
     return k
@@ -85,9 +89,9 @@ def _change(line: list[int], beyond: int, colour: int, columns: int) -> int:
 def _two(bits: Bits, above: list[int], columns: int) -> list[int]:
     """Changes of a line coded against the one above: even ones turn to black."""
     line: list[int] = []
-    at, colour = -1, 0
+    at, colour, k = -1, 0, 0
     while at < columns:
-        k = _change(above, at, colour, columns)
+        k = _change(above, at, colour, k)
         b1, b2 = (above[k] if k < len(above) else columns), (above[k + 1] if k + 1 < len(above) else columns)
         mode = bits.word(MODES)
         if mode == "pass":
@@ -203,12 +207,11 @@ def _coded_one(line: list[int], columns: int) -> str:
 
 
 def _coded_two(line: list[int], above: list[int], columns: int) -> str:
-    out, at, colour = [], -1, 0
+    out, at, colour, j, k = [], -1, 0, 0, 0
     place = lambda xs, k: xs[k] if k < len(xs) else columns
     while at < columns:
-        k = _change(above, at, colour, columns)
+        k, j = _change(above, at, colour, k), _change(line, at, colour, j)
         b1, b2 = place(above, k), place(above, k + 1)
-        j = next((i for i, x in enumerate(line) if x > at and i % 2 == colour), len(line))
         a1, a2 = place(line, j), place(line, j + 1)
         if b2 < a1:
             out.append(PASS)

@@ -191,6 +191,20 @@ def test_layout_against_plain_python(spark):
     assert layout.words(glyph_rows(spark, rows)).filter("text = ''").count() == 0
 
 
+def test_packing_over_batches(spark):
+    """Pages that end within, at and beyond a batch of seven rows; null keys are a page of their own."""
+    sizes = {(1, 0): 7, (1, 1): 20, (2, 0): 1, (None, 0): 3, (3, None): 9, (4, 5): 14}
+    rows = [(d, p, i, chr(97 + i), float(i), 0.0, 1.0, 1.0) for (d, p), n in sizes.items() for i in reversed(range(n))]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "7")
+    try:
+        found = {(r["doc_id"], r["page_no"]): r for r in glyph_rows(spark, rows).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert {k: len(r["glyphs"]) for k, r in found.items()} == sizes
+    assert all(r["glyphs"] == "".join(chr(97 + i) for i in range(len(r["x"]))) and r["x"] == [float(i) for i in range(len(r["x"]))] for r in found.values())
+
+
 def test_selections_and_cells(spark):
     rows = [(1, 0, i, c, 10.0 * i, 50.0, 8.0, 10.0) for i, c in enumerate("abcde")] + [(1, 0, 9, "z", 0.0, 20.0, 8.0, 10.0), (2, 0, 0, " ", 0.0, 0.0, 1.0, 1.0)]
     pages = glyph_rows(spark, rows)
