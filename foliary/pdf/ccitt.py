@@ -31,8 +31,21 @@ def _lengths(short: list[str], more: list[str]) -> dict[int, str]:
 
 
 CODES = (_lengths(WHITE, WHITE_MORE), _lengths(BLACK, BLACK_MORE))
-RUNS = tuple({c: n for n, c in codes.items()} for codes in CODES)
-MODES = {PASS: "pass", HORIZONTAL: "horizontal"} | {c: n for n, c in VERTICAL.items()}
+LONGEST = 13
+
+
+def _table(codes: dict[str, object]) -> list[tuple[object, int] | None]:
+    """For each 13 bits, what the code word that they begin with means, and its length."""
+    table: list[tuple[object, int] | None] = [None] * (1 << LONGEST)
+    for code, meaning in codes.items():
+        rest = LONGEST - len(code)
+        first = int(code, 2) << rest
+        table[first : first + (1 << rest)] = [(meaning, len(code))] * (1 << rest)
+    return table
+
+
+RUNS = tuple(_table({c: n for n, c in codes.items()}) for codes in CODES)
+MODES = _table({PASS: "pass", HORIZONTAL: "horizontal"} | {c: n for n, c in VERTICAL.items()})
 
 
 class Damaged(ValueError):
@@ -44,13 +57,12 @@ class Bits:
         self.bits = "".join(map("{:08b}".format, data))
         self.at = 0
 
-    def word(self, table: dict[str, object], longest: int = 13):
-        for n in range(1, longest + 1):
-            found = table.get(self.bits[self.at : self.at + n])
-            if found is not None:
-                self.at += n
-                return found
-        raise Damaged
+    def word(self, table: list[tuple[object, int] | None]):
+        found = table[int(self.bits[self.at : self.at + LONGEST].ljust(LONGEST, "0"), 2)]
+        if found is None or self.at + found[1] > len(self.bits):
+            raise Damaged
+        self.at += found[1]
+        return found[0]
 
     def run(self, colour: int) -> int:
         total = 0
