@@ -91,23 +91,54 @@ def spans(chars: DataFrame, font: str = "font_name") -> DataFrame:
     )
 
 
+#: A key with more boxes than these is met by cells; one with fewer by the key alone.
+FEW = 64
+
+
+def parted(b: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Boxes of keys that have few, and those of keys that have many."""
+    counted = b.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return counted.filter(F.col("__n") <= FEW).drop("__n"), counted.filter(F.col("__n") > FEW).drop("__n")
+
+
+def sided(df: DataFrame, keys: tuple[str, ...], side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in (*keys, "__i", "__j") else f"{side}_{c}") for c in df.columns])
+
+
+def meets(closed: bool = True) -> Column:
+    """That the boxes of sides a and b overlap; closed ones also where they only touch."""
+    less = (lambda p, q: p <= q) if closed else (lambda p, q: p < q)
+    return (
+        less(F.col("a_x1"), F.col("b_x2")) & less(F.col("b_x1"), F.col("a_x2"))
+        & less(F.col("a_y1"), F.col("b_y2")) & less(F.col("b_y1"), F.col("a_y2"))
+    )
+
+
 def overlap(a: DataFrame, b: DataFrame, keys: tuple[str, ...], cell: float = 64.0, closed: bool = True) -> DataFrame:
-    """Pairs of boxes (x1, y1, x2, y2) of one key that overlap, by an equality join on grid cells.
+    """Pairs of boxes (x1, y1, x2, y2) of one key that overlap.
+
+    Where b has few boxes of a key, each box of a is compared with them all; where it has many,
+    the two meet by grid cells, so no comparison grows with the square of a page.
+    """
+    few, many = parted(b, keys)
+    near = sided(a, keys, "a").join(sided(few, keys, "b").hint("merge"), list(keys)).filter(meets(closed))
+    return near.unionByName(overlap_by_cells(a, many, keys, cell, closed))
+
+
+def overlap_by_cells(a: DataFrame, b: DataFrame, keys: tuple[str, ...], cell: float = 64.0, closed: bool = True) -> DataFrame:
+    """Pairs of boxes that overlap, by an equality join on grid cells.
 
     A pair is found in every cell that both touch and kept in the one that holds the lower left
-    corner of their intersection, so no pair is returned twice and none needs a distinct.
+    corner of their intersection, so no pair is returned twice and none needs a distinct. Joins are
+    merged: sizes are guessed from files, before a box becomes a row for each cell, so Spark would
+    broadcast tables of many times the size that it allows.
     """
 
     def celled(df: DataFrame, side: str) -> DataFrame:
         span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int"))
-        df = df.withColumn("__i", F.explode(span("x1", "x2"))).withColumn("__j", F.explode(span("y1", "y2")))
-        return df.select(*[F.col(c).alias(f"{side}_{c}" if c not in (*keys, "__i", "__j") else c) for c in df.columns])
+        return sided(df.withColumn("__i", F.explode(span("x1", "x2"))).withColumn("__j", F.explode(span("y1", "y2"))), keys, side)
 
-    joined = celled(a, "a").join(celled(b, "b"), [*keys, "__i", "__j"])
-    less = (lambda p, q: p <= q) if closed else (lambda p, q: p < q)
-    meets = (
-        less(F.col("a_x1"), F.col("b_x2")) & less(F.col("b_x1"), F.col("a_x2"))
-        & less(F.col("a_y1"), F.col("b_y2")) & less(F.col("b_y1"), F.col("a_y2"))
-    )
+    there = b.select(*keys).distinct().hint("merge")
+    joined = celled(a.join(there, list(keys), "left_semi"), "a").join(celled(b, "b").hint("merge"), [*keys, "__i", "__j"])
     corner = (F.floor(F.greatest("a_x1", "b_x1") / cell) == F.col("__i")) & (F.floor(F.greatest("a_y1", "b_y1") / cell) == F.col("__j"))
-    return joined.filter(meets & corner).drop("__i", "__j")
+    return joined.filter(meets(closed) & corner).drop("__i", "__j")

@@ -115,6 +115,30 @@ def test_overlap_finds_each_pair_once(spark):
     assert got == want
 
 
+def boxes_of_pages(spark, rnd):
+    """Boxes of pages with one mark and of one with hundreds, words with the same number among them, and missing keys and sides."""
+    box = lambda: (x := float(rnd.randrange(-200, 200)), y := float(rnd.randrange(-200, 200)), x + rnd.choice([0, 5, 90]), y + rnd.choice([0, 9, 60]))
+    words = [(k, i // 2, *box()) for k in (*range(30), 99) for i in range(9 if k < 99 else 200)] + [(None, 1, 0.0, 0.0, 9.0, 9.0), (1, 99, None, 0.0, 9.0, 9.0)]
+    marks = [(k, k, *box()) for k in range(30)] + [(99, 1000 + i, *box()) for i in range(300)] + [(None, 1, 0.0, 0.0, 9.0, 9.0)]
+    sides = "x1 double, y1 double, x2 double, y2 double"
+    meet = lambda p, q: None not in (*p, *q) and p[0] == q[0] and p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5]
+    return words, marks, meet, spark.createDataFrame(words, f"doc_id long, word_id long, {sides}"), spark.createDataFrame(marks, f"doc_id long, mark_id long, {sides}")
+
+
+def no_broadcast(df):
+    """Nothing of the join goes through the driver, as planned and as run."""
+    df.collect()
+    return "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_by_key_and_by_cells_broadcasts_nothing(spark):
+    words, marks, meet, w, m = boxes_of_pages(spark, random.Random(6))
+    got = spatial.overlap(w, m, ("doc_id",), closed=False)
+    found = sorted((r["doc_id"], r["a_word_id"], r["a_x1"], r["a_y1"], r["b_mark_id"]) for r in got.collect())
+    assert found == sorted((p[0], p[1], p[2], p[3], q[1]) for p in words for q in marks if meet(p, q))
+    assert no_broadcast(got)
+
+
 def test_words_break_at_spaces_and_gaps(spark):
     text = [("H", 0.0), ("i", 7.0), (" ", 14.0), ("y", 21.0), ("o", 28.0), ("u", 60.0)]
     rows = [(1, 0, i, c, x, 100.0, 7.0, 12.0) for i, (c, x) in enumerate(text)] + [(1, 0, 9, "z", 0.0, 50.0, 7.0, 12.0)]
