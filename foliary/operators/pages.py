@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import label
 
+BOX = ("x1", "y1", "x2", "y2")
+
 
 def label_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """Adds label: each page takes the range with the greatest start at or before it.
@@ -112,10 +114,20 @@ def bates(number: Column, prefix: str = "", suffix: str = "", start: int = 1, in
 def redact(words: DataFrame, marks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Words that touch no mark (x1, y1, x2, y2). The text goes, not just its look.
 
-    Marks are met through grid cells, so each word is compared with nearby marks only.
+    Where a page has many marks they are met through grid cells, so each word is compared with
+    nearby ones only; words with one box are hit or not together, so boxes say which are.
     """
-    from .spatial import overlap
-
-    hit = overlap(words, marks, keys, closed=False)
-    ids = hit.select(*keys, F.col("a_word_id").alias("word_id")).distinct()
-    return words.join(ids, [*keys, "word_id"], "left_anti")
+    from .spatial import meets, overlap_by_cells, parted, sided
+
+    few, many = parted(marks.select(*keys, *BOX), keys)
+    a, b = sided(words, keys, "a"), sided(few, keys, "b").withColumnsRenamed({k: f"b_{k}" for k in keys})
+    same = meets(closed=False)
+    for k in keys:
+        same = (F.col(k) == F.col(f"b_{k}")) & same
+    there = many.select(*keys).distinct().hint("merge")
+    near = a.join(b.hint("merge"), same, "left_anti").join(there, list(keys), "left_anti")
+    near = near.select(*[F.col(c if c in keys else f"a_{c}").alias(c) for c in words.columns])
+    hit = overlap_by_cells(words.select(*keys, *BOX), many, keys, closed=False)
+    hit = hit.select(*keys, *[F.col(f"a_{c}").alias(c) for c in BOX]).distinct()
+    far = words.join(there, list(keys), "left_semi").join(hit.hint("merge"), [*keys, *BOX], "left_anti")
+    return near.unionByName(far.select(*words.columns))

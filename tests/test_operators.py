@@ -9,7 +9,7 @@ import __spark_entry__
 import parity
 from foliary.functions import numbering
 from foliary.functions import text as tx
-from foliary.operators import layout, search, spatial
+from foliary.operators import layout, pages, search, spatial
 from foliary.pdf.writer import build
 from foliary.plans import catalog, files  # noqa: F401
 from foliary.sources import pdf as source
@@ -131,6 +131,14 @@ def no_broadcast(df):
     return "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_redact_drops_words_by_box_and_broadcasts_nothing(spark):
+    words, marks, meet, w, m = boxes_of_pages(spark, random.Random(5))
+    got = pages.redact(w, m)
+    order = lambda rows: sorted(map(repr, rows))
+    assert order(tuple(r) for r in got.collect()) == order(p for p in words if not any(meet(p, q) for q in marks))
+    assert no_broadcast(got)
+
+
 def test_overlap_by_key_and_by_cells_broadcasts_nothing(spark):
     words, marks, meet, w, m = boxes_of_pages(spark, random.Random(6))
     got = spatial.overlap(w, m, ("doc_id",), closed=False)
