@@ -287,5 +287,10 @@ def range_text(pages: DataFrame, key: str, first: int, last: int) -> DataFrame:
     if not 0 <= first <= last:
         raise ValueError(f"pages {first} to {last}")
     rows = F.sort_array(F.collect_list(F.struct("page_no", "text")))
+    return pages.filter(F.col("page_no").between(first, last)).groupBy(key).agg(joined_pages(rows, first).alias("text"))
+
+
+def joined_pages(rows: Column, first: int) -> Column:
+    """The text of an array of pages in order."""
     parts = F.transform(rows, lambda r: F.concat(F.when(r["page_no"] > first, F.concat(F.lit("\n\n--- Page "), r["page_no"], F.lit(" ---\n\n"))).otherwise(""), F.coalesce(r["text"], F.lit(""))))
-    return pages.filter(F.col("page_no").between(first, last)).groupBy(key).agg(F.array_join(parts, "").alias("text"))
+    return F.array_join(parts, "")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import layout, search, spatial
-from .pdf import sections
+from .pdf import parse, sections
 
 
 class Documents:
@@ -40,6 +40,24 @@ class Documents:
     def text(self, first: int, last: int | None = None) -> DataFrame:
         return layout.range_text(self._pages(first, last), "doc_id", first, first if last is None else last)
 
+    def overview(self, first: int, last: int) -> DataFrame:
+        """Page count, facts of the first page of a range, its text, and the number of fonts: from one parse of each file.
+
+        The same rows as ``page_count``, ``page_info``, ``text`` and ``fonts`` joined by document.
+        """
+        if not 0 <= first <= last:
+            raise ValueError(f"pages {first} to {last}")
+        read = lambda name: F.filter(name, lambda r: r["status"] == "OK")
+        parsed = parse(self.files, ("documents", "pages", "fonts"), "doc_id", password=self.password)
+        parsed = parsed.select("doc_id", *[read(n).alias(n) for n in ("documents", "pages", "fonts")])
+        held = F.filter("pages", lambda r: r["page_no"].between(first, last))
+        info = F.get(F.filter("pages", lambda r: r["page_no"] == first), F.lit(0))
+        names = F.array_distinct(F.transform("fonts", lambda r: r["name"]))
+        found = parsed.filter((F.size("documents") > 0) & (F.size("fonts") > 0)).select(
+            "doc_id", F.get("documents", F.lit(0))["n_pages"].alias("n_pages"), info.alias("i"), layout.joined_pages(held, first).alias("text"), F.size(names).cast("long").alias("n_fonts")
+        )
+        return found.filter("i is not null").select("doc_id", "n_pages", "i.width", "i.height", "i.rotate", "i.crop", "text", "n_fonts")
+
     def text_layout(self, page: int | None = None) -> DataFrame:
         return self._pages(page, None, "chars")
 

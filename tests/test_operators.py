@@ -223,3 +223,18 @@ def test_derived_keys(spark):
 
     found = one(spark, F.lower(F.hex(values.pbkdf2_sha256(F.col("c0").cast("binary"), F.col("c1").cast("binary"), 2))), "password", "salt")
     assert found == "ae4d0c95af6b46d32d0adff928f06dd02a303f8ef3c251dfd6e2d85a95474c43"
+
+
+def test_overview_is_the_join_of_its_parts_from_one_parse(spark):
+    from foliary.plans import samples
+    from foliary.sources.documents import Documents
+
+    made = [(1, samples.three_pages("a", "b")), (2, build(["one page"])), (3, b"no file"), (4, b""), (5, None), (6, build([f"p{i}" for i in range(5)]))]
+    d = Documents(spark.createDataFrame(made, "path long, content binary"))
+    for first, last in ((0, 1), (2, 3)):
+        fonts = d.fonts().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_fonts"))
+        parts = d.page_count().join(d.page_info(first).drop("page_no"), "doc_id").join(d.text(first, last), "doc_id").join(fonts, "doc_id")
+        got = d.overview(first, last)
+        assert got.columns == parts.columns and sorted(map(repr, got.collect())) == sorted(map(repr, parts.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
