@@ -411,7 +411,7 @@ def stream_sessions(spark, sf):
     """Sessions of each user, ended by six hours without events."""
     from ..streaming import ingest
 
-    found = ingest.drained(ingest.tagged_sessions(ingest.rows_arriving(spark, sf, "events.parquet"), "user_id", "ts", "6 hours", delay="100 days"))
+    found = ingest.drained(ingest.tagged_sessions(ingest.rows_arriving(spark, sf, "events.parquet"), "user_id", "ts", "21599.999999 seconds", delay="100 days"))  # windows that touch are one session
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 

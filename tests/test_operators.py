@@ -238,3 +238,24 @@ def test_overview_is_the_join_of_its_parts_from_one_parse(spark):
         assert got.columns == parts.columns and sorted(map(repr, got.collect())) == sorted(map(repr, parts.collect()))
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_drained_stream_is_a_table_of_files(spark, tmp_path):
+    """Executors write the result, and several batches give what one does."""
+    rows = [(i % 7, 3600 * (i // 3)) for i in range(300)]
+    events = spark.createDataFrame(rows, "k long, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    events.repartition(3).write.parquet(str(tmp_path / "events"))
+    for most in (1, 100):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", most).parquet(str(tmp_path / "events"))
+        got = ingest.drained(ingest.tagged_sessions(stream, "k", "ts", "7199.999999 seconds", delay="100 days"))
+        assert got.inputFiles()  # not rows that the driver holds
+        want, last = {}, {}
+        for k, s in rows:
+            if k not in last or s - last[k] >= 7200:
+                want[k, s] = 0
+                last[k, "at"] = (k, s)
+            last[k] = s
+            want[last[k, "at"]] += 1
+        assert {(r["k"], int(r["start"].timestamp())): r["n"] for r in got.collect()} == want
+    latest = ingest.drained(ingest.counts_by_window(stream, "ts", "k", delay="100 days"), "update")
+    assert latest.inputFiles() and latest.agg(F.sum("n")).collect()[0][0] == len(rows)
