@@ -74,6 +74,18 @@ def test_fax_survives_and_bears_anything():
         assert not any(a != b and b.startswith(a) for a in codes.values() for b in codes.values())
 
 
+def test_fax_bits_are_held_as_windows():
+    """Each bit's window, which a code word is looked up by, without text of bits; and a last row that is cut short."""
+    data = random.Random(3).randbytes(300)
+    bits = ccitt.Bits(data)
+    text = "".join(map("{:08b}".format, data)) + "0" * ccitt.LONGEST
+    assert list(bits.windows) == [int(text[i : i + ccitt.LONGEST], 2) for i in range(8 * len(data) + 1)]
+    assert list(ccitt.Bits(b"").windows) == [0]
+    for k in (-1, 0, 4):
+        back = ccitt.decode(ccitt.encode(data[:12], 64, k), {"K": k, "Columns": 64, "BlackIs1": True}, 1 << 20)
+        assert back == data[:12] + b"\0" * 4
+
+
 def test_calculator():
     run = functions.calculate
     assert run(b"{ 3 1 roll }", [1, 2, 3]) == [3, 1, 2] and run(b"{ 2 copy add }", [1, 2]) == [1, 2, 3] and run(b"{ 1 index }", [4, 5]) == [4, 5, 4]
