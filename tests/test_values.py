@@ -86,6 +86,15 @@ def test_fax_bits_are_held_as_windows():
         assert back == data[:12] + b"\0" * 4
 
 
+def test_mixed_fax_keeps_rows_cut_short():
+    """Every fourth line is coded by itself, the others against the one above; the last row may be short."""
+    rnd = random.Random(8)
+    for n in range(1, 90, 7):
+        data = rnd.randbytes(n)
+        back = ccitt.decode(ccitt.encode(data, 64, 4), {"K": 4, "Columns": 64, "BlackIs1": True}, 1 << 20)
+        assert back == data.ljust(-(-n // 8) * 8, b"\0")
+
+
 def test_calculator():
     run = functions.calculate
     assert run(b"{ 3 1 roll }", [1, 2, 3]) == [3, 1, 2] and run(b"{ 2 copy add }", [1, 2]) == [1, 2, 3] and run(b"{ 1 index }", [4, 5]) == [4, 5, 4]
