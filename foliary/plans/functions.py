@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, values
 from ..operators import pages, search, tables
-from ..pdf import ccitt, filters
+from ..pdf import ccitt_many, filters
+from ..pdf.ccitt_many import spans
 from ..pdf.functions import evaluate
 from ..sources.writing import spread
 from . import samples
@@ -208,16 +209,24 @@ def filter_vectors(spark, sf):
     return read(spark, sf, "nation").select("n_nationkey").mapInArrow(run, "n_nationkey int, said string")
 
 
+#: Texts go through a filter up to so many bytes at once.
+AT_ONCE = 4 << 20
+
+
 def _digests(spark, sf, back):
-    """md5 of each text after ``back``."""
+    """md5 of each text after ``back``, which takes a list of them."""
 
     def run(batches):
         import hashlib
 
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            found = [hashlib.md5(back((t.as_py() or "").encode())).hexdigest() for t in batch.column(1)]
+            found = []
+            for a, b in spans(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), AT_ONCE):
+                texts = [(t or "").encode() for t in batch.column(1)[a:b].to_pylist()]
+                found += [hashlib.md5(data).hexdigest() for data in back(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "md5"])
 
     return spread(read(spark, sf, "documents").select("doc_id", "text")).mapInArrow(run, "doc_id long, md5 string")
@@ -234,7 +243,7 @@ def filter_predictors(spark, sf):
         packed = zlib.compress(samples.png_rows(data, 24, 3))
         return filters.decode(packed, ["FlateDecode"], [{"Predictor": 15, "Columns": 8, "Colors": 3}])[: len(data)]
 
-    return _digests(spark, sf, back)
+    return _digests(spark, sf, lambda texts: [back(data) for data in texts])
 
 
 @query(MD5_SQL)
@@ -245,17 +254,17 @@ def filter_tiff_predictor(spark, sf):
         packed = zlib.compress(samples.tiff_rows(data, 4, 3))
         return filters.decode(packed, ["FlateDecode"], [{"Predictor": 2, "Columns": 4, "Colors": 3, "BitsPerComponent": 16}])[: len(data)]
 
-    return _digests(spark, sf, back)
+    return _digests(spark, sf, lambda texts: [back(data) for data in texts])
 
 
 def _fax(k: int):
     def run(spark, sf):
-        def back(data: bytes) -> bytes:
-            width = 64
-            rows = -(-len(data) // 8)
-            coded = ccitt.encode(data.ljust(rows * 8, b"\0"), width, k)
-            params = {"K": k, "Columns": width, "Rows": rows, "BlackIs1": True}
-            return filters.decode(coded, ["CCITTFaxDecode"], [params])[: len(data)]
+        def back(texts: list[bytes]) -> list[bytes]:
+            width, rows = 64, [-(-len(data) // 8) for data in texts]
+            coded = ccitt_many.encode_many([data.ljust(n * 8, b"\0") for data, n in zip(texts, rows, strict=True)], width, k)
+            params = [[{"K": k, "Columns": width, "Rows": n, "BlackIs1": True}] for n in rows]
+            found = filters.decode_many(coded, ["CCITTFaxDecode"], params)
+            return [data[: len(text)] for data, text in zip(found, texts, strict=True)]
 
         return _digests(spark, sf, back)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliary.functions import values
 from foliary.operators import layout, spatial, tables
-from foliary.pdf import ccitt, der, functions, glyphs, writer
+from foliary.pdf import ccitt, ccitt_many, der, filters, functions, glyphs, writer
 from foliary.pdf.document import Document
 from foliary.pdf.syntax import Name, Stream
 from foliary.pdf.text import page_glyphs, page_text
@@ -95,6 +95,51 @@ def test_mixed_fax_keeps_rows_cut_short():
         assert back == data.ljust(-(-n // 8) * 8, b"\0")
 
 
+def _fax_blocks(rnd, width):
+    """Blocks of lines like the ones above them, full, bare and of noise; the last line may be cut short."""
+    size, blocks = (width + 7) // 8, [b""]
+    for _ in range(12):
+        rows = []
+        for _ in range(rnd.randrange(12)):
+            row = rnd.choice([bytes(size), b"\xff" * size, rnd.randbytes(size), rnd.randbytes(1) * size])
+            rows.append(bytes(x ^ (rnd.random() < 0.1) << rnd.randrange(8) for x in rows[-1]) if rows and rnd.random() < 0.5 else row)
+        data = b"".join(rows)
+        blocks.append(data[: rnd.randrange(len(data) + 1)] if rnd.random() < 0.3 else data)
+    return blocks
+
+
+def test_fax_side_by_side_is_fax_one_by_one(monkeypatch):
+    """Lines of many blocks at once, in parts of any size, damaged ones too."""
+    monkeypatch.setattr(ccitt_many, "FEW", 0)
+    rnd = random.Random(6)
+    for trial in range(60):
+        width, k = rnd.choice([1, 7, 8, 60, 64, 100, 1728, 2560, 3000]), rnd.choice([-1, 0, 1, 2, 4, 9])
+        monkeypatch.setattr(ccitt_many, "TOGETHER", rnd.choice([3 << 20, 20000, 2000]))
+        monkeypatch.setattr(ccitt_many, "ABREAST", rnd.choice([8192, 7]))
+        blocks = _fax_blocks(rnd, width)
+        coded = ccitt_many.encode_many(blocks, width, k)
+        assert coded == [ccitt.encode(x, width, k) for x in blocks], trial
+        hurt = [bytes(x ^ (rnd.random() < 0.03) << rnd.randrange(8) for x in c) for c in coded]
+        short = [c[: rnd.randrange(len(c) + 1)] + b"\0" * rnd.randrange(9) for c in coded]
+        for some in (coded, hurt, short, [rnd.choice([b"", b"\0\x10"]) + rnd.randbytes(40) for _ in coded]):
+            params = [{"K": k, "Columns": width, "BlackIs1": rnd.random() < 0.5, "Rows": rnd.choice([0, len(x) // 8, 9])} for x in blocks]
+            most = rnd.choice([1 << 20, 100])
+            assert ccitt_many.decode_many(some, params, most) == [ccitt.decode(c, p, most) for c, p in zip(some, params, strict=True)], trial
+
+
+def test_mixed_fax_is_read_side_by_side(monkeypatch):
+    """No plain block is read line by line, whose cost a gigabyte of texts can't bear."""
+    rnd = random.Random(7)
+    texts = [("".join(rnd.choices("etaoin shrdlu.\n", k=rnd.randrange(3000)))).encode() for _ in range(40)]
+    texts = [x.ljust(-(-len(x) // 8) * 8, b"\0") for x in texts]
+    slow = lambda *_: pytest.fail("read line by line")
+    monkeypatch.setattr(ccitt, "decode", slow)
+    monkeypatch.setattr(ccitt, "encode", slow)
+    for k in (0, 4):
+        coded = ccitt_many.encode_many(texts, 64, k)
+        assert filters.decode_many(coded, ["CCF"], [[{"K": k, "Columns": 64, "Rows": len(x) // 8, "BlackIs1": True}] for x in texts]) == texts
+
+
 def test_calculator():
     run = functions.calculate
     assert run(b"{ 3 1 roll }", [1, 2, 3]) == [3, 1, 2] and run(b"{ 2 copy add }", [1, 2]) == [1, 2, 3] and run(b"{ 1 index }", [4, 5]) == [4, 5, 4]
